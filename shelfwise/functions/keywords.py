@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CATEGORY_PATTERNS, MEDICAL_TERMS, SKIN_TYPES
 from .text import unaccent
+from .vector import bind
 
 
 def folded(text: Column) -> Column:
@@ -25,20 +26,27 @@ def _hit(text: Column, keywords: Sequence[str]) -> Column:
     return hit
 
 
+def _named_hits(low: Column, patterns: Mapping[str, Sequence[str]]) -> list[Column]:
+    return [F.when(_hit(low, words), F.lit(name)) for name, words in patterns.items()]
+
+
 def category_hints(
     message: Column, patterns: Mapping[str, Sequence[str]] = CATEGORY_PATTERNS
 ) -> Column:
     """All names with a keyword in the message, in pattern order."""
-    low = folded(message)
-    found = [F.when(_hit(low, words), F.lit(name)) for name, words in patterns.items()]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    if not patterns:
+        return F.array().cast("array<string>")
+    return bind(
+        folded(message),
+        lambda low: F.array_compact(F.array(*_named_hits(low, patterns))),
+    )
 
 
 def skin_type(message: Column, patterns: Mapping[str, Sequence[str]] = SKIN_TYPES) -> Column:
     """The first name in pattern order with a keyword in the message, else null."""
-    low = folded(message)
-    found = [F.when(_hit(low, words), F.lit(name)) for name, words in patterns.items()]
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+    if not patterns:
+        return F.lit(None).cast("string")
+    return bind(folded(message), lambda low: F.coalesce(*_named_hits(low, patterns)))
 
 
 def mentions_medical(message: Column, terms: Sequence[str] = MEDICAL_TERMS) -> Column:
@@ -58,8 +66,9 @@ def patterns_by_tenant(patterns: DataFrame) -> DataFrame:
 
 def matching_names(message: Column, patterns: Column) -> Column:
     """As ``category_hints``, for a tenant's pattern array column."""
-    low = folded(message)
-    hits = F.filter(patterns, lambda p: F.contains(low, p["keyword"]))
+    hits = bind(
+        folded(message), lambda low: F.filter(patterns, lambda p: F.contains(low, p["keyword"]))
+    )
     names = F.array_distinct(F.transform(hits, lambda p: p["canonical"]))
     return F.coalesce(names, F.array().cast("array<string>"))
 

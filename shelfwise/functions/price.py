@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import PRICE_PATTERNS
+from .vector import bind
 
 NUMBER = r"(\d+(?:[.,]\d+)?)"
 # Every character class below also holds the Unicode blanks, such as the one in "30 €".
@@ -66,8 +67,14 @@ def _number(text: Column, pattern: str, group: int) -> Column:
     return F.replace(digits, F.lit(","), F.lit(".")).cast("double")
 
 
-def _range(lo: Column, hi: Column) -> Column:
-    return F.when(hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+def _range(amounts: Column, lo: Callable[[Column], Column]) -> Column:
+    """``(lo, greatest)`` of the amounts found, each pattern run once; null when none was found."""
+    return bind(
+        amounts,
+        lambda a: F.when(
+            F.array_max(a).isNotNull(), F.struct(lo(a).alias("lo"), F.array_max(a).alias("hi"))
+        ),
+    )
 
 
 def _no_range() -> Column:
@@ -79,14 +86,15 @@ def parse_between(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
     pattern = terms.between_regex()
     if pattern is None:
         return _no_range()
-    a, b = _number(text, pattern, 1), _number(text, pattern, 2)
-    return _range(F.least(a, b), F.greatest(a, b))
+    return _range(F.array(_number(text, pattern, 1), _number(text, pattern, 2)), F.array_min)
 
 
 def parse_under(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
     """``under N`` as (0, N)."""
     pattern = terms.under_regex()
-    return _no_range() if pattern is None else _range(F.lit(0.0), _number(text, pattern, 1))
+    if pattern is None:
+        return _no_range()
+    return _range(F.array(_number(text, pattern, 1)), lambda a: F.lit(0.0))
 
 
 def parse_currency(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
@@ -95,7 +103,7 @@ def parse_currency(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
     if pattern is None:
         return _no_range()
     amount = F.coalesce(_number(text, pattern, 1), _number(text, pattern, 2))
-    return _range(amount, amount)
+    return _range(F.array(amount), F.array_min)
 
 
 def parse_price_range(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:

@@ -70,7 +70,7 @@ def sql_price(text: str) -> tuple[str, str]:
     lo, hi = sql_between(text)
     under, cur = sql_under(text), sql_currency(text)
     return (
-        f"CASE WHEN {hi} IS NOT NULL THEN {lo} WHEN {under} IS NOT NULL THEN 0.0 ELSE {cur} END",
+        f"CASE WHEN {hi} IS NOT NULL THEN {lo} WHEN {under} IS NOT NULL THEN CAST(0 AS DOUBLE) ELSE {cur} END",
         f"coalesce({hi}, {under}, {cur})",
     )
 

@@ -90,7 +90,7 @@ def main():
 
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session(
-        "check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        "check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__driver__memory="16g", spark__driver__host="127.0.0.1",
     )
     spark.sparkContext.setLogLevel("ERROR")

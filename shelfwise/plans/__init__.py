@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["catalog", "intent", "retrieval", "compose"]
+MODULES = ["catalog", "intent", "retrieval", "compose", "quality", "requests", "evaluation"]
 
 
 def load_all() -> None:

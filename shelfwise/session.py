@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC days, runtime re-planning and skew splitting.
 # Partition counts are upper bounds that AQE coalesces to the real data size.
@@ -38,15 +38,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only a local-mode session may fall back to a temporary folder.
-    """
+def _shared_base(spark: SparkSession) -> str:
+    """The cluster's shared folder; only a local-mode session may fall back to a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="shelfwise-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh path below the cluster's shared folder (``spark.checkpoint.dir``)."""
+    return f"{_shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage; survives the loss of executors."""
+    base = _shared_base(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(base)
+    return df.checkpoint()

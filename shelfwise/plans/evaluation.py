@@ -18,7 +18,7 @@ CASES = (
     "cases",
     """
     SELECT p_partkey AS case_id, CASE WHEN p_type = 'PROMO' THEN [] ELSE [p_name, concat(p_name, ' XL')] END AS expected,
-           p_type = 'PROMO' AS expect_no_match, round(p_size * 7.25, 1) AS retrieve_ms,
+           p_type = 'PROMO' AS expect_no_match, round(p_size * CAST(7.25 AS DOUBLE), 1) AS retrieve_ms,
            round(p_retailprice * 3.5, 1) AS answer_ms, coalesce(r.names, []) AS retrieved
     FROM part LEFT JOIN (
       SELECT msg_id, list(product_name ORDER BY rank) AS names

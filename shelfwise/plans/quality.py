@@ -228,7 +228,7 @@ def catalog_signature(spark, d):
 def write_embedding_store(spark, d):
     path = shared_dir(spark, "embedding-store")
     st.write_embedding_store(stored(spark, d), path)
-    vectors = st.read_store(spark, path)
+    vectors = st.read_store(spark, path).drop("dim")
     about = st.read_store(spark, path, "meta").drop("signature")
     return vectors.join(about, "tenant_id").select(
         "tenant_id", "row_id", "signature",

@@ -335,7 +335,7 @@ def alert_high_p95(spark, d):
         """SELECT g.at, coalesce(n, 0) / 300.0 AS value
            FROM (SELECT unnest(generate_series(date_trunc('minute', min(ts)) + INTERVAL 1 MINUTE,
                         date_trunc('minute', max(ts)) + INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS at FROM requests) g
-           LEFT JOIN (SELECT start + INTERVAL 5 MINUTES AS at, count(*) AS n FROM minutely GROUP BY 1) c USING (at)
+           LEFT JOIN (SELECT start + INTERVAL 5 MINUTES AS at, count(*) AS n FROM minutely GROUP BY 1) c ON c.at = g.at
            WHERE coalesce(n, 0) / 300.0 < 0.01""",
         15,
     ),

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+
 # Settings every job relies on: UTC days, runtime re-planning and skew splitting.
 # Partition counts are upper bounds that AQE coalesces to the real data size.
 REQUIRED_CONF = {
@@ -35,9 +39,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED_CONF.items():
         if spark.conf.isModifiable(key):
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per Spark context."""
+    name = f"{PACKAGE.name}.zip"
+    if any(str(f).endswith(f"/{name}") for f in spark.sparkContext.listFiles):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="shelfwise-code-"))
+    with zipfile.ZipFile(folder / name, "w") as archive:
+        for source in sorted(PACKAGE.rglob("*.py")):
+            archive.write(source, source.relative_to(PACKAGE.parent))
+    spark.sparkContext.addPyFile(str(folder / name))
+
+
 def _shared_base(spark: SparkSession) -> str:
     """The cluster's shared folder; only a local-mode session may fall back to a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

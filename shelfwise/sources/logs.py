@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 NO_CLIENT = "n/a"
 CORRUPT = "_corrupt_record"
-ACCESS_LOG = T.StructType.fromDDL(
+ACCESS_LOG = (
     "ts double, rid string, client_id string, method string, path string, status int, "
     "latency_ms int, rate_limit struct<limit: int, remaining: int>"
 )
-QUOTA = T.StructType.fromDDL("client_id string, day date, used bigint")
+QUOTA = "client_id string, day date, used bigint"
+QUOTA_COLUMNS = ["client_id", "day", "used"]
 
 
 def client_rows(log: DataFrame) -> DataFrame:
@@ -30,15 +30,14 @@ def write_access_log(log: DataFrame, path: str) -> None:
 
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:
     """Log lines; a line that is no JSON keeps its text in ``_corrupt_record``."""
-    schema = T.StructType([*ACCESS_LOG.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "recursiveFileLookup": "true"}
-    return spark.read.schema(schema).options(**options).json(path)
+    return spark.read.schema(f"{ACCESS_LOG}, {CORRUPT} string").options(**options).json(path)
 
 
 def read_quota(spark: SparkSession, path: str) -> DataFrame:
     """Usage per client and day; a missing table is an empty one, unreadable files are skipped."""
     try:
-        return spark.read.schema(QUOTA).option("ignoreCorruptFiles", "true").parquet(path).select(*QUOTA.names)
+        return spark.read.schema(QUOTA).option("ignoreCorruptFiles", "true").parquet(path).select(*QUOTA_COLUMNS)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -53,7 +52,7 @@ def quota_state_upsert(usage: DataFrame, path: str) -> None:
     kept = old.join(touched, "day", "left_semi").join(
         new.select("client_id", "day"), ["client_id", "day"], "left_anti"
     )
-    rows = kept.select(*QUOTA.names).unionByName(new).hint("rebalance", "day")
+    rows = kept.select(*QUOTA_COLUMNS).unionByName(new).hint("rebalance", "day")
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("day").parquet(path)
 

@@ -1,8 +1,8 @@
 """Which products of a tenant a message's price range and category hints allow.
 
 A tenant may hold a large share of all messages and of all products, so nothing here pairs the
-two sides by tenant alone. Prices fall into a hierarchy of cells (16 cents per cell step: 1, 16,
-256 ... cents wide). A price range is the disjoint union of a few dozen cells, and a product lies in
+two sides by tenant alone. Prices fall into a hierarchy of cells, 1, 4, 16, 64 ... cents wide. A price
+range is the disjoint union of a few of them (about twice the levels it spans), and a product lies in
 exactly one cell per level, so range conditions become equi-joins on (tenant, category, cell).
 """
 
@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.keywords import with_tenant_hints
 from ..functions.price import DEFAULT_TERMS, PriceTerms, parse_price_range
 
-FANOUT = 16
-LEVELS = 8
+FANOUT = 4
+LEVELS = 15
 # Level marks of index rows that are not range cells.
 EXACT, EVERYTHING = -1, LEVELS + 1
-ANY_CATEGORY = "\u0000any"
-MAX_PRICE = 1.0e9
+# Scopes of the index: "=" and a category, or all products of the tenant.
+ANY_CATEGORY = "*"
+# Prices above share the last cell; they are told apart by the exact comparison.
+MAX_PRICE = 1.0e7
 
 
 def with_intent(
@@ -109,10 +111,19 @@ def _cover(first: Column, last: Column) -> Column:
     return F.aggregate(_levels(), start, step, lambda s: s["out"])
 
 
-def _wanted_categories(hints: Column) -> Column:
-    return F.when(F.size(hints) == 0, F.array(F.lit(ANY_CATEGORY))).otherwise(
-        F.array_distinct(hints)
-    )
+def category_scope(category: Column) -> Column:
+    return F.concat(F.lit("="), category)
+
+
+def product_scopes(category: Column) -> Column:
+    """Where a product is found: under its category, if it has one, and among all products."""
+    return F.array_compact(F.array(category_scope(category), F.lit(ANY_CATEGORY)))
+
+
+def wanted_scopes(hints: Column) -> Column:
+    """Where a message looks: in its hinted categories, or among all products."""
+    named = F.transform(F.array_distinct(hints), category_scope)
+    return F.when(F.size(hints) == 0, F.array(F.lit(ANY_CATEGORY))).otherwise(named)
 
 
 def _bounds(cell: Column) -> Column:
@@ -141,13 +152,13 @@ def match_counts(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     """Number of candidates per message, without forming (message, product) pairs.
 
     The catalog is first counted per (tenant, category, price) and rolled up into cells; a message
-    then adds up the counts of its cells. Returns the messages with ``n_match`` and ``n_catalog``.
+    then adds up the counts of its cells. Returns ``(tenant_id, msg_id, n_match)`` of the messages
+    that have candidates.
     """
     per_price = (
         catalog.groupBy("tenant_id", "category", "price_eur")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("scope", F.explode(F.array(F.col("category"), F.lit(ANY_CATEGORY))))
-        .where(F.col("scope").isNotNull())
+        .withColumn("scope", F.explode(product_scopes(F.col("category"))))
         .groupBy("tenant_id", "scope", "price_eur")
         .agg(F.sum("n").alias("n"))
     )
@@ -172,7 +183,7 @@ def match_counts(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     asked = (
         messages.select("tenant_id", "msg_id", "lo", "hi", "hints")
-        .withColumn("scope", F.explode(_wanted_categories(F.col("hints"))))
+        .withColumn("scope", F.explode(wanted_scopes(F.col("hints"))))
         .withColumn("place", F.explode(_message_cells(edges_exact=True)))
         .select(
             "tenant_id", "msg_id", "lo", "hi", "scope",
@@ -180,34 +191,41 @@ def match_counts(messages: DataFrame, catalog: DataFrame) -> DataFrame:
         )
     )
     inside = (F.col("level") != EXACT) | F.col("price").between(F.col("lo"), F.col("hi"))
-    found = (
+    return (
         asked.join(index, ["tenant_id", "scope", "level", "cell"])
         .where(inside)
         .groupBy("tenant_id", "msg_id")
         .agg(F.sum("n").alias("n_match"))
     )
-    sizes = catalog.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_catalog"))
-    return (
-        messages.join(found, ["tenant_id", "msg_id"], "left")
-        .join(sizes, "tenant_id", "left")
-        .na.fill(0, ["n_match", "n_catalog"])
-    )
 
 
-def candidates_or_all(messages: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Effective filters: a message no product satisfies is answered from the whole catalog."""
-    counted = match_counts(messages, catalog)
+def effective_filters(messages: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Filters to retrieve with: ``(tenant_id, msg_id, lo, hi, hints, n_match)``.
+
+    A message that no product satisfies loses its filters, so that all products are candidates.
+    """
+    asked = messages.select("tenant_id", "msg_id", "lo", "hi", "hints")
+    counted = asked.join(match_counts(messages, catalog), ["tenant_id", "msg_id"], "left")
     some = F.col("n_match") > 0
-    return counted.withColumns(
-        {
-            "lo": F.when(some, F.col("lo")),
-            "hi": F.when(some, F.col("hi")),
-            "hints": F.when(some, F.col("hints")).otherwise(F.array().cast("array<string>")),
-            "n_candidates": F.when(some, F.col("n_match")).otherwise(F.col("n_catalog")),
-        }
+    return counted.select(
+        "tenant_id",
+        "msg_id",
+        F.when(some, F.col("lo")).alias("lo"),
+        F.when(some, F.col("hi")).alias("hi"),
+        F.when(some, F.col("hints")).otherwise(F.array().cast("array<string>")).alias("hints"),
+        F.coalesce("n_match", F.lit(0)).alias("n_match"),
     )
 
 
+def candidates_or_all(messages: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Effective filters with the number of candidates they leave."""
+    sizes = catalog.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_catalog"))
+    sized = effective_filters(messages, catalog).join(sizes, "tenant_id", "left")
+    whole = F.coalesce("n_catalog", F.lit(0))
+    left = F.when(F.col("n_match") > 0, F.col("n_match")).otherwise(whole)
+    return sized.withColumns({"n_catalog": whole, "n_candidates": left})
+
+
 def message_candidates(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     """All allowed (message, product) pairs, each produced by exactly one cell."""
     at = _cell(F.col("price_eur"))
@@ -217,8 +235,7 @@ def message_candidates(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     products = (
         catalog.select("tenant_id", "row_id", "category", "price_eur")
-        .withColumn("scope", F.explode(F.array(F.col("category"), F.lit(ANY_CATEGORY))))
-        .where(F.col("scope").isNotNull())
+        .withColumn("scope", F.explode(product_scopes(F.col("category"))))
         .withColumn("place", F.explode(places))
         .select(
             "tenant_id", "row_id", "price_eur", "scope",
@@ -227,7 +244,7 @@ def message_candidates(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     asked = (
         messages.select("tenant_id", "msg_id", "lo", "hi", "hints")
-        .withColumn("scope", F.explode(_wanted_categories(F.col("hints"))))
+        .withColumn("scope", F.explode(wanted_scopes(F.col("hints"))))
         .withColumn("place", F.explode(_message_cells(edges_exact=False)))
         .select(
             "tenant_id", "msg_id", "lo", "hi", "scope",

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DEFAULT_TOP_K
 from ..functions.vector import EPSILON, cosine_similarity
-from .candidates import ANY_CATEGORY, candidates_or_all, matches
+from ..session import materialized
+from .candidates import effective_filters, matches, product_scopes, wanted_scopes
 
-BLOCK_MESSAGES = 4096
+BLOCK_MESSAGES = 2048
 BLOCK_PRODUCTS = 4096
 # Similarities equal to this many places tie, and ties go to the lower row number.
 TIE_PLACES = 9
@@ -42,26 +43,27 @@ def _best_of_block(k: int):
         schema = pa.schema([("msg_id", pa.int64()), ("row_id", pa.int64()), ("sim", pa.float64())])
         if messages.num_rows == 0 or products.num_rows == 0:
             return schema.empty_table()
-        order = np.argsort(products["row_id"].to_numpy(), kind="stable")
-        row_ids = products["row_id"].to_numpy()[order]
-        unit = _unit_rows(products["vec"])[order]
-        sims = np.round(_unit_rows(messages["vec"]) @ unit.T, places)
+        row_ids = products["row_id"].to_numpy()
+        sims = np.round(_unit_rows(messages["vec"]) @ _unit_rows(products["vec"]).T, places)
         if "lo" in messages.column_names:
-            price = products["price_eur"].to_numpy()[order].astype("float64")
+            price = products["price_eur"].to_numpy().astype("float64")
             lo = messages["lo"].to_numpy().astype("float64")[:, None]
             hi = messages["hi"].to_numpy().astype("float64")[:, None]
             allowed = np.isnan(lo) | ((price >= lo) & (price <= hi))
             sims = np.where(allowed, sims, -np.inf)
-        # Stable on rows sorted by row number, so equal similarities keep the lower one.
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        kept = np.take_along_axis(sims, best, axis=1)
-        at, _ = np.nonzero(np.isfinite(kept))
-        keep = np.isfinite(kept)
+        # Everything down to the k-th best value, ties included; then the order that breaks ties.
+        cut = len(row_ids) - k
+        least = np.partition(sims, cut, axis=1)[:, [cut]] if cut > 0 else -np.inf
+        at, of = np.nonzero((sims >= least) & np.isfinite(sims))
+        order = np.lexsort((row_ids[of], -sims[at, of], at))
+        at, of = at[order], of[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        at, of = at[place < k], of[place < k]
         return pa.table(
             {
                 "msg_id": messages["msg_id"].to_numpy()[at],
-                "row_id": row_ids[best[keep]],
-                "sim": kept[keep],
+                "row_id": row_ids[of],
+                "sim": sims[at, of],
             },
             schema=schema,
         )
@@ -74,21 +76,26 @@ def block_topk(
     products: DataFrame,
     k: int,
     group: list[str],
+    message_groups: DataFrame | None = None,
     message_block: int = BLOCK_MESSAGES,
     product_block: int = BLOCK_PRODUCTS,
 ) -> DataFrame:
     """Best ``k`` products per message among those that share its ``group`` columns.
 
     ``messages``: group, msg_id, vec and, for a price mask, lo and hi. ``products``: group, row_id,
-    vec and price_eur. Returns ``(msg_id, row_id, sim, rank)``.
+    vec and price_eur. ``message_groups`` is a cheaper source of the messages' group columns, if
+    there is one. Returns ``(msg_id, row_id, sim, rank)``.
     """
-    m_size = messages.groupBy(*group).agg(
+    counted = messages if message_groups is None else message_groups
+    m_size = counted.groupBy(*group).agg(
         _block_count(F.count(F.lit(1)), message_block).alias("m_blocks")
     )
     p_size = products.groupBy(*group).agg(
         _block_count(F.count(F.lit(1)), product_block).alias("p_blocks")
     )
-    grid = m_size.join(p_size, group)
+    # One row per group. Written first, so the planner knows whether it is small enough to
+    # broadcast and the vectors need no shuffle by a skewed group key.
+    grid = materialized(m_size.join(p_size, group), "block-grid")
     m_side = (
         messages.join(grid, group)
         .withColumn("m_block", F.pmod(F.xxhash64("msg_id"), F.col("m_blocks")).cast("int"))
@@ -138,9 +145,7 @@ def retrieve_overfetch(
     May return fewer than ``k`` products, even none. The candidate rule is applied to the ranked
     hits only, so no candidate list is built.
     """
-    filters = candidates_or_all(messages, products).select(
-        "tenant_id", "msg_id", "lo", "hi", "hints"
-    )
+    filters = effective_filters(messages, products).drop("n_match")
     ranked = cosine_topk(messages, products, overfetch_size(k)).drop("rank")
     facts = products.select("tenant_id", "row_id", "category", "price_eur")
     allowed = matches(*[F.col(c) for c in ("price_eur", "category", "lo", "hi", "hints")])
@@ -156,18 +161,18 @@ def retrieve_prefilter(
     Hinted messages meet only the blocks of their categories, and the price range masks inside a
     block. Blocks nobody asks for are dropped before the shuffle.
     """
-    filtered = candidates_or_all(messages, products)
-    wanted = F.when(F.size("hints") == 0, F.array(F.lit(ANY_CATEGORY))).otherwise(
-        F.array_distinct("hints")
-    )
-    m_side = filtered.select(
-        "tenant_id", F.explode(wanted).alias("scope"), "msg_id", "vec", "lo", "hi"
-    )
-    scopes = F.array_compact(F.array(F.col("category"), F.lit(ANY_CATEGORY)))
+    # Narrow, and needed for the block sizes as well as for the search: computed once.
+    filters = materialized(effective_filters(messages, products).drop("n_match"), "filters")
+    scope = F.explode(wanted_scopes(F.col("hints"))).alias("scope")
+    vectors = messages.select("tenant_id", "msg_id", "vec").join(filters, ["tenant_id", "msg_id"])
+    m_side = vectors.select("tenant_id", scope, "msg_id", "vec", "lo", "hi")
     p_side = products.select(
-        "tenant_id", F.explode(scopes).alias("scope"), "row_id", "vec", "price_eur"
+        "tenant_id",
+        F.explode(product_scopes(F.col("category"))).alias("scope"),
+        "row_id", "vec", "price_eur",
     )
-    return block_topk(m_side, p_side, k, ["tenant_id", "scope"])
+    groups = filters.select("tenant_id", scope)
+    return block_topk(m_side, p_side, k, ["tenant_id", "scope"], message_groups=groups)
 
 
 def single_query_topk(products: DataFrame, query: Column, k: int) -> DataFrame:

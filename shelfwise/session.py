@@ -71,9 +71,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{_shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; survives the loss of executors."""
-    base = _shared_base(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """Compute once: write to the shared folder and read back.
+
+    Cuts the lineage, survives the loss of executors, and gives the planner the real size, so a
+    result that is small gets broadcast by the planner's own threshold and a large one does not.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..fixed_values import EMBEDDING_DIM, EMBEDDING_MODEL
 from ..operators.index import catalog_signature, embed, normalized, reusable
-from ..session import checkpointed
+from ..session import materialized
 
 
 def write_embedding_store(vectors: DataFrame, path: str, model: str = EMBEDDING_MODEL) -> None:
@@ -72,7 +72,7 @@ def rebuild_embeddings(
     Tenants with an unchanged signature are neither embedded nor rewritten.
     """
     spark = catalog.sparkSession
-    wanted = checkpointed(catalog_signature(catalog, model))
+    wanted = materialized(catalog_signature(catalog, model), "signatures")
     fresh = reusable(wanted, read_store(spark, path, "meta")).select("tenant_id")
     stale = catalog.join(fresh, "tenant_id", "left_anti").join(wanted, "tenant_id")
     made = embed(stale.select("tenant_id", "row_id", "signature", "retrieval_text"), "retrieval_text", fn, dim)

@@ -74,7 +74,7 @@ def product_card(df: DataFrame) -> Column:
     fields = []
     for name in CARD_FIELDS:
         if name == "price_eur":
-            value = F.col(name).cast("double")
+            value = (F.col(name) if name in df.columns else F.lit(None)).cast("double")
         elif name == "benefits":
             value = F.coalesce(non_empty(_field(df, name)), _field(df, "features"))
         else:

@@ -10,7 +10,7 @@ from ..functions.text import normalize, strip
 
 def first_section(documents: DataFrame) -> DataFrame:
     """The first top-level section of each pattern document ``(tenant_id, document)`` (JSON)."""
-    key = F.json_object_keys("document")[0]
+    key = F.get(F.json_object_keys("document"), F.lit(0))
     sections = F.from_json("document", "map<string,map<string,array<string>>>")
     return documents.where(key.isNotNull()).select(
         "tenant_id", F.try_element_at(sections, key).alias("section")

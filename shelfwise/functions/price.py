@@ -62,13 +62,22 @@ DEFAULT_TERMS = PriceTerms.of(PRICE_PATTERNS)
 RANGE_TYPE = "struct<lo:double,hi:double>"
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    digits = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-    return F.replace(digits, F.lit(","), F.lit(".")).cast("double")
+def _numbers(text: Column, pattern: str, *groups: int) -> Column:
+    """The amounts a pattern's groups caught, null where a group caught none.
+
+    The text is searched once; the groups are then taken from the short match.
+    """
+
+    def number(match: Column, group: int) -> Column:
+        digits = F.nullif(F.regexp_extract(match, pattern, group), F.lit(""))
+        return F.replace(digits, F.lit(","), F.lit(".")).cast("double")
+
+    found = F.when(text.rlike("[0-9]"), F.regexp_extract(text, pattern, 0))
+    return bind(found, lambda m: F.array(*[number(m, g) for g in groups]))
 
 
 def _range(amounts: Column, lo: Callable[[Column], Column]) -> Column:
-    """``(lo, greatest)`` of the amounts found, each pattern run once; null when none was found."""
+    """``(lo, greatest)`` of the amounts found; null when none was found."""
     return bind(
         amounts,
         lambda a: F.when(
@@ -86,7 +95,7 @@ def parse_between(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
     pattern = terms.between_regex()
     if pattern is None:
         return _no_range()
-    return _range(F.array(_number(text, pattern, 1), _number(text, pattern, 2)), F.array_min)
+    return _range(_numbers(text, pattern, 1, 2), F.array_min)
 
 
 def parse_under(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
@@ -94,7 +103,7 @@ def parse_under(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
     pattern = terms.under_regex()
     if pattern is None:
         return _no_range()
-    return _range(F.array(_number(text, pattern, 1)), lambda a: F.lit(0.0))
+    return _range(_numbers(text, pattern, 1), lambda a: F.lit(0.0))
 
 
 def parse_currency(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
@@ -102,8 +111,8 @@ def parse_currency(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
     pattern = terms.currency_regex()
     if pattern is None:
         return _no_range()
-    amount = F.coalesce(_number(text, pattern, 1), _number(text, pattern, 2))
-    return _range(F.array(amount), F.array_min)
+    # One of the two groups catches the amount; the other stays null.
+    return _range(_numbers(text, pattern, 1, 2), F.array_min)
 
 
 def parse_price_range(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:

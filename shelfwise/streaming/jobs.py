@@ -35,22 +35,33 @@ def request_metrics(requests: DataFrame) -> DataFrame:
     return rq.latency_buckets(watermarked(requests), *by)
 
 
-def quota_admission(requests: DataFrame, tenants: DataFrame) -> DataFrame:
+def quota_admission(
+    requests: DataFrame, tenants: DataFrame, buckets: int | None = None
+) -> DataFrame:
     """Daily quota as state: one counter per client and UTC day.
 
     Inside a micro-batch a client's rows are taken in (ts, rid) order, across micro-batches in
-    order of arrival. A late row still counts on its own day, until that day's counter expires a day
-    after its end. The function sees the few columns it needs, of one client and day in one
-    micro-batch; how many that can be is set by the source's batch limit.
+    order of arrival. A late row still counts on its own day, until that day's counters expire a day
+    after its end. The counters of a day are kept in hash buckets of clients, so that Python is
+    called per bucket and not per client. A call sees the few columns it needs, of one bucket in one
+    micro-batch; how many rows that can be is set by the source's batch limit. ``buckets`` is the
+    parallelism of a day, by default that of the session's shuffles; it must stay the same for the
+    life of a checkpoint.
     """
+    buckets = buckets or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     passed = classify_request_auth(requests, tenants).where("auth_status IS NULL")
     narrow = watermarked(passed, f"{QUOTA_LATENESS_DAYS} days").select(
-        "client_id", utc_day(F.col("ts")).alias("day"), "ts", "rid", F.col("daily_limit").cast("long")
+        utc_day(F.col("ts")).alias("day"),
+        F.pmod(F.xxhash64("client_id"), F.lit(buckets)).alias("bucket"),
+        "client_id",
+        "ts",
+        "rid",
+        F.col("daily_limit").cast("long"),
     )
-    return narrow.groupBy("client_id", "day").applyInPandasWithState(
+    return narrow.groupBy("day", "bucket").applyInPandasWithState(
         _admit,
         "rid long, client_id string, day date, used long, remaining long, admitted boolean",
-        "used long",
+        "clients array<string>, counts array<long>",
         "append",
         "EventTimeTimeout",
     )
@@ -60,19 +71,22 @@ def _admit(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]
     if state.hasTimedOut:
         state.remove()
         return
-    client_id, day = key
+    day = key[0]
     rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "rid"])
-    before = state.get[0] if state.exists else 0
+    counts = dict(zip(*state.get, strict=True)) if state.exists else {}
+    before = rows["client_id"].map(counts).fillna(0).to_numpy().astype("int64")
+    number = before + rows.groupby("client_id").cumcount().to_numpy() + 1
     limit = np.maximum(rows["daily_limit"].to_numpy(), 0)
-    number = before + np.arange(1, len(rows) + 1)
     admitted = number <= limit
-    state.update((int(before + len(rows)),))
+    for client, n in rows["client_id"].value_counts().items():
+        counts[client] = int(counts.get(client, 0) + n)
+    state.update((list(counts), list(counts.values())))
     expires = pd.Timestamp(day, tz="UTC") + pd.Timedelta(days=1 + QUOTA_LATENESS_DAYS)
     state.setTimeoutTimestamp(max(int(expires.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(
         {
             "rid": rows["rid"].to_numpy(),
-            "client_id": client_id,
+            "client_id": rows["client_id"].to_numpy(),
             "day": day,
             "used": np.where(admitted, number, limit),
             "remaining": np.maximum(limit - number, 0),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import CATEGORY_PATTERNS, MEDICAL_TERMS, SKIN_TYPES
+from ..session import materialized
 from .text import unaccent
 from .vector import bind
 
@@ -74,7 +75,12 @@ def matching_names(message: Column, patterns: Column) -> Column:
 
 
 def with_tenant_hints(messages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Add ``hints`` to messages from each tenant's own keyword rows."""
-    joined = messages.join(patterns_by_tenant(patterns), "tenant_id", "left")
+    """Add ``hints`` to messages from each tenant's own keyword rows.
+
+    The arrays, one small row per tenant, are written first: knowing their size, the planner can
+    broadcast them instead of shuffling all messages by a skewed tenant key.
+    """
+    arrays = materialized(patterns_by_tenant(patterns), "patterns")
+    joined = messages.join(arrays, "tenant_id", "left")
     hints = matching_names(F.col("message"), F.col("patterns"))
     return joined.withColumn("hints", hints).drop("patterns")

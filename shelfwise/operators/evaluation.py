@@ -65,13 +65,11 @@ def grounding_violations(answers: DataFrame, catalog: DataFrame) -> DataFrame:
         .agg(F.collect_set("size").alias("sizes"))
     )
     texts = answers.select("tenant_id", "msg_id", F.lower("answer").alias("text"))
-    # Full-length prefixes, plus the shorter names that are their own prefix.
-    lengths = prefixes.select("tenant_id", F.length("prefix").alias("width")).distinct()
-    widths = lengths.groupBy("tenant_id").agg(F.collect_set("width").alias("widths"))
+    # Prefix lengths in use: the full one, and those of shorter names, which are their own prefix.
+    widths = names.where(size > 0).agg(F.collect_set(F.least(size, F.lit(PREFIX))).alias("w")).scalar()
     starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
     places = (
-        texts.join(widths, "tenant_id")
-        .select("tenant_id", "msg_id", "text", F.explode("widths").alias("width"))
+        texts.select("tenant_id", "msg_id", "text", F.explode(widths).alias("width"))
         .select("tenant_id", "msg_id", "text", "width", F.explode(starts).alias("at"))
         .select("tenant_id", "msg_id", "at", "width", F.expr("substring(text, at, width)").alias("prefix"))
         .where(F.length("prefix") == F.col("width"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..fixed_values import EMBEDDING_BATCH, EMBEDDING_DIM, EMBEDDING_MODEL, INDEX_VERSION
 from ..functions.vector import hash_embedding, l2_normalize
+from ..session import materialized
 
 # Rows per signature block, and the largest catalog whose texts are hashed as one string.
 BLOCK_BITS = 12
@@ -29,9 +30,10 @@ def catalog_signature(
     """Content signature per tenant, sensitive to texts, their order, model and version.
 
     Texts are joined in row order and hashed, then hashed again with model and version. Rows meet
-    in blocks of 4096 row numbers. The blocks of a small catalog are joined as they are; those of a
-    larger one (over 65,536 rows or 64 MiB) are hashed first, through a tree whose nodes have at
-    most 4096 children, so no task ever holds a catalog. Such signatures carry a version suffix.
+    in blocks of 4096 row numbers. The texts of a small catalog are joined as they are; those of a
+    larger one (over 65,536 rows or 64 MiB) are hashed first, then go through a tree whose nodes
+    have at most 4096 children, so no task ever holds a catalog. Such signatures carry a version
+    suffix.
     """
     size = catalog.groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -39,9 +41,10 @@ def catalog_signature(
         F.max("row_id").alias("last"),
     )
     small = (F.col("n") <= small_rows) & (F.col("bytes") <= small_bytes) & (F.col("last") < small_rows)
-    tagged = catalog.select("tenant_id", "row_id", F.col(text).alias("text")).join(
-        size.select("tenant_id", small.alias("small")), "tenant_id"
-    )
+    # One row per tenant, written so that the planner sees its size and spares the texts a shuffle.
+    kinds = materialized(size.select("tenant_id", small.alias("small")), "catalog-sizes")
+    leaf = F.when(F.col("small"), F.col(text)).otherwise(F.sha2(text, 256)).alias("text")
+    tagged = catalog.join(kinds, "tenant_id").select("tenant_id", "small", "row_id", leaf)
 
     def joined(position: str, value: str) -> Column:
         ordered = F.array_sort(F.collect_list(F.struct(position, value)))

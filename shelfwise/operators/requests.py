@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DEFAULT_DAILY_LIMIT, LATENCY_BUCKETS, TOKEN_PRICES
 from ..functions.clock import utc_day
+from ..session import materialized
 
 # Length of the slots that a client's day is numbered in.
 SLOT_SECONDS = 60
@@ -192,8 +193,13 @@ def nearest_rank_percentile(
     data = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
     if not group:
         group, data = ["_all"], data.withColumn("_all", F.lit(0))
-    range_ = data.groupBy(*group).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")
+    # Both lookup tables have a few rows per group. They are written first, so that the planner
+    # sees their size and need not shuffle the data by a key with few or skewed values.
+    range_ = materialized(
+        data.groupBy(*group).agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")
+        ),
+        "value-ranges",
     )
     share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     place = F.when(
@@ -213,12 +219,13 @@ def nearest_rank_percentile(
             for p in percents
         ]
     )
-    wanted = (
+    wanted = materialized(
         per_bucket.withColumn("_upto", F.sum("_c").over(upto))
         .withColumn("_r", F.explode(ranks))
         .select(*group, "_b", (F.col("_upto") - F.col("_c")).alias("_before"), "_upto", "_r.*")
         .where((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_upto")))
-        .drop("_upto")
+        .drop("_upto"),
+        "value-ranks",
     )
     inside = placed.join(wanted.select(*group, "_b").distinct(), [*group, "_b"], "left_semi")
     values = inside.groupBy(*group, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))

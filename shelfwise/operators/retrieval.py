@@ -16,10 +16,18 @@ from pyspark.sql import functions as F
 from ..fixed_values import DEFAULT_TOP_K
 from ..functions.vector import EPSILON, cosine_similarity
 from ..session import materialized
-from .candidates import effective_filters, matches, product_scopes, wanted_scopes
+from .candidates import (
+    effective_filters,
+    matches,
+    message_candidates,
+    product_scopes,
+    wanted_scopes,
+)
 
 BLOCK_MESSAGES = 2048
 BLOCK_PRODUCTS = 4096
+# Up to this many candidates, a message is scored pair by pair.
+FEW_CANDIDATES = 128
 # Similarities equal to this many places tie, and ties go to the lower row number.
 TIE_PLACES = 9
 
@@ -71,7 +79,7 @@ def _best_of_block(k: int):
     return kernel
 
 
-def block_topk(
+def block_hits(
     messages: DataFrame,
     products: DataFrame,
     k: int,
@@ -80,11 +88,11 @@ def block_topk(
     message_block: int = BLOCK_MESSAGES,
     product_block: int = BLOCK_PRODUCTS,
 ) -> DataFrame:
-    """Best ``k`` products per message among those that share its ``group`` columns.
+    """Best ``k`` products of every block for each message that shares its ``group`` columns.
 
     ``messages``: group, msg_id, vec and, for a price mask, lo and hi. ``products``: group, row_id,
     vec and price_eur. ``message_groups`` is a cheaper source of the messages' group columns, if
-    there is one. Returns ``(msg_id, row_id, sim, rank)``.
+    there is one. Returns ``(msg_id, row_id, sim)``; the best k of a message are among them.
     """
     counted = messages if message_groups is None else message_groups
     m_size = counted.groupBy(*group).agg(
@@ -109,12 +117,20 @@ def block_topk(
         .drop("m_blocks", "p_blocks")
     )
     keys = [*group, "m_block", "p_block"]
-    found = (
+    return (
         m_side.groupBy(*keys)
         .cogroup(p_side.groupBy(*keys))
         .applyInArrow(_best_of_block(k), "msg_id long, row_id long, sim double")
     )
-    return keep_best(found, k)
+
+
+def pair_hits(pairs: DataFrame, messages: DataFrame, products: DataFrame) -> DataFrame:
+    """Similarity of given ``(tenant_id, msg_id, row_id)`` pairs."""
+    p_side = products.select("tenant_id", "row_id", F.col("vec").alias("p_vec"))
+    m_side = messages.select("tenant_id", "msg_id", F.col("vec").alias("m_vec"))
+    both = pairs.join(p_side, ["tenant_id", "row_id"]).join(m_side, ["tenant_id", "msg_id"])
+    sim = F.round(cosine_similarity(F.col("p_vec"), F.col("m_vec")), TIE_PLACES)
+    return both.select("msg_id", "row_id", sim.alias("sim"))
 
 
 def keep_best(found: DataFrame, k: int) -> DataFrame:
@@ -125,12 +141,13 @@ def keep_best(found: DataFrame, k: int) -> DataFrame:
 
 def cosine_topk(messages: DataFrame, products: DataFrame, k: int) -> DataFrame:
     """Best ``k`` of the tenant's whole catalog."""
-    return block_topk(
+    hits = block_hits(
         messages.select("tenant_id", "msg_id", "vec"),
         products.select("tenant_id", "row_id", "vec"),
         k,
         ["tenant_id"],
     )
+    return keep_best(hits, k)
 
 
 def overfetch_size(k: int) -> int:
@@ -154,25 +171,32 @@ def retrieve_overfetch(
 
 
 def retrieve_prefilter(
-    messages: DataFrame, products: DataFrame, k: int = DEFAULT_TOP_K
+    messages: DataFrame, products: DataFrame, k: int = DEFAULT_TOP_K, few: int = FEW_CANDIDATES
 ) -> DataFrame:
     """Filter first, rank inside the candidates.
 
-    Hinted messages meet only the blocks of their categories, and the price range masks inside a
-    block. Blocks nobody asks for are dropped before the shuffle.
+    The number of candidates of every message is known before any vector is touched. Messages with
+    a few candidates are scored pair by pair, whatever the size of the catalog. The others meet the
+    blocks of their categories only, and the price range masks inside a block. Groups nobody asks
+    for are dropped before the shuffle.
     """
-    # Narrow, and needed for the block sizes as well as for the search: computed once.
-    filters = materialized(effective_filters(messages, products).drop("n_match"), "filters")
+    # Narrow, and needed three times: computed once.
+    filters = materialized(effective_filters(messages, products), "filters")
+    selective = F.col("n_match").between(1, few)
+    pairs = pair_hits(message_candidates(filters.where(selective), products), messages, products)
+
+    broad = filters.where(~selective)
     scope = F.explode(wanted_scopes(F.col("hints"))).alias("scope")
-    vectors = messages.select("tenant_id", "msg_id", "vec").join(filters, ["tenant_id", "msg_id"])
+    vectors = messages.select("tenant_id", "msg_id", "vec").join(broad, ["tenant_id", "msg_id"])
     m_side = vectors.select("tenant_id", scope, "msg_id", "vec", "lo", "hi")
     p_side = products.select(
         "tenant_id",
         F.explode(product_scopes(F.col("category"))).alias("scope"),
         "row_id", "vec", "price_eur",
     )
-    groups = filters.select("tenant_id", scope)
-    return block_topk(m_side, p_side, k, ["tenant_id", "scope"], message_groups=groups)
+    groups = broad.select("tenant_id", scope)
+    blocks = block_hits(m_side, p_side, k, ["tenant_id", "scope"], message_groups=groups)
+    return keep_best(pairs.unionByName(blocks), k)
 
 
 def single_query_topk(products: DataFrame, query: Column, k: int) -> DataFrame:

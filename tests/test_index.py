@@ -32,7 +32,8 @@ def test_signature_follows_texts_order_and_model(spark):
 def test_large_catalogs_get_a_tree_signature(spark):
     texts = [f"t{i}" for i in range(5000)]
     tree = signatures(catalog(spark, a=texts), small_rows=4096)["a"]
-    blocks = [sha("\n".join(texts[i : i + 4096])) for i in (0, 4096)]
+    leaves = [sha(t) for t in texts]
+    blocks = [sha("\n".join(leaves[i : i + 4096])) for i in (0, 4096)]
     assert tree == sha(sha(sha("\n".join(blocks))) + "|m|retriever_v1_tree")
     swapped = [texts[1], texts[0], *texts[2:]]
     assert signatures(catalog(spark, a=swapped), small_rows=4096)["a"] != tree

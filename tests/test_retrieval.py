@@ -75,14 +75,16 @@ def test_cover_is_disjoint_and_complete(spark, first, last):
 @pytest.mark.parametrize("block", [1000, 7])
 def test_topk_is_exact_for_any_block_size(world, block):
     products, messages, p, m = world
-    got = as_lists(ret.block_topk(m.select("tenant_id", "msg_id", "vec"), p.select("tenant_id", "row_id", "vec"), 5, ["tenant_id"], message_block=block, product_block=block + 4))
+    hits = ret.block_hits(m.select("tenant_id", "msg_id", "vec"), p.select("tenant_id", "row_id", "vec"), 5, ["tenant_id"], message_block=block, product_block=block + 4)
+    got = as_lists(ret.keep_best(hits, 5))
     for x in messages:
         assert got[x[1]] == ranking(x, [y for y in products if y[0] == x[0]], 5)
 
 
-def test_prefilter_and_overfetch(world):
+@pytest.mark.parametrize("few", [0, 6, 1000])
+def test_prefilter_and_overfetch(world, few):
     products, messages, p, m = world
-    pre, over = as_lists(ret.retrieve_prefilter(m, p, 4)), as_lists(ret.retrieve_overfetch(m, p, 4))
+    pre, over = as_lists(ret.retrieve_prefilter(m, p, 4, few=few)), as_lists(ret.retrieve_overfetch(m, p, 4))
     for x in messages:
         own = [y for y in products if y[0] == x[0]]
         ok = {y[1] for y in own if allowed(x, y)} or {y[1] for y in own}

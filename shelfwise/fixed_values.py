@@ -162,6 +162,20 @@ GREETING_FALLBACK = (
     "and I’ll suggest the best options."
 )
 
+# Lines of the catalog quality report.
+REPORT_ERRORS = {
+    "missing": "Columna '{COLUMN}' tiene {PERCENT}% valores nulos (> 5%)",
+    "bad_price": "{N} filas con precio inválido",
+    "negative_price": "{N} filas con precio negativo",
+    "duplicates": "{N} productos duplicados (ejemplos: {NAMES})",
+}
+REPORT_WARNINGS = {
+    "zero_price": "{N} filas con precio 0.00",
+    "unknown_categories": "categorías desconocidas: {NAMES}",
+    "not_judged": "No se validaron categorías (falta data/patterns/category_patterns.yaml o 'categories')",
+    "short_descriptions": "{N} descripciones con menos de {LIMIT} caracteres",
+}
+
 # Transliterations that are not one plain letter for one accented letter.
 TRANSLITERATIONS = {
     "ß": "ss", "ẞ": "Ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th",

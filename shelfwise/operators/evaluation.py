@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .requests import nearest_rank_percentile
+from ..fixed_values import TOKEN_PRICES
+from .requests import nearest_rank_percentile, token_cost
 
 # Length of the name prefix that is looked up in an answer.
 PREFIX = 8
@@ -109,7 +110,7 @@ def eval_summary(results: DataFrame) -> DataFrame:
     """One row over all cases; means are null when nothing was scored, percentiles then 0.
 
     ``results``: precision_at_k, recall, expect_no_match, correctly_rejected, n_hallucinations,
-    retrieve_ms, answer_ms and the token counts of the run.
+    retrieve_ms, answer_ms and the tokens each case used: embedding, chat_prompt, chat_completion.
     """
     scored = F.col("recall").isNotNull()
     counts = results.agg(
@@ -120,6 +121,8 @@ def eval_summary(results: DataFrame) -> DataFrame:
         F.count_if("expect_no_match").alias("no_match_cases"),
         F.count_if("correctly_rejected").alias("correctly_rejected"),
         F.count_if(F.col("n_hallucinations") > 0).alias("cases_with_possible_hallucination"),
+        *[F.coalesce(F.sum(kind), F.lit(0)).alias(f"{kind}_tokens") for kind in TOKEN_PRICES],
+        F.round(F.coalesce(token_cost(), F.lit(0.0)), 5).alias("estimated_cost_usd"),
     )
     timed = results.select(
         F.explode(

@@ -16,9 +16,12 @@ from ..fixed_values import (
     DUPLICATE_EXAMPLES,
     MAX_NULL_RATIO,
     MIN_DESCRIPTION_CHARS,
+    REPORT_ERRORS,
+    REPORT_WARNINGS,
     REQUIRED_COLUMNS,
 )
 from ..functions.price import extract_price_number
+from ..functions.text import render
 
 # Names listed in a report line; ``unknown_categories`` has all of them as rows.
 LISTED_CATEGORIES = 100
@@ -121,40 +124,40 @@ def catalog_quality_report(catalog: DataFrame, valid: DataFrame) -> DataFrame:
         whole = whole.join(part, "tenant_id", "left")
     whole = whole.na.fill(0, ["duplicates", "n_unknown"]).na.fill(False, ["judged"])
 
-    def line(test: Column, *parts: Column | str) -> Column:
-        texts = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
-        return F.when(test, F.concat(*texts))
+    c = F.col
+
+    def line(test: Column, template: str, **values: Column) -> Column:
+        texts = {name: value.cast("string") for name, value in values.items()}
+        return F.when(test, render(template, texts))
 
     def percent(share: Column) -> Column:
         return F.format_string("%.1f", share * 100)
 
-    c = F.col
+    say, warn = REPORT_ERRORS, REPORT_WARNINGS
     errors = [
         line(
-            c(f"missing_{name}") > MAX_NULL_RATIO,
-            f"Columna '{name}' tiene ", percent(c(f"missing_{name}")), "% valores nulos (> 5%)",
+            c(f"missing_{name}") > MAX_NULL_RATIO, say["missing"],
+            COLUMN=F.lit(name), PERCENT=percent(c(f"missing_{name}")),
         )
         for name in REQUIRED_COLUMNS
     ]
     errors += [
-        line(c("price_bad") > 0, c("price_bad"), " filas con precio inválido"),
-        line(c("price_neg") > 0, c("price_neg"), " filas con precio negativo"),
-        line(
-            c("duplicates") > 0,
-            c("duplicates"), " productos duplicados (ejemplos: ", _listed(c("examples")), ")",
-        ),
+        line(c("price_bad") > 0, say["bad_price"], N=c("price_bad")),
+        line(c("price_neg") > 0, say["negative_price"], N=c("price_neg")),
+        line(c("duplicates") > 0, say["duplicates"], N=c("duplicates"), NAMES=_listed(c("examples"))),
     ]
     more = F.when(
         c("n_unknown") > LISTED_CATEGORIES,
-        F.concat(F.lit(" y "), (c("n_unknown") - LISTED_CATEGORIES).cast("string"), F.lit(" más")),
+        F.concat(F.lit(" + "), (c("n_unknown") - LISTED_CATEGORIES).cast("string")),
     ).otherwise("")
+    names = F.concat(_listed(c("unknown")), more)
     warnings = [
-        line(c("price_zero") > 0, c("price_zero"), " filas con precio 0.00"),
-        line(c("n_unknown") > 0, "categorías desconocidas: ", _listed(c("unknown")), more),
-        line(~c("judged"), "No se validaron categorías (falta category_patterns.yaml o 'categories')"),
+        line(c("price_zero") > 0, warn["zero_price"], N=c("price_zero")),
+        line(c("n_unknown") > 0, warn["unknown_categories"], NAMES=names),
+        line(~c("judged"), warn["not_judged"]),
         line(
-            c("short") > 0,
-            c("short"), f" descripciones con menos de {MIN_DESCRIPTION_CHARS} caracteres",
+            c("short") > 0, warn["short_descriptions"],
+            N=c("short"), LIMIT=F.lit(MIN_DESCRIPTION_CHARS),
         ),
     ]
     return whole.select(

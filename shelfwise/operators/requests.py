@@ -241,11 +241,16 @@ def nearest_rank_percentile(
     return found.select(*by, "percent", F.col("_v").alias(value))
 
 
+def token_cost() -> Column:
+    """Price in USD of the summed token columns."""
+    parts = [F.sum(kind) / 1_000_000 * price for kind, price in TOKEN_PRICES.items()]
+    return sum(parts[1:], parts[0])
+
+
 def token_usage_cost(usage: DataFrame, *by: Column | str) -> DataFrame:
     """Token sums and their price in USD."""
-    sums = usage.groupBy(*by).agg(*[F.sum(kind).alias(kind) for kind in TOKEN_PRICES])
-    cost = sum((F.col(k) / 1_000_000 * price for k, price in TOKEN_PRICES.items()), F.lit(0.0))
-    return sums.withColumn("estimated_cost_usd", cost)
+    sums = [F.sum(kind).alias(kind) for kind in TOKEN_PRICES]
+    return usage.groupBy(*by).agg(*sums, token_cost().alias("estimated_cost_usd"))
 
 
 # --- windowed rates and alerts -----------------------------------------------------------------

@@ -90,6 +90,11 @@ SUMMARY_SQL = f"""
            count(recall) AS cases_scored, count(*) FILTER (WHERE expect_no_match) AS no_match_cases,
            count(*) FILTER (WHERE correctly_rejected) AS correctly_rejected,
            count(*) FILTER (WHERE len(retrieved) > 4) AS cases_with_possible_hallucination,
+           CAST(sum(len(expected)) AS BIGINT) AS embedding_tokens,
+           CAST(sum(coalesce(length(array_to_string(retrieved, '')), 0)) AS BIGINT) AS chat_prompt_tokens,
+           CAST(sum(len(retrieved) * 3) AS BIGINT) AS chat_completion_tokens,
+           round(CAST(sum(len(expected)) / 1000000.0 * 0.02 + sum(coalesce(length(array_to_string(retrieved, '')), 0)) / 1000000.0 * 0.15
+             + sum(len(retrieved) * 3) / 1000000.0 * 0.60 AS DOUBLE), 5) AS estimated_cost_usd,
            {percentile_sql('retrieve_ms', 50)} AS retrieve_p50, {percentile_sql('retrieve_ms', 95)} AS retrieve_p95,
            {percentile_sql('answer_ms', 50)} AS answer_p50, {percentile_sql('answer_ms', 95)} AS answer_p95
     FROM scored"""
@@ -97,7 +102,15 @@ SUMMARY_SQL = f"""
 
 def results(spark, d):
     scored = ev.reject_cases(ev.score_cases(cases(spark, d)))
-    return scored.withColumn("n_hallucinations", F.greatest(F.size("sources") - 4, F.lit(0)))
+    said = F.array_join("sources", "")
+    return scored.withColumns(
+        {
+            "n_hallucinations": F.greatest(F.size("sources") - 4, F.lit(0)),
+            "embedding": F.size("expected_products"),
+            "chat_prompt": F.length(said),
+            "chat_completion": F.size("sources") * 3,
+        }
+    )
 
 
 @query("eval_summary", duck(SUMMARY_SQL, CASES, SCORED))

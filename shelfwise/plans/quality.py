@@ -154,7 +154,7 @@ PRICED = (
         CASE WHEN price_zero > 0 THEN concat(price_zero, ' filas con precio 0.00') END,
         CASE WHEN unknown IS NOT NULL THEN concat('categorías desconocidas: [''', unknown, ''']') END,
         CASE WHEN c.tenant_id NOT IN (SELECT tenant_id FROM valid_categories)
-             THEN 'No se validaron categorías (falta category_patterns.yaml o ''categories'')' END,
+             THEN 'No se validaron categorías (falta data/patterns/category_patterns.yaml o ''categories'')' END,
         CASE WHEN short > 0 THEN concat(short, ' descripciones con menos de 10 caracteres') END) AS warnings
     FROM (SELECT tenant_id, count(*) AS rows, count(p) AS price_ok, count(*) - count(p) AS price_bad,
                  count(*) FILTER (WHERE p < 0) AS price_neg, count(*) FILTER (WHERE p = 0) AS price_zero,

@@ -93,3 +93,28 @@ def test_pattern_documents(spark):
     rows = sorted(tuple(r) for r in pat.explode_patterns(docs).collect())
     assert rows == [("a", 0, "z", 0, "k2"), ("a", 0, "z", 1, "k1"), ("a", 1, "b", 0, "q")]
     assert sorted(r[0] for r in pat.unusable_documents(docs).collect()) == ["b", "c"]
+
+
+def test_configuration_files(spark, tmp_path):
+    pytest.importorskip("yaml")
+    for tenant, name, body in [
+        ("one", "category_patterns.yaml", "categories:\n  z: [k2, 'ñ']\n  b: [q]\nother: {x: [y]}\n"),
+        ("two", "category_patterns.yaml", '{"skin": {"dry": ["seca"]}}'),
+        ("bad", "category_patterns.yaml", "a: [unclosed"),
+        ("one", "price_patterns.yaml", "price_patterns:\n  en: {under: [below, '<'], currency: ['€']}\n  es: {under: [menos de]}\n"),
+        ("one", "few_shot_prompt.yaml", "- {user: hi, assistant: hello}\n- {user: ' ', assistant: no}\n- {user: x}\n"),
+        ("one", "tenants.yaml", "a: {api_key: k, max_requests_per_day: 5}\nb: {api_key: q}\n"),
+    ]:
+        (tmp_path / tenant / "patterns").mkdir(parents=True, exist_ok=True)
+        (tmp_path / tenant / "patterns" / name).write_text(body, encoding="utf-8")
+    read = lambda name: pat.read_documents(spark, f"{tmp_path}/*/patterns/{name}", tenant_level=2)
+    docs = read("category_patterns.yaml")
+    words = sorted((r["tenant_id"], r["ordinal"], r["canonical"], r["keyword"]) for r in pat.explode_patterns(docs).collect())
+    assert words == [("one", 0, "z", "k2"), ("one", 0, "z", "ñ"), ("one", 1, "b", "q"), ("two", 0, "dry", "seca")]
+    assert [r[0] for r in pat.unusable_documents(docs).collect()] == ["bad"]
+    terms = {r["kind"]: r["terms"] for r in pat.union_price_terms(pat.price_terms_of(read("price_patterns.yaml"))).collect()}
+    assert terms == {"under": ["below", "<", "menos de"], "currency": ["€"]}
+    pairs = pat.valid_few_shot(pat.few_shot_of(read("few_shot_prompt.yaml"))).collect()
+    assert [(r["user"], r["assistant"]) for r in pairs] == [("hi", "hello")]
+    registry = sorted(tuple(r) for r in pat.tenants_of(read("tenants.yaml")).collect())
+    assert registry == [("a", "k", 5), ("b", "q", None)]

@@ -19,14 +19,16 @@ def test_scores(spark):
 
 
 def test_summary(spark):
-    schema = "precision_at_k double, recall double, expect_no_match boolean, correctly_rejected boolean, n_hallucinations int, retrieve_ms double, answer_ms double"
-    rows = [(0.5, 1.0, False, None, 0, 10.0, 1.0), (0.0, 0.0, False, None, 2, 20.0, 2.0), (None, None, True, True, 0, 30.0, 3.0)]
+    schema = "precision_at_k double, recall double, expect_no_match boolean, correctly_rejected boolean, n_hallucinations int, retrieve_ms double, answer_ms double, embedding int, chat_prompt int, chat_completion int"
+    rows = [(0.5, 1.0, False, None, 0, 10.0, 1.0, 100, 7000, 2000), (0.0, 0.0, False, None, 2, 20.0, 2.0, 164, 868, 416), (None, None, True, True, 0, 30.0, 3.0, 0, 0, 0)]
     out = ev.eval_summary(spark.createDataFrame(rows, schema)).first().asDict()
     assert (out["mean_precision_at_k"], out["mean_recall"], out["cases_scored"], out["cases_total"]) == (0.25, 0.5, 2, 3)
     assert (out["no_match_cases"], out["correctly_rejected"], out["cases_with_possible_hallucination"]) == (1, 1, 1)
     assert (out["retrieve_p50"], out["answer_p95"]) == (20.0, 3.0)
+    assert (out["embedding_tokens"], out["chat_prompt_tokens"], out["chat_completion_tokens"]) == (264, 7868, 2416)
+    assert out["estimated_cost_usd"] == round((264 * 0.02 + 7868 * 0.15 + 2416 * 0.6) / 1e6, 5)
     empty = ev.eval_summary(spark.createDataFrame([], schema)).first().asDict()
-    assert empty["mean_recall"] is None and empty["retrieve_p50"] == 0.0 and empty["cases_total"] == 0
+    assert empty["mean_recall"] is None and empty["retrieve_p50"] == 0.0 and empty["cases_total"] == 0 and empty["estimated_cost_usd"] == 0.0
 
 
 def test_grounding_against_brute_force(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keywords import with_tenant_hints
 from ..functions.price import DEFAULT_TERMS, PriceTerms, parse_price_range
+from ..session import materialized
 
 FANOUT = 4
 LEVELS = 15
@@ -57,58 +58,72 @@ def matches(price: Column, category: Column, lo: Column, hi: Column, hints: Colu
 def _cell(price: Column) -> Column:
     """Rank-preserving integer price; the exact limits are checked on the doubles."""
     bounded = F.least(F.greatest(price, F.lit(0.0)), F.lit(MAX_PRICE))
-    return F.floor(bounded * 100).cast("long")
-
-
-def _levels() -> Column:
-    return F.sequence(F.lit(0), F.lit(LEVELS))
+    return F.when(price.isNotNull(), F.floor(bounded * 100).cast("long"))
 
 
 def _width(level: Column) -> Column:
     return F.pow(F.lit(float(FANOUT)), level).cast("long")
 
 
-def _product_cells(cell: Column) -> Column:
-    """The product's cell on every level."""
-    return F.transform(
-        _levels(),
-        lambda i: F.struct(
-            i.cast("int").alias("level"), F.floor(cell / _width(i)).cast("long").alias("cell")
-        ),
-    )
-
+def _run(a: Column, b: Column) -> Column:
+    none = F.array().cast("array<bigint>")
+    return F.when(a <= b, F.sequence(a, b)).otherwise(none)
 
-def _cover(first: Column, last: Column) -> Column:
-    """Disjoint cells whose union is ``first..last``; empty when first > last."""
-    none = F.array().cast("array<struct<level:int,cell:bigint>>")
 
-    def cells(level: Column, a: Column, b: Column) -> Column:
-        run = F.transform(
-            F.sequence(a, F.greatest(a, b)),
-            lambda x: F.struct(level.cast("int").alias("level"), x.alias("cell")),
-        )
-        return F.when(a <= b, run).otherwise(none)
+def with_cover(df: DataFrame, first: str, last: str, exact: bool = False) -> DataFrame:
+    """One row per cell of the disjoint cover of ``first..last``: adds ``level`` and ``cell``.
 
-    def state(a: Column, b: Column, out: Column) -> Column:
-        return F.struct(a.alias("a"), b.alias("b"), out.alias("out"))
-
-    def step(s: Column, level: Column) -> Column:
-        a, b = s["a"], s["b"]
-        up = F.ceil(a / FANOUT).cast("long")
-        down = (F.floor((b + 1) / FANOUT) - 1).cast("long")
-        # Whole parents in the middle go on to the next level; the ragged ends stay here.
-        split = (up <= down) & (level < LEVELS)
-        ends = F.concat(cells(level, a, up * FANOUT - 1), cells(level, (down + 1) * FANOUT, b))
-        return (
-            F.when(a > b, s)
-            .when(split, state(up, down, F.concat(s["out"], ends)))
-            .otherwise(
-                state(F.lit(1).cast("long"), F.lit(0).cast("long"), F.concat(s["out"], cells(level, a, b)))
-            )
-        )
-
-    start = state(first, last, none)
-    return F.aggregate(_levels(), start, step, lambda s: s["out"])
+    A null range reads the one cell that holds everything. With ``exact`` the two outermost one-cent
+    cells are left out of the cover and asked for as exact prices instead. All columns are plain
+    expressions, so the expansion stays in generated code.
+    """
+    lo, hi = F.col(first), F.col(last)
+    a, b = (lo + 1, hi - 1) if exact else (lo, hi)
+    # No cell wider than the range lies inside it.
+    top = F.floor(F.log(float(FANOUT), F.greatest(b - a + 1, F.lit(1)).cast("double"))) + 1
+    levels = F.sequence(F.lit(0), F.least(top, F.lit(LEVELS)).cast("int"))
+    if exact:
+        levels = F.concat(levels, F.array(F.lit(EXACT)))
+    levels = F.when(lo.isNull(), F.array(F.lit(EVERYTHING))).otherwise(levels)
+
+    level = F.col("level")
+    placed = df.withColumn("level", F.explode(levels)).withColumn("_w", _width(F.abs(level)))
+    inside = placed.withColumns(
+        {
+            # First and last cell wholly inside, on this level and on the next.
+            "_a": F.ceil(a / F.col("_w")).cast("long"),
+            "_b": F.floor((b + 1) / F.col("_w")).cast("long") - 1,
+            "_up": F.ceil(a / (F.col("_w") * FANOUT)).cast("long"),
+            "_down": F.floor((b + 1) / (F.col("_w") * FANOUT)).cast("long") - 1,
+        }
+    )
+    # What has a parent wholly inside is left to the parent.
+    split = (F.col("_up") <= F.col("_down")) & (level < LEVELS)
+    ends = F.concat(
+        _run(F.col("_a"), F.col("_up") * FANOUT - 1), _run((F.col("_down") + 1) * FANOUT, F.col("_b"))
+    )
+    cells = (
+        F.when(level == EVERYTHING, F.array(F.lit(0).cast("long")))
+        .when(level == EXACT, F.array_distinct(F.array(lo, hi)))
+        .when(split, ends)
+        .otherwise(_run(F.col("_a"), F.col("_b")))
+    )
+    return inside.withColumn("cell", F.explode(cells)).drop("_w", "_a", "_b", "_up", "_down")
+
+
+def with_product_cells(df: DataFrame, price: str, exact: bool = False) -> DataFrame:
+    """One row per cell a product lies in: adds ``level`` and ``cell``."""
+    levels = F.concat(F.sequence(F.lit(0), F.lit(LEVELS)), F.array(F.lit(EVERYTHING)))
+    if exact:
+        levels = F.concat(levels, F.array(F.lit(EXACT)))
+    levels = F.when(F.col(price).isNull(), F.array(F.lit(EVERYTHING))).otherwise(levels)
+    level, at = F.col("level"), _cell(F.col(price))
+    cell = (
+        F.when(level == EVERYTHING, F.lit(0).cast("long"))
+        .when(level == EXACT, at)
+        .otherwise(F.floor(at / _width(F.abs(level))).cast("long"))
+    )
+    return df.withColumn("level", F.explode(levels)).withColumn("cell", cell)
 
 
 def category_scope(category: Column) -> Column:
@@ -126,26 +141,18 @@ def wanted_scopes(hints: Column) -> Column:
     return F.when(F.size(hints) == 0, F.array(F.lit(ANY_CATEGORY))).otherwise(named)
 
 
-def _bounds(cell: Column) -> Column:
-    return F.struct(F.lit(EXACT).alias("level"), cell.alias("cell"))
-
-
-def _everything() -> Column:
-    return F.array(F.struct(F.lit(EVERYTHING).alias("level"), F.lit(0).cast("long").alias("cell")))
-
-
-def _message_cells(edges_exact: bool) -> Column:
-    """Cells a message reads: its price cover, or all prices when it names none.
-
-    With ``edges_exact`` the two outermost one-cent cells are asked for as exact prices.
-    """
-    lo, hi = _cell(F.col("lo")), _cell(F.col("hi"))
-    if edges_exact:
-        inner = _cover(lo + 1, hi - 1)
-        cells = F.concat(inner, F.array_distinct(F.array(_bounds(lo), _bounds(hi))))
-    else:
-        cells = _cover(lo, hi)
-    return F.when(F.col("lo").isNull(), _everything()).otherwise(cells)
+def _asked(messages: DataFrame, exact: bool) -> DataFrame:
+    """The (scope, cell) places every message reads."""
+    scoped = messages.select(
+        "tenant_id",
+        "msg_id",
+        "lo",
+        "hi",
+        _cell(F.col("lo")).alias("_first"),
+        _cell(F.col("hi")).alias("_last"),
+        F.explode(wanted_scopes(F.col("hints"))).alias("scope"),
+    )
+    return with_cover(scoped, "_first", "_last", exact).drop("_first", "_last")
 
 
 def match_counts(messages: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -162,34 +169,13 @@ def match_counts(messages: DataFrame, catalog: DataFrame) -> DataFrame:
         .groupBy("tenant_id", "scope", "price_eur")
         .agg(F.sum("n").alias("n"))
     )
-    at = _cell(F.col("price_eur"))
-    priced = F.col("price_eur").isNotNull()
-    places = F.concat(
-        _everything(),
-        F.when(priced, F.concat(F.array(_bounds(at)), _product_cells(at))).otherwise(F.array()),
-    )
     index = (
-        per_price.withColumn("place", F.explode(places))
-        .select(
-            F.col("tenant_id"),
-            F.col("scope"),
-            F.col("place.level").alias("level"),
-            F.col("place.cell").alias("cell"),
-            F.when(F.col("place.level") == EXACT, F.col("price_eur")).alias("price"),
-            F.col("n"),
-        )
+        with_product_cells(per_price, "price_eur", exact=True)
+        .withColumn("price", F.when(F.col("level") == EXACT, F.col("price_eur")))
         .groupBy("tenant_id", "scope", "level", "cell", "price")
         .agg(F.sum("n").alias("n"))
     )
-    asked = (
-        messages.select("tenant_id", "msg_id", "lo", "hi", "hints")
-        .withColumn("scope", F.explode(wanted_scopes(F.col("hints"))))
-        .withColumn("place", F.explode(_message_cells(edges_exact=True)))
-        .select(
-            "tenant_id", "msg_id", "lo", "hi", "scope",
-            F.col("place.level").alias("level"), F.col("place.cell").alias("cell"),
-        )
-    )
+    asked = _asked(messages, exact=True)
     inside = (F.col("level") != EXACT) | F.col("price").between(F.col("lo"), F.col("hi"))
     return (
         asked.join(index, ["tenant_id", "scope", "level", "cell"])
@@ -220,6 +206,7 @@ def effective_filters(messages: DataFrame, catalog: DataFrame) -> DataFrame:
 def candidates_or_all(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     """Effective filters with the number of candidates they leave."""
     sizes = catalog.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_catalog"))
+    sizes = materialized(sizes, "catalog-sizes")
     sized = effective_filters(messages, catalog).join(sizes, "tenant_id", "left")
     whole = F.coalesce("n_catalog", F.lit(0))
     left = F.when(F.col("n_match") > 0, F.col("n_match")).otherwise(whole)
@@ -228,29 +215,11 @@ def candidates_or_all(messages: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def message_candidates(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     """All allowed (message, product) pairs, each produced by exactly one cell."""
-    at = _cell(F.col("price_eur"))
-    priced = F.col("price_eur").isNotNull()
-    places = F.concat(
-        _everything(), F.when(priced, _product_cells(at)).otherwise(F.array())
-    )
-    products = (
-        catalog.select("tenant_id", "row_id", "category", "price_eur")
-        .withColumn("scope", F.explode(product_scopes(F.col("category"))))
-        .withColumn("place", F.explode(places))
-        .select(
-            "tenant_id", "row_id", "price_eur", "scope",
-            F.col("place.level").alias("level"), F.col("place.cell").alias("cell"),
-        )
-    )
-    asked = (
-        messages.select("tenant_id", "msg_id", "lo", "hi", "hints")
-        .withColumn("scope", F.explode(wanted_scopes(F.col("hints"))))
-        .withColumn("place", F.explode(_message_cells(edges_exact=False)))
-        .select(
-            "tenant_id", "msg_id", "lo", "hi", "scope",
-            F.col("place.level").alias("level"), F.col("place.cell").alias("cell"),
-        )
+    scoped = catalog.select(
+        "tenant_id", "row_id", "price_eur", F.explode(product_scopes(F.col("category"))).alias("scope")
     )
+    products = with_product_cells(scoped, "price_eur")
+    asked = _asked(messages, exact=False)
     inside = F.col("lo").isNull() | F.col("price_eur").between(F.col("lo"), F.col("hi"))
     return (
         asked.join(products, ["tenant_id", "scope", "level", "cell"])

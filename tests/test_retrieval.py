@@ -62,7 +62,8 @@ def test_candidate_pairs_and_counts(world):
 
 @pytest.mark.parametrize(("first", "last"), [(0, 0), (3, 2), (0, 3), (1, 14), (5, 99_999), (16, 63), (0, 10**9)])
 def test_cover_is_disjoint_and_complete(spark, first, last):
-    cells = spark.range(1).select(cand._cover(F.lit(first).cast("long"), F.lit(last).cast("long"))).first()[0]
+    one = spark.createDataFrame([(first, last)], "a long, b long")
+    cells = cand.with_cover(one, "a", "b").collect()
     spans = sorted((c["cell"] * cand.FANOUT ** c["level"], (c["cell"] + 1) * cand.FANOUT ** c["level"] - 1) for c in cells)
     assert len(cells) < 120
     if first > last:

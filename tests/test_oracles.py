@@ -4,9 +4,12 @@ import check
 import pytest
 
 import __spark_entry__ as entry
+from shelfwise.plans import load_all, registry
 
 SF_DIR = entry.SMOKE_DIR
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+load_all()
+QUERIES = {name: fn for name, fn in entry.queries().items() if name in registry.QUERIES}
+ORACLES = registry.ORACLES
 
 
 @pytest.fixture(scope="module")

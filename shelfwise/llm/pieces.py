@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 # White space as the tokenizers' patterns know it; Python's own class has four control characters more.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -27,10 +27,11 @@ PATTERNS = {"byte": BYTE_LEVEL, "word": WORD_ENDS}
 
 MEMO_ENTRIES = 700_000
 MEMO_CHARS = 48
+CHARS_AT_ONCE = 1_000_000
 
 
 class PieceEncoder:
-    """Ids of a text as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, kind: str, encode: Callable[[list[str]], list[bytes]], special: list[str]):
         self.find = PATTERNS[kind].findall
@@ -39,25 +40,34 @@ class PieceEncoder:
         self.memo: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.encode_pieces([text])[0]
-        pieces, memo = self.find(text), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            return self._with_new(pieces)
-
-    def _with_new(self, pieces: list[str]) -> bytes:
+        return next(self.many([text]))
+
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text; new pieces of about a million characters of text are encoded together."""
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= CHARS_AT_ONCE:
+                yield from self._encode(some)
+                some, size = [], 0
+        yield from self._encode(some)
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
         memo = self.memo
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in memo]
+        cut = [[t] if any(s in t for s in self.special) else self.find(t) for t in texts]
+        distinct: set[str] = set().union(*cut)
+        new = [p for p in distinct if p not in memo]
+        del distinct
         memo.update(zip(new, self.encode_pieces(new), strict=True))
-        ids = b"".join(map(memo.__getitem__, pieces))
+        for pieces in cut:
+            yield b"".join(map(memo.__getitem__, pieces))
         for p in new:
             if len(p) > MEMO_CHARS:
                 del memo[p]
-        return ids
 
 
 _LOADED: dict[tuple[str, str], PieceEncoder] = {}
@@ -79,12 +89,15 @@ def library_encoder(path: str, kind: str) -> PieceEncoder:
         between = next((t for t in added if not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])), None)
 
         def whole(text: str) -> np.ndarray:
-            return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
         def encode(texts: list[str]) -> list[bytes]:
-            if between is None or len(texts) == 1:
+            plain = [t for t in texts if not any(s in t for s in special)]
+            if between is None or len(plain) < len(texts):
                 return [whole(t).tobytes() for t in texts]
-            ids = np.asarray(tokenizer.encode_batch_fast([between["content"].join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+            if not texts:
+                return []
+            ids = whole(between["content"].join(texts))
             cuts = (4 * np.flatnonzero(ids == between["id"])).tolist()
             data = ids.tobytes()
             return [data[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]

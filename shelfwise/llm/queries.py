@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import token_files
+from shelfwise.llm import bpe, packing, token_files, warc
 from shelfwise.llm.common import table
 from shelfwise.llm.pieces import tokenizer_path
 from shelfwise.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -22,3 +22,33 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), folder, tokenizer_path(WORD_BPE), kind="word", end_id=1
     )
     return token_files.read_token_files(spark, folder, files)
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 1024 ids."""
+    return packing.pack_examples(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), kind="byte", end_id=0)
+
+
+@query("op7_bpe")
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the segment tree and decoded again."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
+
+
+@query(
+    "op3_warc",
+    sql="""
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    d AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+    k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS kept FROM d)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> kept THEN kept END AS refers_to
+    FROM k
+    """,
+)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back by verified record boundaries."""
+    folder = shared_dir(spark, "warc-data")
+    files = warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, files, folder)

@@ -99,14 +99,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str, e
             return done
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("part", "doc_id", "text"))
-            for p, doc_id, text in zip(*columns, strict=True):
+            parts, doc_ids = (batch.column(c).to_pylist() for c in ("part", "doc_id"))
+            for p, doc_id, found in zip(parts, doc_ids, encode.many(batch.column("text").to_pylist()), strict=True):
                 if ids and (p != part or size >= FILE_TOKENS):
                     yield flush()
                 if p != part:
                     part, seq = p, 0
                 names.append(doc_id)
-                ids.append(encode(text) + end)
+                ids.append(found + end)
                 size += len(ids[-1]) // 4
         if ids:
             yield flush()

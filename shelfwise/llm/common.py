@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfwise.session import prepare
 
@@ -85,3 +89,42 @@ def put_file(folder: str, name: str, *chunks: bytes) -> str:
             out.write(chunk)
     system.move(draft, f"{base}/{name}")
     return f"{folder}/{name}"
+
+
+def hashed_sample(docs: DataFrame, group: str, size: int, chars: int) -> list[tuple]:
+    """(group value, text) of at most ``size`` different texts per group: a bounded sample to fit a model on.
+
+    Texts are dealt into ``size`` buckets by hash and the lowest hash of each bucket is taken, which is a random choice
+    that does not depend on order or partitions and needs no sort. Copies of a text are one candidate. A text longer than
+    ``chars`` characters gives a stretch of that length from a place that its hash names. Rows with a null group or no text
+    are left out.
+    """
+    rows = docs.where(F.col(group).isNotNull() & (F.length("text") > 0)).select(group, "text", F.xxhash64("text").alias("h"))
+    lowest = rows.groupBy(group, F.pmod("h", F.lit(size)).alias("bucket")).agg(F.min("h").alias("h"))
+    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
+    stretch = F.substring("text", (F.pmod(F.hash("h"), room) + 1).cast("int"), F.lit(chars))
+    taken = rows.join(lowest.select(group, "h"), [group, "h"]).groupBy(group, "h").agg(F.first(stretch).alias("text"))
+    return sorted((r[group], r["text"]) for r in taken.collect())
+
+
+def with_columns_of_text(
+    docs: DataFrame, added: str, fn: Callable[[list[str | None]], list[Sequence]], keep_text: bool = True
+) -> DataFrame:
+    """``docs`` with columns that ``fn`` derives from batches of ``text``, in place of columns of these names.
+
+    ``added`` is a schema string; ``fn`` gets the texts (null: None) and returns one sequence per column. The other columns pass
+    by in the same rows. Without ``keep_text`` the text is not sent back.
+    """
+    new = T._parse_datatype_string(added)
+    rows = docs.drop(*new.names)
+    kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
+    types = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(f.name) for f in kept]
+            found = fn(batch.column("text").to_pylist())
+            columns += [pa.array(c, t.type) for c, t in zip(found, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + new.names)
+
+    return rows.mapInArrow(run, T.StructType([*kept, *new.fields]))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, packing, token_files, warc
-from shelfwise.llm.common import table
+from shelfwise.llm import bpe, langid, packing, quality, token_files, warc
+from shelfwise.llm.common import held_out, table
 from shelfwise.llm.pieces import tokenizer_path
 from shelfwise.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from shelfwise.session import shared_dir
@@ -52,3 +52,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc-data")
     files = warc.write_warc(table(spark, sf_dir, "pages"), folder)
     return warc.read_warc(spark, files, folder)
+
+
+@query("op4_langid")
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.predict_language(docs.select("doc_id", "text"), langid.learn(docs), keep_text=False)
+    return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "phrase_symbols")
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.score_quality(docs, quality.learn(docs, table(spark, sf_dir, "labels")), keep_text=False)
+    return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")

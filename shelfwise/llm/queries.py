@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, langid, packing, quality, token_files, warc
+from shelfwise.llm import bpe, langid, merkle, packing, quality, secrets, token_files, warc
 from shelfwise.llm.common import held_out, table
 from shelfwise.llm.pieces import tokenizer_path
 from shelfwise.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -68,3 +68,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = quality.score_quality(docs, quality.learn(docs, table(spark, sf_dir, "labels")), keep_text=False)
     return rows.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op9_secrets")
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+@query("op10_merkle")
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of it with its last third replaced from the next one."""
+    return merkle.fingerprint_documents(table(spark, sf_dir, "documents"))

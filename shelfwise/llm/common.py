@@ -128,3 +128,12 @@ def with_columns_of_text(
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + new.names)
 
     return rows.mapInArrow(run, T.StructType([*kept, *new.fields]))
+
+
+# A table is broadcast up to this many rows of a few short columns, some 50 MB; beyond it joins shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(stored: DataFrame) -> DataFrame:
+    """A hint to broadcast ``stored``, a written table of short columns, if its counted rows allow it."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored

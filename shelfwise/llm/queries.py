@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, langid, merkle, packing, quality, secrets, token_files, warc
+from shelfwise.llm import bpe, jaccard, langid, merkle, packing, quality, secrets, token_files, warc
 from shelfwise.llm.common import held_out, table
 from shelfwise.llm.pieces import tokenizer_path
 from shelfwise.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -80,3 +80,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every document and of it with its last third replaced from the next one."""
     return merkle.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_jaccard")
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles have a Jaccard similarity of at least 0.85."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))

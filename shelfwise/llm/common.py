@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfwise.session import prepare
+from shelfwise.session import materialized, prepare
 
 # What an Arrow batch may hold: documents can be long, and a worker holds a batch or two at a time.
 BATCH_ROWS = 1000
@@ -103,7 +103,8 @@ def hashed_sample(docs: DataFrame, group: str, size: int, chars: int) -> list[tu
     lowest = rows.groupBy(group, F.pmod("h", F.lit(size)).alias("bucket")).agg(F.min("h").alias("h"))
     room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
     stretch = F.substring("text", (F.pmod(F.hash("h"), room) + 1).cast("int"), F.lit(chars))
-    taken = rows.join(lowest.select(group, "h"), [group, "h"]).groupBy(group, "h").agg(F.first(stretch).alias("text"))
+    lowest = broadcast_if_small(materialized(lowest.select(group, "h"), "sample"))
+    taken = rows.join(lowest, [group, "h"]).groupBy(group, "h").agg(F.first(stretch).alias("text"))
     return sorted((r[group], r["text"]) for r in taken.collect())
 
 

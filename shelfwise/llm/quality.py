@@ -5,8 +5,8 @@ Two zstandard dictionaries are trained, on good and on bad labelled text. A text
 logistic curve fitted on other labelled rows turns it into a probability. A short text says little, so every text counts
 as if ``PRIOR_BYTES`` bytes of average good text stood beside it.
 
-Fitting takes bounded samples (``DICTIONARY_DOCS`` texts per label for the dictionaries, ``FIT_DOCS`` for the curve, of
-at most ``SAMPLE_CHARS`` characters); scoring reads whole texts.
+Fitting takes a bounded sample: at most ``SAMPLE_DOCS`` documents per label, the first ``SAMPLE_CHARS`` characters of
+each; two thirds build the dictionaries, one third fits the curve. Scoring reads whole texts.
 
 Defined cases: null or empty text has the feature of average good text; null ids and labels are not learned from; a document with several labels
 has the largest; if either label is missing, the score is the share of good labels (0.5 without any); equal texts get equal scores; an
@@ -21,11 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import hashed_sample, learnable, with_columns_of_text
+from shelfwise.llm.common import learnable, with_columns_of_text
+from shelfwise.session import materialized
 
-DICTIONARY_DOCS = 1500
-FIT_DOCS = 2000
-SAMPLE_CHARS = 4000
+SAMPLE_DOCS = 3000
+SAMPLE_CHARS = 2000
 DICTIONARY_BYTES = 64_000
 LEAST_FOR_TRAINING = 64
 STRETCH = 2000
@@ -104,12 +104,18 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 def learn(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on bounded samples of the documents that ``labels`` (doc_id, quality) marks 0 or 1 and that may be learned from."""
     marked = labels.where(learnable() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select(F.col("doc_id"), "text").join(marked, "doc_id")
-    # Copies of a text share a side, so nothing that built a dictionary is fitted on.
-    side = F.pmod(F.hash("text", F.lit("side")), F.lit(3)) == 0
-    build = hashed_sample(rows.where(~side), "quality", DICTIONARY_DOCS, SAMPLE_CHARS)
-    fit = hashed_sample(rows.where(side), "quality", FIT_DOCS, SAMPLE_CHARS)
-    share = dict(rows.groupBy("quality").count().collect())
+    marked = materialized(marked.join(docs.select("doc_id"), "doc_id", "left_semi"), "quality-labels")
+    share = dict(marked.groupBy("quality").count().collect())
+    # The lowest hash of each bucket: a random choice of at most SAMPLE_DOCS documents per label, known before texts are read.
+    h = F.xxhash64("doc_id")
+    lowest = marked.groupBy("quality", F.pmod(h, F.lit(SAMPLE_DOCS)).alias("bucket")).agg(F.min(F.struct(h, "doc_id")).alias("m"))
+    chosen = F.broadcast(lowest.select("quality", F.col("m.doc_id").alias("doc_id")))
+    text = F.substring("text", 1, SAMPLE_CHARS).alias("text")
+    rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(chosen, "doc_id").select("quality", text, F.hash("text").alias("h"))
+    # Copies of a text count once, and share a side, so nothing that built a dictionary is fitted on.
+    sample = sorted((r["h"], r["text"], r["quality"]) for r in rows.distinct().collect())
+    build = [(q, t) for h, t, q in sample if h % 3]
+    fit = [(q, t) for h, t, q in sample if not h % 3]
     model = QualityModel(*(dictionary([t for label, t in build if label == q]) for q in (1, 0)))
     y = np.array([float(q) for q, _ in fit])
     if model.good and model.bad and 0 < y.sum() < len(y):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, jaccard, langid, merkle, packing, quality, secrets, token_files, warc
+from shelfwise.llm import bpe, jaccard, langid, merkle, nn_descent, packing, quality, secrets, token_files, warc
 from shelfwise.llm.common import held_out, table
 from shelfwise.llm.pieces import tokenizer_path
 from shelfwise.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -86,3 +86,9 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of four-word shingles have a Jaccard similarity of at least 0.85."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_nn_descent")
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between vectors of the same label with a cosine of at least 0.93, and their groups."""
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -157,7 +157,7 @@ def with_first_of_next_part(docs: DataFrame, parts: int) -> DataFrame:
         return rows.withColumn("guest", F.lit(False))
     before = [(tops[i - 1]["part"], t["part"], t["top"]) for i, t in enumerate(tops)]
     heads = docs.sparkSession.createDataFrame(before, "host int, of int, top long")
-    guests = rows.join(heads, (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    guests = rows.join(F.broadcast(heads), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
     guests = guests.select("doc_id", "text", F.col("host").alias("part"), F.lit(True).alias("guest"))
     return rows.select("doc_id", "text", "part", F.lit(False).alias("guest")).union(guests)
 

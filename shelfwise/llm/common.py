@@ -114,11 +114,11 @@ def with_columns_of_text(
     """``docs`` with columns that ``fn`` derives from batches of ``text``, in place of columns of these names.
 
     ``added`` is a schema string; ``fn`` gets the texts (null: None) and returns one sequence per column. The other columns pass
-    by in the same rows. Without ``keep_text`` the text is not sent back.
+    by in the same rows. Without ``keep_text`` the text is not sent back. ``text`` itself may be replaced.
     """
     new = T._parse_datatype_string(added)
-    rows = docs.drop(*new.names)
-    kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
+    rows = docs.drop(*(n for n in new.names if n != "text"))
+    kept = [f for f in rows.schema.fields if (keep_text and "text" not in new.names) or f.name != "text"]
     types = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

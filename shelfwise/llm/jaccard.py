@@ -247,7 +247,7 @@ def tree_links(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
 
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """The classes of ``docs`` (doc_id, text): digest, doc_id (the smallest), n_shingles, component_id; and ``shingle_classes`` of
-    the rows."""
+    the rows. ``root`` names the component."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     stored = materialized(shingle_classes(docs, width), "shingle-classes")
     reps = stored.where(F.col("digest").isNotNull()).groupBy("digest", "cid", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
@@ -258,8 +258,10 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[
     stars = components(tree_links(docs, members, width, percent))
     rooted = reps.join(stars.select(F.col("node").alias("digest"), "root"), "digest")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = rooted.join(least, "root").select("digest", "component_id")
-    groups = reps.join(joined, "digest", "left").select("digest", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = rooted.join(least, "root").select("digest", "root", "component_id")
+    groups = reps.join(joined, "digest", "left").select(
+        "digest", "doc_id", "n_shingles", F.coalesce("root", "digest").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
     return materialized(groups, "jaccard-groups"), stored
 
 
@@ -269,3 +271,26 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     rows = stored.join(groups.select("digest", "component_id"), "digest", "left")
     empty = F.col("digest").isNull()
     return rows.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (null last) stays.
+
+    Rows without words all stay. Of repeated rows (same id and same set) one stays.
+    """
+    groups, stored = jaccard_groups(docs, width, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))).alias("first")
+    winners = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__doc"), F.col("first.digest").alias("__set"))
+    winners = broadcast_if_small(materialized(winners.withColumn("__wins", F.lit(True)), "winners"))
+    own = "__digest binary"
+    rows = with_columns_of_text(docs, own, lambda texts: [[set_digest(s) if len(s) else None for s in shingle_sets(texts, width)]])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__digest") == F.col("__set"))
+    kept = rows.join(winners, same, "left").where(F.col("__digest").isNull() | F.col("__wins"))
+    twice = stored.where(F.col("digest").isNotNull()).groupBy("doc_id", "digest").count().where("count > 1")
+    twice = materialized(twice.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__again")), "repeated-rows")
+    if not twice.isEmpty():
+        again = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__again"))
+        twice = broadcast_if_small(twice)
+        single = kept.join(twice, again, "left_semi").dropDuplicates(["__doc", "__set"])
+        kept = kept.join(twice, again, "left_anti").unionByName(single)
+    return kept.select(docs.columns)

@@ -23,7 +23,7 @@ import math
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import hashed_sample, learnable, with_columns_of_text
@@ -171,6 +171,11 @@ class LanguageModel:
             spans[i] = float(sizes[k] / phrases[best[k], k])
         return langs, scores, spans
 
+    def recognises(self, texts: list[str | None]) -> list[bool]:
+        """Text in a learned language: that of another one falls apart into phrases of hardly more than a symbol."""
+        langs, _, spans = self.predict(texts)
+        return [lang != UNKNOWN and span >= LEAST_PHRASE for lang, span in zip(langs, spans, strict=True)]
+
 
 def learn(docs: DataFrame) -> LanguageModel:
     """Fit on a bounded sample of ``docs`` (doc_id, text, lang) that may be learned from: at most ``SAMPLE_DOCS`` texts a language."""
@@ -183,8 +188,3 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep_text: bool = Tr
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = "lang_pred string, score double, phrase_symbols double"
     return with_columns_of_text(docs, added, lambda texts: sent.value.predict(texts), keep_text)
-
-
-def recognised() -> Column:
-    """Rows in a learned language: text of another one falls apart into phrases of hardly more than a symbol."""
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("phrase_symbols") >= LEAST_PHRASE)

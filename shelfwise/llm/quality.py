@@ -73,6 +73,13 @@ class QualityModel:
         x = (self.feature(text) - self.middle) / self.scale
         return float(1 / (1 + np.exp(-np.clip(self.slope * x + self.shift, -30, 30))))
 
+    @property
+    def fitted(self) -> bool:
+        return bool(self.good and self.bad and self.slope)
+
+    def accepts(self, texts: list[str | None]) -> list[bool]:
+        return [self.score(t) >= THRESHOLD for t in texts]
+
 
 def dictionary(texts: list[str]) -> bytes:
     """A trained dictionary; too few texts for training give their raw content."""

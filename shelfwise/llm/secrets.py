@@ -19,7 +19,6 @@ import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shelfwise.llm.common import with_columns_of_text
 
@@ -140,6 +139,5 @@ def masked(text: str) -> str:
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text``; null stays null."""
-    return with_columns_of_text(docs, "text_masked string", lambda texts: [[t if t is None else masked(t) for t in texts]]).withColumn(
-        "text", F.col("text_masked")
-    ).drop("text_masked")
+    rows = with_columns_of_text(docs, "text string", lambda texts: [[t if t is None else masked(t) for t in texts]])
+    return rows.select(docs.columns)

@@ -5,7 +5,7 @@ substrings of the sample. A text is cut greedily into the longest phrases that o
 phrases times the bits to name a place in the sample, per symbol, estimates the cross entropy. The smallest wins; ties go to the
 language that sorts first.
 
-Automata are laid out as dense tables whose entries also say that a phrase ended there, so many stretches of
+Automata are laid out as dense tables whose entries also say how many phrases end there, so many stretches of
 text take their next symbol together in a few array operations. Texts are cut into stretches of ``STRETCH`` symbols,
 each parsed from the start state; all of a text is parsed.
 
@@ -31,10 +31,10 @@ from shelfwise.llm.common import hashed_sample, learnable, with_columns_of_text
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 400
 # Symbols of all samples together; shared evenly by the languages, at most SAMPLE_SYMBOLS each.
-ALL_SYMBOLS = 1_000_000
+ALL_SYMBOLS = 240_000
 SAMPLE_SYMBOLS = 60_000
 LETTERS = 96
-HASHED = 32
+HASHED = 8
 STRETCH = 256
 BITS_PER_DOUBT = 8.0
 UNKNOWN = "und"
@@ -113,7 +113,7 @@ class LanguageModel:
         self.step = None
 
     def tables(self) -> None:
-        """Dense transitions of all languages in one array; an entry is 2 * (first cell of the next state) + (a phrase ended)."""
+        """Dense transitions of all languages in one array; an entry is 4 * (first cell of the next state) + phrases that end."""
         width = self.letters.size
         step, self.roots = [], []
         first = 0
@@ -121,8 +121,12 @@ class LanguageModel:
             source, symbol, target = edges.T
             cells = np.full((states, width), -1, dtype="int32")
             cells[source, symbol] = first + target * width
-            root = np.where(cells[0] < 0, first, cells[0])
-            step.append(np.where(cells < 0, 2 * root + 1, 2 * cells).astype("int32").ravel())
+            known = cells[0] >= 0
+            # Without a step the phrase ends: the symbol begins the next one, or is a phrase of its own if no phrase has it.
+            ended = np.tile(np.where(known, 1, 2), (states, 1))
+            ended[0] = 1
+            again = 4 * np.where(known, cells[0], first) + ended
+            step.append(np.where(cells < 0, again, 4 * cells).astype("int32").ravel())
             self.roots.append(first)
             first += states * width
         self.step = np.concatenate(step)
@@ -147,8 +151,8 @@ class LanguageModel:
         for i in range(int(length[0]) if len(length) else 0):
             n = int(live[i])
             found = self.step[at[:, :n] + symbols[begin[:n] + i]]
-            ended[:, :n] += found & 1
-            at[:, :n] = found >> 1
+            ended[:, :n] += found & 3
+            at[:, :n] = found >> 2
         total = np.zeros((len(self.langs), len(texts)), dtype="int64")
         for k in range(len(self.langs)):
             # Each stretch ends inside a phrase, which counts too.

@@ -2,8 +2,9 @@
 
 Large-star links every larger neighbour of a node to the smallest of its neighbours, small-star every smaller one and
 itself. Both keep the components; repeated they turn each into a star around its smallest node, in about as many rounds as the
-logarithm of the longest path. Minima are combined before the shuffle, and joins on a hub are left to the planner's skew splitting. Every
-half round is written to the shared folder, so lost executors cost one half round.
+logarithm of the longest path. Minima are combined before the shuffle and written, so joining them to the edges of a hub is a
+join of two stored tables: broadcast if the minima are few, else left to the planner's skew splitting. Every half round is
+written to the shared folder, so lost executors cost one half round.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import broadcast_if_small
 from shelfwise.session import materialized
 
 
@@ -19,11 +21,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialized(least.withColumnRenamed("u", "w"), "minima")
         # Larger neighbours of u are those that u is the smaller end of.
-        joined = edges.join(least.withColumnRenamed("u", "w"), F.col("v") == F.col("w"))
+        joined = edges.join(broadcast_if_small(least), F.col("v") == F.col("w"))
         return joined.select("u", F.col("m").alias("v")).where("u <> v").distinct()
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    least = materialized(edges.groupBy("u").agg(F.min("v").alias("m")), "minima")
+    joined = edges.join(broadcast_if_small(least), "u")
     moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 

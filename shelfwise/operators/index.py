@@ -11,12 +11,9 @@ from pyspark.sql import types as T
 
 from ..fixed_values import EMBEDDING_BATCH, EMBEDDING_DIM, EMBEDDING_MODEL, INDEX_VERSION
 from ..functions.vector import hash_embedding, l2_normalize
-from ..session import materialized
 
-# Rows per signature block, and the largest catalog whose texts are hashed as one string.
+# Rows per signature block.
 BLOCK_BITS = 12
-SMALL_ROWS = 16 << BLOCK_BITS
-SMALL_BYTES = 64 << 20
 
 
 def catalog_signature(
@@ -24,27 +21,13 @@ def catalog_signature(
     model: str = EMBEDDING_MODEL,
     version: str = INDEX_VERSION,
     text: str = "retrieval_text",
-    small_rows: int = SMALL_ROWS,
-    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Content signature per tenant, sensitive to texts, their order, model and version.
 
-    Texts are joined in row order and hashed, then hashed again with model and version. Rows meet
-    in blocks of 4096 row numbers. The texts of a small catalog are joined as they are; those of a
-    larger one (over 65,536 rows or 64 MiB) are hashed first, then go through a tree whose nodes
-    have at most 4096 children, so no task ever holds a catalog. Such signatures carry a version
-    suffix.
+    A hash tree over row numbers: texts are hashed, the hashes of 4096 neighbouring row numbers are joined in order
+    and hashed to a node, 4096 nodes likewise to the next, and these nodes are joined and hashed with model and
+    version. One definition holds for every size, and no task ever holds a catalog.
     """
-    size = catalog.groupBy("tenant_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.octet_length(text)).alias("bytes"),
-        F.max("row_id").alias("last"),
-    )
-    small = (F.col("n") <= small_rows) & (F.col("bytes") <= small_bytes) & (F.col("last") < small_rows)
-    # One row per tenant, written so that the planner sees its size and spares the texts a shuffle.
-    kinds = materialized(size.select("tenant_id", small.alias("small")), "catalog-sizes")
-    leaf = F.when(F.col("small"), F.col(text)).otherwise(F.sha2(text, 256)).alias("text")
-    tagged = catalog.join(kinds, "tenant_id").select("tenant_id", "small", "row_id", leaf)
 
     def joined(position: str, value: str) -> Column:
         ordered = F.array_sort(F.collect_list(F.struct(position, value)))
@@ -52,18 +35,16 @@ def catalog_signature(
 
     def level(rows: DataFrame) -> DataFrame:
         """One step up the tree: 4096 neighbours become one node."""
-        body = F.when(F.col("small"), F.col("node")).otherwise(F.sha2("node", 256))
         return (
             rows.withColumn("parent", F.shiftright("row_id", BLOCK_BITS))
-            .groupBy("tenant_id", "small", "parent")
-            .agg(joined("row_id", "text").alias("node"))
-            .select("tenant_id", "small", F.col("parent").alias("row_id"), body.alias("text"))
+            .groupBy("tenant_id", "parent")
+            .agg(F.sha2(joined("row_id", "text"), 256).alias("text"))
+            .withColumnRenamed("parent", "row_id")
         )
 
-    blocks = level(level(tagged))
-    root = blocks.groupBy("tenant_id", "small").agg(joined("row_id", "text").alias("all"))
-    tag = F.when(F.col("small"), version).otherwise(f"{version}_tree")
-    full = F.concat_ws("|", F.sha2("all", 256), F.lit(model), tag)
+    leaves = catalog.select("tenant_id", "row_id", F.sha2(text, 256).alias("text"))
+    root = level(level(leaves)).groupBy("tenant_id").agg(joined("row_id", "text").alias("all"))
+    full = F.concat_ws("|", F.sha2("all", 256), F.lit(model), F.lit(f"{version}_tree"))
     return root.select("tenant_id", F.sha2(full, 256).alias("signature"))
 
 
@@ -98,10 +79,11 @@ def normalized(df: DataFrame) -> DataFrame:
     return df.withColumn("vec", l2_normalize(F.col("vec")).cast("array<float>"))
 
 
-def reusable(signatures: DataFrame, meta: DataFrame) -> DataFrame:
-    """Tenants whose stored index was made from exactly the current catalog."""
-    keys = ["tenant_id", "signature"]
-    return signatures.join(meta.select(*keys), keys, "left_semi")
+def reusable(signatures: DataFrame, meta: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Tenants whose stored index was made from exactly the current catalog and has a vector for each of its rows."""
+    counts = catalog.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("count"))
+    whole = signatures.join(counts, "tenant_id")
+    return whole.join(meta.select("tenant_id", "signature", "count"), ["tenant_id", "signature", "count"], "left_semi")
 
 
 def embedding_cache_join(
@@ -113,7 +95,7 @@ def embedding_cache_join(
     dim: int = EMBEDDING_DIM,
 ) -> DataFrame:
     """Vectors of all catalogs: stored ones where the signature fits, new ones elsewhere."""
-    fresh_ids = reusable(signatures, meta).select("tenant_id", "signature")
+    fresh_ids = reusable(signatures, meta, catalog).select("tenant_id", "signature")
     kept = store.join(fresh_ids, ["tenant_id", "signature"]).select(
         "tenant_id", "row_id", "signature", "vec", F.lit(True).alias("reused")
     )

@@ -99,8 +99,10 @@ VIEWS: dict[str, str] = {
     "catalog_text": """
         SELECT c.*, d.text AS features, d.lang AS skin_types
         FROM catalog c LEFT JOIN documents d ON c.row_id = d.doc_id""",
-    "catalog_vec": """
-        SELECT c.*, e.embedding AS vec FROM catalog c JOIN embeddings e ON c.row_id = e.vec_id""",
+    "catalog_vec": f"""
+        SELECT * EXCLUDE (raw, given), coalesce(given, CAST({sql_normalized('raw')} AS FLOAT[])) AS vec
+        FROM (SELECT c.*, e.embedding AS given, {sql_hash_raw('c.product_name', DIM)} AS raw
+              FROM catalog c LEFT JOIN embeddings e ON c.row_id = e.vec_id)""",
     "message_text": """
         SELECT p_partkey AS msg_id, concat('t', p_partkey % 5) AS tenant_id,
                CASE p_partkey % 3
@@ -217,10 +219,12 @@ def catalog_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product with its vector; one without gets the hash embedding of its name."""
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec")
     )
-    return catalog(spark, sf_dir).join(vectors, "row_id")
+    whole = catalog(spark, sf_dir).join(vectors, "row_id", "left")
+    return whole.withColumn("vec", F.coalesce("vec", hash_embedding(F.col("product_name"), DIM)))
 
 
 def message_text_of(part: DataFrame) -> DataFrame:

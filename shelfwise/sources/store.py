@@ -73,7 +73,7 @@ def rebuild_embeddings(
     """
     spark = catalog.sparkSession
     wanted = materialized(catalog_signature(catalog, model), "signatures")
-    fresh = reusable(wanted, read_store(spark, path, "meta")).select("tenant_id")
+    fresh = reusable(wanted, read_store(spark, path, "meta"), catalog).select("tenant_id")
     stale = catalog.join(fresh, "tenant_id", "left_anti").join(wanted, "tenant_id")
     made = embed(stale.select("tenant_id", "row_id", "signature", "retrieval_text"), "retrieval_text", fn, dim)
     write_embedding_store(made, path, model)

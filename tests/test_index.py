@@ -20,23 +20,40 @@ def signatures(df, **kw):
     return {r["tenant_id"]: r["signature"] for r in ix.catalog_signature(df, "m", **kw).collect()}
 
 
+def tree(texts, first=0):
+    """The signature by its definition: rows are numbered from ``first``."""
+    level = {first + i: sha(t) for i, t in enumerate(texts)}
+    for _ in range(2):
+        nodes = {}
+        for i in sorted(level):
+            nodes.setdefault(i >> 12, []).append(level[i])
+        level = {i: sha("\n".join(parts)) for i, parts in nodes.items()}
+    return sha(sha("\n".join(level[i] for i in sorted(level))) + "|m|retriever_v1_tree")
+
+
 def test_signature_follows_texts_order_and_model(spark):
     texts = [f"ñ{i}" for i in range(9000)]
     df = catalog(spark, a=texts, b=["x", "y"], c=["y", "x"])
     got = signatures(df)
-    assert got["a"] == sha(sha("\n".join(texts)) + "|m|retriever_v1")
-    assert got["b"] == sha(sha("x\ny") + "|m|retriever_v1") and got["b"] != got["c"]
+    assert got["a"] == tree(texts) and got["b"] == tree(["x", "y"])
+    assert got["b"] != got["c"]
     assert signatures(df, version="v2")["b"] != got["b"]
+    swapped = [texts[1], texts[0], *texts[2:]]
+    assert signatures(catalog(spark, a=swapped))["a"] != got["a"]
 
 
-def test_large_catalogs_get_a_tree_signature(spark):
-    texts = [f"t{i}" for i in range(5000)]
-    tree = signatures(catalog(spark, a=texts), small_rows=4096)["a"]
-    leaves = [sha(t) for t in texts]
-    blocks = [sha("\n".join(leaves[i : i + 4096])) for i in (0, 4096)]
-    assert tree == sha(sha(sha("\n".join(blocks))) + "|m|retriever_v1_tree")
-    swapped = [texts[1], texts[0], *texts[2:]]
-    assert signatures(catalog(spark, a=swapped), small_rows=4096)["a"] != tree
+@pytest.mark.parametrize("first", [0, 4095, 65_534, 65_536, 70_000, 1 << 24])
+def test_one_definition_for_every_numbering(spark, first):
+    rows = [("a", first + i, t) for i, t in enumerate(["x", "y", "z"])]
+    df = spark.createDataFrame(rows, "tenant_id string, row_id long, retrieval_text string")
+    assert signatures(df)["a"] == tree(["x", "y", "z"], first)
+
+
+def test_an_index_that_lacks_rows_is_not_reused(spark):
+    now = catalog(spark, a=["x", "y"], b=["z"])
+    signed = ix.catalog_signature(now, "m")
+    meta = signed.withColumn("count", F.lit(1).cast("long"))
+    assert [r["tenant_id"] for r in ix.reusable(signed, meta, now).collect()] == ["b"]
 
 
 def test_embedding_function_is_called_in_batches(spark):

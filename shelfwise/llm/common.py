@@ -17,7 +17,7 @@ from shelfwise.session import materialized, prepare
 
 # What an Arrow batch may hold: documents can be long, and a worker holds a batch or two at a time.
 BATCH_ROWS = 1000
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def tuned(spark: SparkSession) -> SparkSession:

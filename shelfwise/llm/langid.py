@@ -31,8 +31,8 @@ from shelfwise.llm.common import hashed_sample, learnable, with_columns_of_text
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 400
 # Symbols of all samples together; shared evenly by the languages, at most SAMPLE_SYMBOLS each.
-ALL_SYMBOLS = 240_000
-SAMPLE_SYMBOLS = 60_000
+ALL_SYMBOLS = 160_000
+SAMPLE_SYMBOLS = 40_000
 LETTERS = 96
 HASHED = 8
 STRETCH = 256
@@ -115,21 +115,22 @@ class LanguageModel:
     def tables(self) -> None:
         """Dense transitions of all languages in one array; an entry is 4 * (first cell of the next state) + phrases that end."""
         width = self.letters.size
-        step, self.roots = [], []
+        self.step = np.empty(sum(states for states, _ in self.edges) * width, dtype="int32")
+        self.roots = []
         first = 0
         for states, edges in self.edges:
             source, symbol, target = edges.T
-            cells = np.full((states, width), -1, dtype="int32")
-            cells[source, symbol] = first + target * width
-            known = cells[0] >= 0
+            cells = self.step[first : first + states * width].reshape(states, width)
+            begins = np.full(width, -1, dtype="int32")
+            at_root = source == 0
+            begins[symbol[at_root]] = first + target[at_root] * width
+            known = begins >= 0
             # Without a step the phrase ends: the symbol begins the next one, or is a phrase of its own if no phrase has it.
-            ended = np.tile(np.where(known, 1, 2), (states, 1))
-            ended[0] = 1
-            again = 4 * np.where(known, cells[0], first) + ended
-            step.append(np.where(cells < 0, again, 4 * cells).astype("int32").ravel())
+            cells[:] = 4 * np.where(known, begins, first) + np.where(known, 1, 2)
+            cells[0] = 4 * np.where(known, begins, first) + 1
+            cells[source, symbol] = 4 * (first + target * width)
             self.roots.append(first)
             first += states * width
-        self.step = np.concatenate(step)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text by language (rows: languages), and its number of symbols."""

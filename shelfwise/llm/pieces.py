@@ -25,9 +25,9 @@ BYTE_LEVEL = re.compile(rf" ?[{LETTERS}]++(?![^\x00-\x7f])| ?[^{SPACE}]+|[{SPACE
 WORD_ENDS = re.compile(rf"[{LETTERS}]++(?![^\x00-\x7f])|[^{SPACE}]+")
 PATTERNS = {"byte": BYTE_LEVEL, "word": WORD_ENDS}
 
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 500_000
 MEMO_CHARS = 48
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 500_000
 
 
 class PieceEncoder:
@@ -43,7 +43,7 @@ class PieceEncoder:
         return next(self.many([text]))
 
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Ids of each text; new pieces of about a million characters of text are encoded together."""
+        """Ids of each text; new pieces of about half a million characters of text are encoded together."""
         some: list[str] = []
         size = 0
         for text in texts:

@@ -13,8 +13,7 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
 STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype="uint64")
-CHUNK_BYTES = 1 << 20
-LONGEST_WORD = 1 << 16
+CHUNK_BYTES = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

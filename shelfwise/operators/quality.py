@@ -22,9 +22,7 @@ from ..fixed_values import (
 )
 from ..functions.price import extract_price_number
 from ..functions.text import render
-
-# Names listed in a report line; ``unknown_categories`` has all of them as rows.
-LISTED_CATEGORIES = 100
+from ..session import materialized
 
 
 def null_ratio(catalog: DataFrame, columns: Sequence[str] = REQUIRED_COLUMNS) -> DataFrame:
@@ -88,8 +86,15 @@ def _listed(values: Column) -> Column:
     return F.concat(F.lit("['"), F.array_join(values, "', '"), F.lit("']"))
 
 
+COUNTS = ["rows", "price_ok", "price_bad", "price_neg", "price_zero", "duplicates"]
+
+
 def catalog_quality_report(catalog: DataFrame, valid: DataFrame) -> DataFrame:
-    """Counts, errors and warnings per catalog; a catalog passes when it has no errors."""
+    """Counts per catalog and its report lines, a row per line: severity (error, warning), line, detail.
+
+    A catalog without lines has one row with nulls; it passes when it has no errors. Every unknown category is a line of its
+    own (detail: the category), so a report may be of any length.
+    """
     price = extract_price_number(F.col("price"))
     missing = {c: F.avg(F.col(c).isNull().cast("double")) for c in REQUIRED_COLUMNS}
     counts = catalog.withColumn("_price", price).groupBy("tenant_id").agg(
@@ -109,20 +114,12 @@ def catalog_quality_report(catalog: DataFrame, valid: DataFrame) -> DataFrame:
             lambda e: F.coalesce(e["product"], F.lit("nan")),
         ).alias("examples")
     )
-    unknown = unknown_categories(catalog, valid)
-    order = Window.partitionBy("tenant_id").orderBy("category")
-    listed = (
-        unknown.withColumn("at", F.row_number().over(order))
-        .where(F.col("at") <= LISTED_CATEGORIES)
-        .groupBy("tenant_id")
-        .agg(F.sort_array(F.collect_list("category")).alias("unknown"))
-    )
-    n_unknown = unknown.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_unknown"))
     judged = valid.select("tenant_id").distinct().withColumn("judged", F.lit(True))
     whole = counts
-    for part in (duplicate_counts(catalog), examples, listed, n_unknown, judged):
+    for part in (duplicate_counts(catalog), examples, judged):
         whole = whole.join(part, "tenant_id", "left")
-    whole = whole.na.fill(0, ["duplicates", "n_unknown"]).na.fill(False, ["judged"])
+    # Read twice, a row per catalog.
+    whole = materialized(whole.na.fill(0, ["duplicates"]).na.fill(False, ["judged"]), "catalog-counts")
 
     c = F.col
 
@@ -146,22 +143,21 @@ def catalog_quality_report(catalog: DataFrame, valid: DataFrame) -> DataFrame:
         line(c("price_neg") > 0, say["negative_price"], N=c("price_neg")),
         line(c("duplicates") > 0, say["duplicates"], N=c("duplicates"), NAMES=_listed(c("examples"))),
     ]
-    more = F.when(
-        c("n_unknown") > LISTED_CATEGORIES,
-        F.concat(F.lit(" + "), (c("n_unknown") - LISTED_CATEGORIES).cast("string")),
-    ).otherwise("")
-    names = F.concat(_listed(c("unknown")), more)
     warnings = [
         line(c("price_zero") > 0, warn["zero_price"], N=c("price_zero")),
-        line(c("n_unknown") > 0, warn["unknown_categories"], NAMES=names),
         line(~c("judged"), warn["not_judged"]),
         line(
             c("short") > 0, warn["short_descriptions"],
             N=c("short"), LIMIT=F.lit(MIN_DESCRIPTION_CHARS),
         ),
     ]
-    return whole.select(
-        "tenant_id", "rows", "price_ok", "price_bad", "price_neg", "price_zero", "duplicates",
-        F.array_compact(F.array(*errors)).alias("errors"),
-        F.array_compact(F.array(*warnings)).alias("warnings"),
-    )
+    none = F.lit(None).cast("string")
+    said = [F.struct(F.lit(kind).alias("severity"), x.alias("line")) for kind, lines in (("error", errors), ("warning", warnings)) for x in lines]
+    said = F.filter(F.array(*said), lambda x: x["line"].isNotNull())
+    fixed = whole.select("tenant_id", *COUNTS, F.explode(said).alias("s")).select("tenant_id", *COUNTS, "s.severity", "s.line", none.alias("detail"))
+    unknown = unknown_categories(catalog, valid).join(whole.select("tenant_id", *COUNTS), "tenant_id")
+    named = render(warn["unknown_categories"], {"NAMES": _listed(F.array("category"))})
+    unknown = unknown.select("tenant_id", *COUNTS, F.lit("warning").alias("severity"), named.alias("line"), F.col("category").alias("detail"))
+    lines = fixed.unionByName(unknown)
+    clean = whole.join(lines.select("tenant_id").distinct(), "tenant_id", "left_anti")
+    return lines.unionByName(clean.select("tenant_id", *COUNTS, *[none.alias(n) for n in ("severity", "line", "detail")]))

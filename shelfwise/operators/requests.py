@@ -8,6 +8,8 @@ are combined before the shuffle and running numbers are made of per-slot counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,15 +131,17 @@ def _bucket_counts(bounds: Sequence[float]) -> list[Column]:
     return [F.count_if(seconds <= F.lit(float(le))).alias(f"b{i}") for i, le in enumerate(bounds)]
 
 
-def latency_buckets(
-    requests: DataFrame, *by: Column | str, bounds: Sequence[float] = LATENCY_BUCKETS
-) -> DataFrame:
-    """Cumulative histogram as one array per group, counted in one pass."""
-    counted = requests.groupBy(*by).agg(
+def latency_counts(requests: DataFrame, *by: Column | str, bounds: Sequence[float] = LATENCY_BUCKETS) -> DataFrame:
+    """Cumulative histogram per group, a column ``b0``, ``b1``, ... per bound."""
+    return requests.groupBy(*by).agg(
         *_bucket_counts(bounds),
         (F.sum("latency_ms") / 1000).alias("sum"),
         F.count("latency_ms").alias("count"),
     )
+
+
+def as_buckets(counted: DataFrame, bounds: Sequence[float] = LATENCY_BUCKETS) -> DataFrame:
+    """The columns of ``latency_counts`` as one array ``buckets``."""
     entries = [
         F.struct(F.lit(float(le)).alias("le"), F.col(f"b{i}").alias("n"))
         for i, le in enumerate(bounds)
@@ -147,6 +151,13 @@ def latency_buckets(
     )
 
 
+def latency_buckets(
+    requests: DataFrame, *by: Column | str, bounds: Sequence[float] = LATENCY_BUCKETS
+) -> DataFrame:
+    """Cumulative histogram as one array per group, counted in one pass."""
+    return as_buckets(latency_counts(requests, *by, bounds=bounds), bounds)
+
+
 def latency_histogram(requests: DataFrame, bounds: Sequence[float] = LATENCY_BUCKETS) -> DataFrame:
     """Bucket rows by method and path."""
     by = latency_buckets(requests, "method", "path", bounds=bounds)
@@ -181,64 +192,95 @@ def error_rate(requests: DataFrame, *by: Column | str) -> DataFrame:
     )
 
 
+# A bracket is looked at value by value once it holds at most this many rows, or after so many rounds; each
+# leaves a few thousandths of the rows that are not equal to a bound.
+BRACKET_ROWS = 100_000
+MOST_ROUNDS = 5
+
+
 def nearest_rank_percentile(
-    df: DataFrame, value: str, percents: Sequence[float], by: Sequence[str] = (), buckets: int = 4096
+    df: DataFrame,
+    value: str,
+    percents: Sequence[float],
+    by: Sequence[str] = (),
+    accuracy: int = 1000,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
     """Exact percentiles by nearest rank (half to even), without sorting a group.
 
-    A first pass counts value buckets and finds the one that holds each wanted rank; the second
-    looks only at the rows of those buckets, already counted per value.
+    A sketch of the values gives two bounds around each wanted rank, so bounds follow the data. Counting the rows below
+    and between them, exactly, tells where the rank lies; the bracket is drawn again from its own rows until few
+    are left, and only those are ranked, counted per value. Null values are left out, NaN is the largest value, null is a group
+    like any other.
     """
-    group = list(by)
-    data = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
-    if not group:
-        group, data = ["_all"], data.withColumn("_all", F.lit(0))
-    # Both lookup tables have a few rows per group. They are written first, so that the planner
-    # sees their size and need not shuffle the data by a key with few or skewed values.
-    range_ = materialized(
-        data.groupBy(*group).agg(
-            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")
-        ),
-        "value-ranges",
-    )
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    place = F.when(
-        F.col("_hi") > F.col("_lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1))
-    ).otherwise(F.lit(0))
-    placed = data.join(range_, group).select(*group, "_v", "_n", place.cast("int").alias("_b"))
-    per_bucket = placed.groupBy(*group, "_b").agg(
-        F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")
-    )
-    upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    group = [f"_g{i}" for i in range(len(by))] or ["_g0"]
+    keys = [F.col(c).alias(g) for c, g in zip(by, group)] or [F.lit(0).alias("_g0")]
+    v = F.col(value).cast("double")
+    data = df.where(F.col(value).isNotNull()).select(*keys, F.when(~F.isnan(v), v).alias("_v"))
+
+    def same(left: str) -> Column:
+        return reduce(and_, [F.col(g).eqNullSafe(F.col(f"{left}{g}")) for g in group])
+
+    def renamed(rows: DataFrame, prefix: str) -> DataFrame:
+        return rows.withColumnsRenamed({g: f"{prefix}{g}" for g in group})
+
+    # One row per group and percentile: small, and written, so that the planner sees its size.
     ranks = F.array(
         *[
-            F.struct(
-                F.lit(float(p)).alias("percent"),
-                (F.bround(F.lit(p / 100.0) * (F.col("_n") - 1), 0) + 1).cast("long").alias("rank"),
-            )
+            F.struct(F.lit(float(p)).alias("percent"), (F.bround(F.lit(p / 100.0) * (F.col("_n") - 1), 0) + 1).cast("long").alias("rank"))
             for p in percents
         ]
     )
-    wanted = materialized(
-        per_bucket.withColumn("_upto", F.sum("_c").over(upto))
-        .withColumn("_r", F.explode(ranks))
-        .select(*group, "_b", (F.col("_upto") - F.col("_c")).alias("_before"), "_upto", "_r.*")
-        .where((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_upto")))
-        .drop("_upto"),
-        "value-ranks",
-    )
-    inside = placed.join(wanted.select(*group, "_b").distinct(), [*group, "_b"], "left_semi")
-    values = inside.groupBy(*group, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    within = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        values.withColumn("_to", F.sum("_c").over(within))
-        .join(wanted, [*group, "_b"])
-        .where(
-            (F.col("rank") - F.col("_before") > F.col("_to") - F.col("_c"))
-            & (F.col("rank") - F.col("_before") <= F.col("_to"))
+    sizes = data.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.count("_v").alias("_known"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    sizes = sizes.withColumn("_r", F.explode(ranks)).select(*group, "_r.*", "_known", "lo", "hi")
+    wanted = materialized(sizes.withColumn("inside", F.col("_known")), "value-ranks")
+    is_nan = wanted.where(F.col("rank") > F.col("_known")).select(*group, "percent", F.lit(float("nan")).alias("_v"))
+    brackets = wanted.where(F.col("rank") <= F.col("_known")).withColumn("below", F.lit(0).cast("long")).drop("_known")
+    data = data.where(F.col("_v").isNotNull())
+
+    def inside(brackets: DataFrame) -> DataFrame:
+        return data.join(renamed(brackets, "_b"), same("_b") & F.col("_v").between(F.col("lo"), F.col("hi")))
+
+    wide = (F.col("inside") > bracket_rows) & (F.col("lo") < F.col("hi"))
+    for _ in range(MOST_ROUNDS):
+        if brackets.where(wide).isEmpty():
+            break
+        share = (F.col("rank") - F.col("below")) / F.col("inside")
+        near = F.array(*[F.least(F.greatest(F.round(share, 6) + step / accuracy, F.lit(0.0)), F.lit(1.0)) for step in (-2, 2)])
+        # percentile_approx takes fixed shares only: a grid of them, of which each bracket picks its two.
+        grid = [i / accuracy for i in range(accuracy + 1)]
+        seen = inside(brackets.where(wide)).groupBy(*group, "percent").agg(F.percentile_approx("_v", grid, 10 * accuracy).alias("_grid"))
+        picked = renamed(seen.withColumnRenamed("percent", "_percent"), "_s")
+        drawn = brackets.where(wide).join(picked, same("_s") & (F.col("percent") == F.col("_percent")))
+        at = lambda i, f: F.element_at("_grid", f(F.element_at(near, i) * accuracy).cast("int") + 1)
+        drawn = drawn.select(*group, "percent", "rank", "below", "lo", "hi", "inside", at(1, F.floor).alias("a"), at(2, F.ceil).alias("b"))
+        drawn = materialized(drawn, "value-bounds")
+        rows = inside(drawn)
+        counted = rows.groupBy(*group, "percent").agg(F.count_if(F.col("_v") < F.col("a")).alias("_less"), F.count_if(F.col("_v") <= F.col("b")).alias("_upto"))
+        counted = renamed(counted.withColumnRenamed("percent", "_percent"), "_c")
+        judged = drawn.join(counted, same("_c") & (F.col("percent") == F.col("_percent")))
+        low, high = F.col("below") + F.col("_less"), F.col("below") + F.col("_upto")
+        # The rank lies left of, inside or right of [a, b]; only the last two cases keep a as the lower bound.
+        hit = (F.col("rank") > low) & (F.col("rank") <= high)
+        left = F.col("rank") <= low
+        drawn = judged.select(
+            *group, "percent", "rank",
+            F.when(hit | left, F.when(left, F.col("lo")).otherwise(F.col("a"))).otherwise(F.col("b")).alias("lo"),
+            F.when(hit, F.col("b")).when(left, F.col("a")).otherwise(F.col("hi")).alias("hi"),
         )
-    )
-    return found.select(*by, "percent", F.col("_v").alias(value))
+        # Bounds are values that occur, so counts are taken again between the new ones.
+        rows = data.join(renamed(drawn, "_b"), same("_b") & (F.col("_v") <= F.col("hi")))
+        recount = rows.groupBy(*group, "percent").agg(F.count_if(F.col("_v") < F.col("lo")).alias("below"), F.count_if(F.col("_v") >= F.col("lo")).alias("inside"))
+        recount = renamed(recount.withColumnRenamed("percent", "_percent"), "_c")
+        drawn = drawn.join(recount, same("_c") & (F.col("percent") == F.col("_percent")))
+        drawn = drawn.select(*group, "percent", "rank", "lo", "hi", "inside", "below")
+        brackets = materialized(brackets.where(~wide).select(drawn.columns).union(drawn), "value-bounds")
+    values = inside(brackets).groupBy(*group, "percent", "rank", "below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*group, "percent").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("below") + F.sum("_c").over(order)
+    found = values.withColumn("_to", upto).where((F.col("rank") > F.col("_to") - F.col("_c")) & (F.col("rank") <= F.col("_to")))
+    found = found.select(*group, "percent", "_v").union(is_nan)
+    return found.select(*[F.col(g).alias(c) for c, g in zip(by, group)], "percent", F.col("_v").alias(value))
 
 
 def token_cost() -> Column:
@@ -260,28 +302,56 @@ def window_of(length: str, step: str | None = None) -> Column:
     return F.window("ts", length, step)
 
 
+def minute_requests(requests: DataFrame, *by: Column | str) -> DataFrame:
+    """Requests per minute: what sliding windows are put together from, in streams as in batch."""
+    return requests.groupBy(window_of("1 minute"), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def over_minutes(minutes: DataFrame, length: str, by: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """Sums of minute counts over windows of ``length``, one per minute. Counts are copied to windows, log rows are not."""
+    at = minutes.withColumn("ts", F.col("window.start")).drop("window")
+    return at.groupBy(window_of(length, "1 minute"), *by).agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def request_rate(minutes: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
+    """Requests per second over the last five minutes, every minute, from minute counts."""
+    return over_minutes(minutes, "5 minutes", by, ["n"]).withColumn("rate", F.col("n") / 300)
+
+
 def sliding_request_rate(requests: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
     """Requests per second over the last five minutes, every minute."""
-    n = requests.groupBy(window_of("5 minutes", "1 minute"), *by).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("rate", F.col("n") / 300)
+    return request_rate(minute_requests(requests, *by), by)
+
+
+def minute_answers(requests: DataFrame) -> DataFrame:
+    return minute_requests(requests.where("path = '/answer'"), "client_id")
+
+
+def answer_rate(minutes: DataFrame, limit: float = 5.0) -> DataFrame:
+    return request_rate(minutes, ["client_id"]).withColumn("alert", F.col("rate") > limit)
 
 
 def tenant_answer_rate(requests: DataFrame, limit: float = 5.0) -> DataFrame:
     """Answer rate per client over five minutes, with the alert on it."""
-    rate = sliding_request_rate(requests.where("path = '/answer'"), ["client_id"])
-    return rate.withColumn("alert", F.col("rate") > limit)
+    return answer_rate(minute_answers(requests), limit)
 
 
 def hourly_recommendations(requests: DataFrame) -> DataFrame:
     return recommendations_total(requests, window_of("1 hour"))
 
 
+def minute_refusals(requests: DataFrame) -> DataFrame:
+    return minute_requests(requests.where("status = 429"), "path")
+
+
+def refusal_rate(minutes: DataFrame, limit: float = 1.0) -> DataFrame:
+    rate = over_minutes(minutes, "10 minutes", ["path"], ["n"]).withColumn("rate", F.col("n") / 600)
+    return rate.withColumn("alert", F.col("rate") > limit)
+
+
 def rate_429_by_path(requests: DataFrame, limit: float = 1.0) -> DataFrame:
     """Rejected requests per second over ten minutes, with the alert on it."""
-    refused = requests.where("status = 429")
-    n = refused.groupBy(window_of("10 minutes", "1 minute"), "path").agg(F.count(F.lit(1)).alias("n"))
-    rate = n.withColumn("rate", F.col("n") / 600)
-    return rate.withColumn("alert", F.col("rate") > limit)
+    return refusal_rate(minute_refusals(requests), limit)
 
 
 def count_5xx_by_path(requests: DataFrame) -> DataFrame:
@@ -307,16 +377,20 @@ def held_for(evaluated: DataFrame, minutes: int) -> DataFrame:
 
 def alert_high_error_rate(requests: DataFrame, limit: float = 0.05, minutes: int = 10) -> DataFrame:
     """5xx share of five minutes above the limit, evaluated every minute, held for ten."""
-    rates = error_rate(requests, window_of("5 minutes", "1 minute"))
-    over = rates.where(F.col("error_rate") > limit)
-    return held_for(over.select(F.col("window.end").alias("at"), F.col("error_rate").alias("value")), minutes)
+    failed = F.count_if(F.col("status").between(500, 599)).alias("failed")
+    counted = requests.groupBy(window_of("1 minute")).agg(F.count(F.lit(1)).alias("n"), failed)
+    rates = over_minutes(counted, "5 minutes", [], ["n", "failed"])
+    rates = rates.select(F.col("window.end").alias("at"), (F.col("failed") / F.col("n")).alias("value"))
+    return held_for(rates.where(F.col("value") > limit), minutes)
 
 
 def alert_high_p95(
     requests: DataFrame, path: str = "/answer", limit: float = 0.8, minutes: int = 10
 ) -> DataFrame:
     """95th latency percentile of five minutes above the limit, held for ten."""
-    hist = latency_buckets(requests.where(F.col("path") == path), window_of("5 minutes", "1 minute"))
+    counted = latency_counts(requests.where(F.col("path") == path), window_of("1 minute"))
+    counts = [c for c in counted.columns if c not in ("window", "sum")]
+    hist = as_buckets(over_minutes(counted, "5 minutes", [], counts))
     p95 = hist.select(
         F.col("window.end").alias("at"), histogram_quantile(F.col("buckets"), 0.95).alias("value")
     )

@@ -139,23 +139,11 @@ PRICED = (
 )
 
 
-@query(
-    "catalog_quality_report",
-    duck("""
-    SELECT c.tenant_id, rows, price_ok, price_bad, price_neg, price_zero, coalesce(duplicates, 0) AS duplicates,
-      concat_ws('; ',
-        CASE WHEN null_product > 0.05 THEN concat('Columna ''product'' tiene ', printf('%.1f', null_product * 100), '% valores nulos (> 5%)') END,
-        CASE WHEN null_price > 0.05 THEN concat('Columna ''price'' tiene ', printf('%.1f', null_price * 100), '% valores nulos (> 5%)') END,
-        CASE WHEN null_category > 0.05 THEN concat('Columna ''category'' tiene ', printf('%.1f', null_category * 100), '% valores nulos (> 5%)') END,
-        CASE WHEN price_bad > 0 THEN concat(price_bad, ' filas con precio inválido') END,
-        CASE WHEN price_neg > 0 THEN concat(price_neg, ' filas con precio negativo') END,
-        CASE WHEN duplicates > 0 THEN concat(duplicates, ' productos duplicados (ejemplos: [''', examples, '''])') END) AS errors,
-      concat_ws('; ',
-        CASE WHEN price_zero > 0 THEN concat(price_zero, ' filas con precio 0.00') END,
-        CASE WHEN unknown IS NOT NULL THEN concat('categorías desconocidas: [''', unknown, ''']') END,
-        CASE WHEN c.tenant_id NOT IN (SELECT tenant_id FROM valid_categories)
-             THEN 'No se validaron categorías (falta data/patterns/category_patterns.yaml o ''categories'')' END,
-        CASE WHEN short > 0 THEN concat(short, ' descripciones con menos de 10 caracteres') END) AS warnings
+COUNTED = (
+    "counted",
+    """
+    SELECT c.*, coalesce(duplicates, 0) AS duplicates, examples,
+           c.tenant_id IN (SELECT tenant_id FROM valid_categories) AS judged
     FROM (SELECT tenant_id, count(*) AS rows, count(p) AS price_ok, count(*) - count(p) AS price_bad,
                  count(*) FILTER (WHERE p < 0) AS price_neg, count(*) FILTER (WHERE p = 0) AS price_zero,
                  avg(CASE WHEN product IS NULL THEN 1.0 ELSE 0.0 END) AS null_product,
@@ -164,13 +152,37 @@ PRICED = (
                  count(*) FILTER (WHERE length(coalesce(description, '')) < 10) AS short
           FROM priced GROUP BY 1) c
     LEFT JOIN (SELECT tenant_id, count(*) AS duplicates FROM dup WHERE n > 1 GROUP BY 1) USING (tenant_id)
-    LEFT JOIN (SELECT tenant_id, string_agg(product, ''', ''' ORDER BY position) AS examples FROM sampled GROUP BY 1) USING (tenant_id)
-    LEFT JOIN (SELECT tenant_id, string_agg(category, ''', ''' ORDER BY category) AS unknown FROM unknown_in_use GROUP BY 1) USING (tenant_id)""",
-    DIRTY, VALID, DUPLICATES, SAMPLED, UNKNOWN, PRICED),
+    LEFT JOIN (SELECT tenant_id, string_agg(product, ''', ''' ORDER BY position) AS examples FROM sampled GROUP BY 1) USING (tenant_id)""",
+)
+REPORT_LINES = (
+    "report_lines",
+    """
+    SELECT tenant_id, 'error' AS severity, concat('Columna ''product'' tiene ', printf('%.1f', null_product * 100), '% valores nulos (> 5%)') AS line, NULL AS detail
+      FROM counted WHERE null_product > 0.05
+    UNION ALL SELECT tenant_id, 'error', concat('Columna ''price'' tiene ', printf('%.1f', null_price * 100), '% valores nulos (> 5%)'), NULL
+      FROM counted WHERE null_price > 0.05
+    UNION ALL SELECT tenant_id, 'error', concat('Columna ''category'' tiene ', printf('%.1f', null_category * 100), '% valores nulos (> 5%)'), NULL
+      FROM counted WHERE null_category > 0.05
+    UNION ALL SELECT tenant_id, 'error', concat(price_bad, ' filas con precio inválido'), NULL FROM counted WHERE price_bad > 0
+    UNION ALL SELECT tenant_id, 'error', concat(price_neg, ' filas con precio negativo'), NULL FROM counted WHERE price_neg > 0
+    UNION ALL SELECT tenant_id, 'error', concat(duplicates, ' productos duplicados (ejemplos: [''', examples, '''])'), NULL FROM counted WHERE duplicates > 0
+    UNION ALL SELECT tenant_id, 'warning', concat(price_zero, ' filas con precio 0.00'), NULL FROM counted WHERE price_zero > 0
+    UNION ALL SELECT tenant_id, 'warning', concat('categorías desconocidas: [''', category, ''']'), category FROM unknown_in_use
+    UNION ALL SELECT tenant_id, 'warning', 'No se validaron categorías (falta data/patterns/category_patterns.yaml o ''categories'')', NULL
+      FROM counted WHERE NOT judged
+    UNION ALL SELECT tenant_id, 'warning', concat(short, ' descripciones con menos de 10 caracteres'), NULL FROM counted WHERE short > 0""",
+)
+
+
+@query(
+    "catalog_quality_report",
+    duck("""
+    SELECT c.tenant_id, rows, price_ok, price_bad, price_neg, price_zero, duplicates, severity, line, detail
+    FROM counted c LEFT JOIN report_lines USING (tenant_id)""",
+    DIRTY, VALID, DUPLICATES, SAMPLED, UNKNOWN, PRICED, COUNTED, REPORT_LINES),
 )
 def catalog_quality_report(spark, d):
-    out = q.catalog_quality_report(dirty(spark, d), valid_categories(spark, d))
-    return out.withColumns({c: F.array_join(c, "; ") for c in ("errors", "warnings")})
+    return q.catalog_quality_report(dirty(spark, d), valid_categories(spark, d))
 
 
 # --- index -----------------------------------------------------------------------------------

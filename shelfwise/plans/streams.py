@@ -83,8 +83,8 @@ def sliding_sql(length: int, where: str, group: str) -> str:
     duck(f"SELECT *, round(n / 300.0, 6) AS rate FROM ({sliding_sql(5, 'true', 'path')})"),
 )
 def sliding_request_rate(spark, d):
-    stream = rq.sliding_request_rate(jobs.watermarked(request_stream(spark, d)))
-    now = run(spark, stream, "rate-stream", ["window", "path"])
+    minutes = rq.minute_requests(jobs.watermarked(request_stream(spark, d)), "path")
+    now = rq.request_rate(run(spark, minutes, "rate-stream", ["window", "path"]))
     return now.select(at("window.start").alias("window_start"), "path", "n", F.round("rate", 6).alias("rate"))
 
 
@@ -105,8 +105,8 @@ def hourly_recommendations(spark, d):
     duck(f"SELECT *, round(n / 600.0, 6) AS rate, n / 600.0 > 1 AS alert FROM ({sliding_sql(10, 'status = 429', 'path')})"),
 )
 def rate_429_by_path(spark, d):
-    stream = rq.rate_429_by_path(jobs.watermarked(request_stream(spark, d)))
-    now = run(spark, stream, "refused-stream", ["window", "path"])
+    minutes = rq.minute_refusals(jobs.watermarked(request_stream(spark, d)))
+    now = rq.refusal_rate(run(spark, minutes, "refused-stream", ["window", "path"]))
     return now.select(at("window.start").alias("window_start"), "path", "n", F.round("rate", 6).alias("rate"), "alert")
 
 
@@ -128,8 +128,8 @@ def count_5xx_by_path(spark, d):
          + sliding_sql(5, "path = '/answer'", "client_id") + ")"),
 )
 def tenant_answer_rate(spark, d):
-    stream = rq.tenant_answer_rate(jobs.watermarked(request_stream(spark, d)))
-    now = run(spark, stream, "answer-stream", ["window", "client_id"])
+    minutes = rq.minute_answers(jobs.watermarked(request_stream(spark, d)))
+    now = rq.answer_rate(run(spark, minutes, "answer-stream", ["window", "client_id"]))
     return now.select(at("window.start").alias("window_start"), "client_id", "n", F.round("rate", 6).alias("rate"), "alert")
 
 

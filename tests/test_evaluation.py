@@ -87,12 +87,25 @@ def test_quality_report(spark):
     rows = [("t", i, "same" if i < 12 else f"p{i}", "0,00" if i == 13 else (None if i == 14 else "9,5"), "odd" if i == 1 else "gel", "long enough text" if i else None) for i in range(15)]
     df = spark.createDataFrame(rows, "tenant_id string, row_id long, product string, price string, category string, description string")
     valid = spark.createDataFrame([("t", "gel")], "tenant_id string, category string")
-    out = q.catalog_quality_report(df, valid).first()
-    assert (out["rows"], out["price_ok"], out["price_bad"], out["price_zero"], out["price_neg"], out["duplicates"]) == (15, 14, 1, 1, 0, 12)
-    assert out["errors"] == [
-        "Columna 'price' tiene 6.7% valores nulos (> 5%)", "1 filas con precio inválido",
+    out = q.catalog_quality_report(df, valid).collect()
+    for r in out:
+        assert (r["rows"], r["price_ok"], r["price_bad"], r["price_zero"], r["price_neg"], r["duplicates"]) == (15, 14, 1, 1, 0, 12)
+    assert sorted(r["line"] for r in out if r["severity"] == "error") == [
+        "1 filas con precio inválido",
         "12 productos duplicados (ejemplos: ['" + "', '".join(["same"] * 10) + "'])",
+        "Columna 'price' tiene 6.7% valores nulos (> 5%)",
     ]
-    assert out["warnings"] == ["1 filas con precio 0.00", "categorías desconocidas: ['odd']", "1 descripciones con menos de 10 caracteres"]
-    none = q.catalog_quality_report(df, valid.where("false")).first()
-    assert any("No se validaron" in w for w in none["warnings"])
+    assert sorted((r["line"], r["detail"] or "") for r in out if r["severity"] == "warning") == [
+        ("1 descripciones con menos de 10 caracteres", ""), ("1 filas con precio 0.00", ""), ("categorías desconocidas: ['odd']", "odd"),
+    ]
+    none = q.catalog_quality_report(df, valid.where("false")).collect()
+    assert any("No se validaron" in r["line"] for r in none)
+
+
+def test_report_names_every_unknown_category(spark):
+    rows = [("t", i, f"p{i}", "9,5", f"odd{i}", "long enough text") for i in range(150)] + [("fine", 1, "p", "1", "gel", "long enough text")]
+    df = spark.createDataFrame(rows, "tenant_id string, row_id long, product string, price string, category string, description string")
+    valid = spark.createDataFrame([("t", "gel"), ("fine", "gel")], "tenant_id string, category string")
+    out = q.catalog_quality_report(df, valid).collect()
+    assert {r["detail"] for r in out if r["tenant_id"] == "t"} == {f"odd{i}" for i in range(150)}
+    assert [(r["rows"], r["severity"], r["line"]) for r in out if r["tenant_id"] == "fine"] == [(1, None, None)]

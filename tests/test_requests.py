@@ -56,21 +56,28 @@ def nearest(values, p):
     return ordered[min(len(ordered) - 1, round(p / 100 * (len(ordered) - 1)))]
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 4096])
-def test_percentiles(spark, buckets):
+@pytest.mark.parametrize(("accuracy", "rows"), [(10, 5), (50, 20), (1000, 100_000)])
+def test_percentiles(spark, accuracy, rows):
     rng = np.random.default_rng(2)
+    inf = float("inf")
     groups = {
         "five": [10.0, 20.0, 30.0, 40.0, 50.0],
         "hot": [7.0] * 300 + list(rng.normal(size=200)),
         "one": [3.5],
         "tie": [1.0, 2.0, 3.0, 4.0],
+        "tail": [*rng.normal(size=3000).tolist(), 1e15],
+        "infinite": [-inf, *rng.normal(size=50).tolist(), inf, inf, inf, inf],
+        None: [2.0, 9.0, 4.0],
     }
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("five", None)], "g string, v double")
-    out = rq.nearest_rank_percentile(df, "v", [0, 50, 95, 100], ["g"], buckets=buckets)
+    ask = {"accuracy": accuracy, "bracket_rows": rows}
+    out = rq.nearest_rank_percentile(df, "v", [0, 50, 95, 100], ["g"], **ask)
     got = {(r["g"], r["percent"]): r["v"] for r in out.collect()}
     assert got == {(g, float(p)): nearest(vs, p) for g, vs in groups.items() for p in (0, 50, 95, 100)}
-    assert rq.nearest_rank_percentile(df, "v", [50], buckets=buckets).count() == 1
-    assert rq.nearest_rank_percentile(df.where("false"), "v", [50]).count() == 0
+    assert rq.nearest_rank_percentile(df, "v", [50], **ask).count() == 1
+    assert rq.nearest_rank_percentile(df.where("false"), "v", [50], **ask).count() == 0
+    mixed = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
+    assert [str(r["v"]) for r in rq.nearest_rank_percentile(mixed, "v", [0, 50, 100], **ask).orderBy("percent").collect()] == ["1.0", "2.0", "nan"]
 
 
 def test_histogram_and_quantile(spark):

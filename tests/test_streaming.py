@@ -53,7 +53,7 @@ def test_quota_state_equals_batch(spark, fed):
 def test_windowed_counts_equal_batch(spark, fed):
     for job, keys in [
         (jobs.request_metrics, ["window", "method", "path", "status"]),
-        (lambda df: rq.sliding_request_rate(jobs.watermarked(df)), ["window", "path"]),
+        (lambda df: rq.minute_requests(jobs.watermarked(df), "path"), ["window", "path"]),
         (lambda df: rq.count_5xx_by_path(jobs.watermarked(df)), ["window", "path"]),
         (lambda df: rq.hourly_recommendations(jobs.watermarked(df)), ["window", "client_id"]),
     ]:
@@ -65,6 +65,15 @@ def test_windowed_counts_equal_batch(spark, fed):
         assert batches >= 3
 
 
+def test_streamed_minutes_give_the_sliding_rate(spark, fed):
+    out = shared_dir(spark, "minute-test")
+    now = sinks.aggregate_to_end(rq.minute_requests(jobs.watermarked(stream(spark, fed)), "path"), out, ["window", "path"])
+    batch = rq.sliding_request_rate(fed[1])
+    assert rows_of(rq.request_rate(now), *batch.columns) == rows_of(batch, *batch.columns)
+    plan = batch._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.rindex("Aggregate"), "log rows are counted before they are copied to windows"
+
+
 def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     for minute, rid in [(0, 1), (600, 2), (700, 3), (1, 4)]:
         row = [(rid, "a", "k", DAY + dt.timedelta(minutes=minute), "GET", "/x", 200, 1)]

@@ -10,6 +10,8 @@ from .requests import nearest_rank_percentile, token_cost
 
 # Length of the name prefix that is looked up in an answer.
 PREFIX = 8
+# Lengths of the pieces that answers are cut into, first and second.
+PIECES = (1 << 14, 256)
 
 
 def expected_hits(retrieved: Column, expected: Column) -> Column:
@@ -38,6 +40,14 @@ def reject_cases(cases: DataFrame) -> DataFrame:
     return cases.withColumn("correctly_rejected", F.when(F.col("expect_no_match"), F.size("sources") == 0))
 
 
+def _pieces(texts: DataFrame, step: int, overlap: Column) -> DataFrame:
+    """Cut ``text`` every ``step`` characters, each piece with the ``overlap`` characters after it; ``offset`` says where."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(step))
+    cut = texts.select("tenant_id", "msg_id", "offset", "text", F.explode(starts).alias("at"))
+    piece = F.substr("text", F.col("at") + 1, F.lit(step) + overlap)
+    return cut.select("tenant_id", "msg_id", (F.col("offset") + F.col("at")).alias("offset"), piece.alias("text")).distinct()
+
+
 def grounding_violations(answers: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalog names that occur in an answer but not among its sources.
 
@@ -45,9 +55,9 @@ def grounding_violations(answers: DataFrame, catalog: DataFrame) -> DataFrame:
     sides are compared in lower case, as substrings. Returns ``(tenant_id, msg_id, product_name,
     n_rows)`` where n_rows is the number of catalog rows of that name.
 
-    No answer is compared with every name. Places in an answer where the first characters of some
-    name stand are found by equality; from each, one substring per name length with that prefix is
-    looked up among the whole names, again by equality.
+    No answer is compared with every name. Answers are cut into pieces that overlap by the longest name, so work
+    is linear in their length. Places in a piece where the first characters of some name stand are found by equality;
+    from each, one substring per name length with that prefix is looked up among the whole names, again by equality.
     """
     spelled = catalog.where(F.col("product_name").isNotNull()).groupBy("tenant_id", "product_name").agg(
         F.count(F.lit(1)).alias("n_rows")
@@ -65,29 +75,33 @@ def grounding_violations(answers: DataFrame, catalog: DataFrame) -> DataFrame:
         .groupBy("tenant_id", "prefix")
         .agg(F.collect_set("size").alias("sizes"))
     )
-    texts = answers.select("tenant_id", "msg_id", F.lower("answer").alias("text"))
+    longest = names.agg(F.coalesce(F.max(size), F.lit(0))).scalar()
+    texts = answers.select("tenant_id", "msg_id", F.lit(0).cast("long").alias("offset"), F.lower("answer").alias("text"))
+    # Finding a place in a text takes time in proportion to its offset, hence two steps.
+    for step in PIECES:
+        texts = _pieces(texts, step, longest)
     # Prefix lengths in use: the full one, and those of shorter names, which are their own prefix.
     widths = names.where(size > 0).agg(F.collect_set(F.least(size, F.lit(PREFIX))).alias("w")).scalar()
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
+    starts = F.sequence(F.lit(1), F.least(F.greatest(F.length("text"), F.lit(1)), F.lit(PIECES[-1])))
     places = (
-        texts.select("tenant_id", "msg_id", "text", F.explode(widths).alias("width"))
-        .select("tenant_id", "msg_id", "text", "width", F.explode(starts).alias("at"))
-        .select("tenant_id", "msg_id", "at", "width", F.expr("substring(text, at, width)").alias("prefix"))
+        texts.select("tenant_id", "msg_id", "offset", "text", F.explode(widths).alias("width"))
+        .select("tenant_id", "msg_id", "offset", "text", "width", F.explode(starts).alias("at"))
+        .select("tenant_id", "msg_id", "offset", "at", "width", F.expr("substring(text, at, width)").alias("prefix"))
         .where(F.length("prefix") == F.col("width"))
         .join(prefixes, ["tenant_id", "prefix"])
-        .select("tenant_id", "msg_id", F.struct("at", "sizes").alias("place"))
-        .groupBy("tenant_id", "msg_id")
+        .select("tenant_id", "msg_id", "offset", F.struct("at", "sizes").alias("place"))
+        .groupBy("tenant_id", "msg_id", "offset")
         .agg(F.collect_list("place").alias("places"))
     )
     windows = (
-        texts.join(places, ["tenant_id", "msg_id"])
+        texts.join(places, ["tenant_id", "msg_id", "offset"])
         .select("tenant_id", "msg_id", "text", F.explode("places").alias("p"))
         .select("tenant_id", "msg_id", "text", F.col("p.at").alias("at"), F.explode("p.sizes").alias("size"))
         .select("tenant_id", "msg_id", F.expr("substring(text, at, size)").alias("name"))
         .distinct()
     )
     # An empty name occurs in every answer.
-    empty = names.where(size == 0).join(texts.select("tenant_id", "msg_id"), "tenant_id")
+    empty = names.where(size == 0).join(answers.where("answer IS NOT NULL").select("tenant_id", "msg_id"), "tenant_id")
     found = windows.unionByName(empty.select("tenant_id", "msg_id", "name"))
     cited = answers.select(
         "tenant_id", "msg_id", F.explode(F.transform("sources", F.lower)).alias("name")

@@ -66,16 +66,19 @@ def said(spark, d):
 @query(
     "prompt_rows",
     duck(f"""
-    SELECT m.msg_id, 'system' AS role, {sql_text(SYSTEM)} AS system,
-           concat('Cards:', chr(10), s.cards_json, chr(10), 'Customer: "', {SAID}, '"', chr(10),
-                  'Rules: {{be brief}}', chr(10),
-                  CASE WHEN m.msg_id % 2 = 1 THEN {sql_text(SAFETY_LINE)} ELSE '' END) AS prompt
-    FROM message_text m JOIN served s USING (msg_id)""", SERVED),
+    SELECT m.msg_id, CASE WHEN s.msg_id IS NOT NULL THEN 'system' END AS role,
+           CASE WHEN s.msg_id IS NOT NULL THEN {sql_text(SYSTEM)} END AS system,
+           CASE WHEN s.msg_id IS NOT NULL THEN
+             concat('Cards:', chr(10), s.cards_json, chr(10), 'Customer: "', {SAID}, '"', chr(10),
+                    'Rules: {{be brief}}', chr(10),
+                    CASE WHEN m.msg_id % 2 = 1 THEN {sql_text(SAFETY_LINE)} ELSE '' END) END AS prompt
+    FROM message_text m LEFT JOIN served s USING (msg_id)""", SERVED),
 )
 def prompt_rows(spark, d):
+    """Messages that nothing was found for have no chat and stay, with nulls."""
     rows = com.prompt_rows(said(spark, d), served(spark, d), SYSTEM, COMPOSE)
     chat = F.col("chat")
-    return rows.where(chat.isNotNull()).select(
+    return rows.select(
         "msg_id",
         chat[0]["role"].alias("role"),
         chat[0]["content"].alias("system"),

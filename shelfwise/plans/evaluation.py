@@ -136,9 +136,9 @@ ANSWERS = (
     "answers",
     """
     SELECT p.p_partkey AS msg_id, concat('t', p.p_partkey % 5) AS tenant_id,
-           concat('Take the ', upper(p.p_name), ' or the ', n.p_name, '. Not ', substr(n.p_brand, 1, 4), p.p_type) AS answer,
+           concat('Take the ', upper(p.p_name), ' or the ', coalesce(n.p_name, ''), '. Not ', coalesce(substr(n.p_brand, 1, 4), ''), p.p_type) AS answer,
            [p.p_name] AS sources
-    FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1""",
+    FROM part p LEFT JOIN part n ON n.p_partkey = p.p_partkey + 1""",
 )
 
 
@@ -148,10 +148,10 @@ def answers(spark, d):
         (F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("n_name"), F.col("p_brand").alias("n_brand")
     )
     text = F.concat(
-        F.lit("Take the "), F.upper("p_name"), F.lit(" or the "), "n_name", F.lit(". Not "),
-        F.substring("n_brand", 1, 4), "p_type",
+        F.lit("Take the "), F.upper("p_name"), F.lit(" or the "), F.coalesce("n_name", F.lit("")), F.lit(". Not "),
+        F.coalesce(F.substring("n_brand", 1, 4), F.lit("")), "p_type",
     )
-    return part.join(near, "p_partkey").select(
+    return part.join(near, "p_partkey", "left").select(
         F.col("p_partkey").alias("msg_id"),
         F.concat(F.lit("t"), (F.col("p_partkey") % 5).cast("string")).alias("tenant_id"),
         text.alias("answer"),

@@ -109,3 +109,17 @@ def test_report_names_every_unknown_category(spark):
     out = q.catalog_quality_report(df, valid).collect()
     assert {r["detail"] for r in out if r["tenant_id"] == "t"} == {f"odd{i}" for i in range(150)}
     assert [(r["rows"], r["severity"], r["line"]) for r in out if r["tenant_id"] == "fine"] == [(1, None, None)]
+
+
+def test_grounding_in_a_long_answer(spark):
+    """Names at every kind of border of a long answer are found, and work stays linear in its length."""
+    filler = "lorem ipsum "
+    body = list(filler * 9000)
+    for at in (0, 250, 16_380, 32_768, 99_000):
+        body[at : at + 12] = "Golden Creme"
+    names = ["golden creme", "creme", "lorem ipsum lorem", "absent name", "Cited"]
+    answers = spark.createDataFrame([("t", 1, "".join(body) + " cited", ["CITED"]), ("t", 2, None, []), ("t", 3, "", [])],
+                                    "tenant_id string, msg_id long, answer string, sources array<string>")
+    catalog = spark.createDataFrame([("t", n) for n in names] + [("t", "creme"), ("u", "ipsum")], "tenant_id string, product_name string")
+    got = {(r["msg_id"], r["product_name"], r["n_rows"]) for r in ev.grounding_violations(answers, catalog).collect()}
+    assert got == {(1, "golden creme", 1), (1, "creme", 2), (1, "lorem ipsum lorem", 1)}

@@ -176,6 +176,11 @@ REPORT_WARNINGS = {
     "short_descriptions": "{N} descripciones con menos de {LIMIT} caracteres",
 }
 
+# Details of refused requests.
+AUTH_NO_CLIENT = "client_id is required"
+AUTH_UNKNOWN = "Unknown client_id: "
+AUTH_BAD_KEY = "Invalid API key"
+
 # Transliterations that are not one plain letter for one accented letter.
 TRANSLITERATIONS = {
     "ß": "ss", "ẞ": "Ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th",

@@ -14,7 +14,14 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import DEFAULT_DAILY_LIMIT, LATENCY_BUCKETS, TOKEN_PRICES
+from ..fixed_values import (
+    AUTH_BAD_KEY,
+    AUTH_NO_CLIENT,
+    AUTH_UNKNOWN,
+    DEFAULT_DAILY_LIMIT,
+    LATENCY_BUCKETS,
+    TOKEN_PRICES,
+)
 from ..functions.clock import utc_day
 from ..session import materialized
 
@@ -39,9 +46,9 @@ def classify_request_auth(requests: DataFrame, tenants: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("x_api_key"), F.lit(""))
     bad_key = (key == "") | ~F.coalesce(key == F.col("api_key"), F.lit(False))
     detail = (
-        F.when(no_client, "client_id is required")
-        .when(~F.col("known"), F.concat(F.lit("Unknown client_id: "), "client_id"))
-        .when(bad_key, "Invalid API key")
+        F.when(no_client, AUTH_NO_CLIENT)
+        .when(~F.col("known"), F.concat(F.lit(AUTH_UNKNOWN), "client_id"))
+        .when(bad_key, AUTH_BAD_KEY)
     )
     status = F.when(no_client, 400).when(~F.col("known") | bad_key, 401)
     return joined.withColumns({"auth_status": status, "auth_detail": detail})

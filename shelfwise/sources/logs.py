@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +30,27 @@ def write_access_log(log: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("client").json(path)
 
 
-def read_access_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines; a line that is no JSON keeps its text in ``_corrupt_record``."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "recursiveFileLookup": "true"}
-    return spark.read.schema(f"{ACCESS_LOG}, {CORRUPT} string").options(**options).json(path)
+def read_access_log(spark: SparkSession, path: str, clients: Sequence[str] | None = None) -> DataFrame:
+    """Log lines; a line that is no JSON keeps its text in ``_corrupt_record``.
+
+    All files are read, also those outside a client's folder. With ``clients`` only the folders of these are.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    schema = f"{ACCESS_LOG}, {CORRUPT} string"
+    if clients is None:
+        return spark.read.schema(schema).options(**options, recursiveFileLookup="true").json(path)
+    lines = spark.read.schema(f"{schema}, client string").options(**options).json(path)
+    return lines.where(F.col("client").isin(*clients)).drop("client")
 
 
 def read_quota(spark: SparkSession, path: str) -> DataFrame:
-    """Usage per client and day; a missing table is an empty one, unreadable files are skipped."""
+    """Usage per client and day; a missing table is an empty one.
+
+    A file that cannot be read is an error: it holds the counts of many clients, and counting them from zero again would
+    be made permanent by the next write.
+    """
     try:
-        return spark.read.schema(QUOTA).option("ignoreCorruptFiles", "true").parquet(path).select(*QUOTA_COLUMNS)
+        return spark.read.schema(QUOTA).option("ignoreCorruptFiles", "false").parquet(path).select(*QUOTA_COLUMNS)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

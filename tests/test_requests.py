@@ -134,3 +134,21 @@ def test_quota_table(spark, tmp_path):
     logs.quota_state_upsert(usage(("a", one, 9)), path)
     got = sorted(tuple(r) for r in logs.read_quota(spark, path).collect())
     assert got == [("a", one, 9), ("a", two, 3), ("b", one, 2)]
+
+
+def test_access_log_of_some_clients_reads_their_folders_only(spark, tmp_path):
+    path = str(tmp_path / "log")
+    logs.write_access_log(rq.access_log_row(log(spark, [request(1), request(3, "b"), request(4, "7")]).withColumns({"rate_limit": F.lit(None), "rate_remaining": F.lit(None)})), path)
+    some = logs.read_access_log(spark, path, ["b", "7"])
+    assert sorted(r["rid"] for r in some.collect()) == ["3", "4"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "client" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_an_unreadable_quota_file_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "quota")
+    usage = spark.createDataFrame([("a", dt.date(2024, 1, 1), 1)], "client_id string, day date, used long")
+    logs.quota_state_upsert(usage, path)
+    (tmp_path / "quota" / "day=2024-01-01" / "part-bad.parquet").write_bytes(b"no parquet here, not at all")
+    with pytest.raises(Exception, match="(?i)parquet|corrupt|read"):
+        logs.quota_state_upsert(usage, path)

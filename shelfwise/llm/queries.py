@@ -82,13 +82,46 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op6_jaccard")
+@query(
+    "op6_jaccard",
+    sql=r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS MATERIALIZED (
+      SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM w),
+    shingles AS MATERIALIZED (SELECT doc_id, unnest(s) AS s FROM sets),
+    sizes AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM sets),
+    common AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS MATERIALIZED (
+      SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.seen)
+    SELECT s.doc_id, n AS n_shingles, min(seen) AS component_id FROM sizes s JOIN reach USING (doc_id) GROUP BY 1, 2
+    """,
+)
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of four-word shingles have a Jaccard similarity of at least 0.85."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-@query("op2_nn_descent")
+@query(
+    "op2_nn_descent",
+    sql="""
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    usable AS (
+      SELECT * FROM v
+      WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+        AND list_sum(list_transform(x, lambda e: e * e)) > 0),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+    reach AS (SELECT vec_id, vec_id AS seen FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.seen),
+    least AS (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY 1),
+    counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN counted USING (vec_id)
+    """,
+)
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between vectors of the same label with a cosine of at least 0.93, and their groups."""
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))

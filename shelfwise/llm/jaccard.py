@@ -169,10 +169,10 @@ def shared_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(lead, "a long, b long")
 
 
-def with_units(members: DataFrame) -> DataFrame:
+def with_units(members: DataFrame, percent: int) -> DataFrame:
     """``members`` (digest, grp, n_shingles, ...) with ``units``, the trees a class takes part in."""
     # A linked pair is at most one band apart: bands are a little wider than the largest ratio of sizes.
-    width = math.log(1 / 0.845)
+    width = math.log(100 / (percent - 0.5))
     rows = members.withColumn("band", F.floor(F.log("n_shingles") / width))
     bands = rows.groupBy("grp", "band").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("elements"))
     whole = bands.groupBy("grp").agg((F.sum("sets") <= UNIT_SETS).alias("few"), (F.sum("elements") <= UNIT_ELEMENTS).alias("short"))
@@ -254,7 +254,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[
     reps = materialized(reps, "class-representatives")
     near = components(shared_keys(docs, width, percent))
     members = reps.join(near.select(F.col("node").alias("cid"), F.col("root").alias("grp")), "cid")
-    members = materialized(with_units(members), "members")
+    members = materialized(with_units(members, percent), "members")
     stars = components(tree_links(docs, members, width, percent))
     rooted = reps.join(stars.select(F.col("node").alias("digest"), "root"), "digest")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -138,6 +138,22 @@ def test_jaccard_in_many_units(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(components_by_force(rows))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_jaccard_over_the_whole_ratio_of_sizes(spark, monkeypatch, percent):
+    """Linked sets whose sizes differ by nearly 100 / percent meet in a unit, wherever the bands fall."""
+    monkeypatch.setattr(jaccard, "UNIT_SETS", 1)
+    rows = []
+    for g, n in enumerate(range(60, 400, 9)):
+        words = [f"g{g}w{i}" for i in range(n + 3)]
+        less = -(-n * percent // 100) + g % 3  # shingles of the smaller one, which the larger one holds
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: less + 3]))]
+    df = tuned(spark).createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(df, percent=percent).collect()
+    want = components_by_force(rows, percent)
+    assert all(c == d - d % 2 for d, _, c in want)
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_one_of_each_group(spark, docs, none):
     kept = jaccard.one_of_each_group(docs)
     assert kept.columns == docs.columns

@@ -4,7 +4,8 @@ Every stage takes the documents that its predecessor kept, all of them, and deci
 
 1. ``language_id`` drops documents without letters and those in no learned language;
 2. ``quality`` drops documents whose quality score is below the threshold;
-3. ``near_duplicates`` keeps one document of each group of near-duplicates;
+3. ``near_duplicates`` keeps one document of each group of near-duplicates: links are a Jaccard similarity of five-word shingles
+   of at least 0.8 (the query of op6 has a contract of its own, four words and 0.85);
 4. ``secrets`` masks secrets in the texts and updates ``n_chars``;
 5. ``packing`` cuts and packs the ids of all documents into sequences.
 
@@ -25,6 +26,10 @@ from shelfwise.llm.queries import BYTE_BPE
 from shelfwise.llm.registry import query
 from shelfwise.session import materialized
 
+# Near-duplicates: words of a shingle, and the least Jaccard similarity in percent.
+WIDTH = 5
+PERCENT = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tuned(spark)
@@ -44,7 +49,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tuned(spark)
-    return jaccard.one_of_each_group(docs)
+    return jaccard.one_of_each_group(docs, WIDTH, PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ into groups that no link can cross, and a tree joins each group:
   blocks in the same or in adjacent bands are units. These are the upper nodes of the tree, with size ranges only; a
   unit is one tree in one task, and holds a bounded number of sets and elements.
 
-Every set travels once per unit it belongs to, only connecting links leave a unit, and no step lists the pairs of a group.
+Every set travels once per unit it belongs to, as its compressed text, only connecting links leave a unit, and no step lists the pairs of a group.
 
 Defined cases: null and empty text, or text without words, has the empty set (n_shingles 0) and its own id as component; a null
 id is never the smallest unless the component has no other; rows with equal text are one class, so repeated rows get equal
@@ -200,6 +200,16 @@ def with_units(members: DataFrame, percent: int) -> DataFrame:
     return rows.drop("band", "own", "upper", "lower", "block", "one")
 
 
+def packed(text: str) -> bytes:
+    """A compressed text: about a third of its set of hashes, which do not compress."""
+    data = text.encode()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> str:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).decode()
+
+
 def tree_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): digests of linked classes, enough to connect what is connected.
 
@@ -211,12 +221,13 @@ def tree_links(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit, digest, data = [], [], []
-            wanted = zip(batch.column("digest").to_pylist(), batch.column("units").to_pylist(), strict=True)
-            for s, (d, units) in zip(shingle_sets(batch.column("text").to_pylist(), width), wanted, strict=True):
+            texts = batch.column("text").to_pylist()
+            wanted = zip(texts, batch.column("digest").to_pylist(), batch.column("units").to_pylist(), strict=True)
+            for s, (text, d, units) in zip(shingle_sets(texts, width), wanted, strict=True):
                 if len(s) and set_digest(s) == d:  # another row may have the same id
                     unit += units
                     digest += [d] * len(units)
-                    data += [s.tobytes()] * len(units)
+                    data += [packed(text)] * len(units)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(unit, "int64"), pa.array(digest, "binary"), pa.array(data, "binary")], names=["unit", "digest", "data"]
             )
@@ -226,7 +237,8 @@ def tree_links(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
 
         def close() -> pa.RecordBatch:
             names = list(held)
-            links = SignatureTree([np.frombuffer(held[d], "uint64") for d in names], percent).connect() if len(names) > 1 else []
+            sets = list(shingle_sets((unpacked(held[d]) for d in names), width)) if len(names) > 1 else []
+            links = SignatureTree(sets, percent).connect() if sets else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([names[link[side]] for link in links], "binary") for side in (0, 1)], names=["a", "b"]
             )

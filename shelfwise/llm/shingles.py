@@ -7,7 +7,7 @@ Words are stretches without ASCII white space, with A-Z in lower case. A word's
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -65,7 +65,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(texts: list[str | None], width: int = 4) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], width: int = 4) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words than ``width`` are one shingle, none an empty set."""
     some: list[bytes] = []
     size = 0

@@ -303,6 +303,23 @@ def test_pipeline_stages(spark, docs, none):
                 assert rows.columns == before.columns
 
 
+def test_pipeline_drops_copies_at_four_fifths(spark):
+    """Copies with a block of words replaced: one stays if five-word shingles are alike to 0.8, both if they are not."""
+    rows = []
+    for g, changed in enumerate((8, 14, 17, 20, 24, 40)):
+        words = [f"g{g}w{i}" for i in range(200)]
+        new = [f"new{g}w{i}" for i in range(changed)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:90] + new + words[90 + changed :]))]
+    alike = {}
+    for (d, a), (_, b) in zip(rows[::2], rows[1::2]):
+        s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+        alike[d] = len(s & t) / len(s | t)
+    assert [d for d in alike if alike[d] >= 0.8] == [0, 2, 4]
+    docs = tuned(spark).createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF_DIR).collect()}
+    assert kept == {d for d, _ in rows if d % 2 == 0 or alike[d - 1] < 0.8}
+
+
 def test_pipeline_at_work(spark):
     """Every stage acts, and clean documents stay."""
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")

@@ -207,6 +207,33 @@ def test_nn_descent(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_nn_descent_finds_what_its_search_misses(spark, monkeypatch):
+    """A search that finds the links of a dense group only: the audit is not swamped by them, and all other links are found."""
+    rng = np.random.default_rng(8)
+    dense = rng.standard_normal(16) + 0.02 * rng.standard_normal((400, 16))
+    base = rng.standard_normal((150, 16))
+    pairs = np.concatenate([base, base + 0.05 * rng.standard_normal(base.shape)])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate([*dense, *pairs])]
+    df = tuned(spark).createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    real = nn_descent.search
+
+    def poor(classes, *rest):
+        few = classes.where("vec_id < 400").select("node")
+        return real(classes, *rest).join(few.withColumnRenamed("node", "a"), "a").join(few.withColumnRenamed("node", "b"), "b").select("a", "b")
+
+    monkeypatch.setattr(nn_descent, "search", poor)
+    monkeypatch.setattr(nn_descent, "AUDIT", 40)
+    monkeypatch.setattr(nn_descent, "BLOCK", 8)  # many blocks: a search is cheaper
+    got = {r["vec_id"]: r["component_id"] for r in nn_descent.near_duplicates(df).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = label(len(rows), list(zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1)))))
+    least: dict[int, int] = {}
+    for i, t in enumerate(top):
+        least.setdefault(t, i)
+    assert got == {i: least[t] for i, t in enumerate(top)}
+
+
 def pages_of() -> list[tuple]:
     inner = warc.record(99, "u", b"x" * 50, hashlib.sha1(b"x" * 50).hexdigest(), None).decode()
     big = "y" * 1500

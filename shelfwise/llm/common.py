@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -74,6 +75,55 @@ def ordered_parts(df: DataFrame, key: str, parts: int, descending: bool = False)
     return df.withColumn("part", part_of(F.col(key).cast("long")))
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Consecutive rows of equal ``keys``, one table per run; a task holds one run and one batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        whole = rows if held is None else pa.concat_tables([held, rows])
+        values = list(zip(*(whole.column(k).to_pylist() for k in keys), strict=True))
+        starts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1])]
+        for at, end in zip(starts, starts[1:]):
+            yield whole.slice(at, end - at)
+        held = whole.slice(starts[-1])
+    if held is not None:
+        yield held
+
+
+def numbered(df: DataFrame, group: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``pos``, the place of a row in its ``group`` (no nulls) by ``order``, and (group, ``n``): rows of each group.
+
+    Rows are dealt into ranges of (group, order), so a large group is many tasks, and counted along in each range. Only the first
+    group of a range can have begun before: at most one row per range corrects the counts. Ties of ``order`` are told apart by where a
+    row is read from, so equal rows can be dealt out, too; ``df`` must be read from files.
+    """
+    rows = df.withColumn("__read", F.monotonically_increasing_id())
+    keys = [group, *order, "__read"]
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__read")
+    schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            at = []
+            for value in batch.column(group).to_pylist():
+                last, seen = value, (seen + 1 if value == last else 0)
+                at.append(seen)
+            columns = [*batch.columns, pa.array([part] * len(at), "int32"), pa.array(at, "int64")]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    rows = materialized(rows.mapInArrow(count, schema), "numbered")
+    counts = materialized(rows.groupBy(group, "__part").agg(F.count("*").alias("__n")), "numbers")
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = counts.withColumn("__before", F.sum("__n").over(earlier)).where("__before > 0").select(group, "__part", "__before")
+    # At most one row per range.
+    placed = rows.join(F.broadcast(begun), [group, "__part"], "left")
+    placed = placed.withColumn("pos", F.col("__at") + F.coalesce("__before", F.lit(0))).drop("__part", "__at", "__before")
+    return placed, counts.groupBy(group).agg(F.sum("__n").alias("n"))
+
+
 def put_file(folder: str, name: str, *chunks: bytes) -> str:
     """Write a file in one step: a temporary name first, then a rename, so a repeated task replaces it whole.
 

@@ -1,20 +1,24 @@
 """Exact cosine top-k for many messages at once.
 
-Both sides are cut into bounded blocks. Every (message block, product block) pair of a group is one
-small matrix product in its own task slice, which emits only its best k per message; a per-message
-rank then merges the blocks. A tenant that holds a third of all rows is spread over as many blocks
-as its size asks for, and no (message, product) pair leaves a block unless it is among the best k.
+Messages meet bounded blocks of products (``metric_index``), each meeting one small matrix product in
+its own task slice, which emits only its best k per message; a per-message rank then merges them. A
+tenant that holds a third of all rows has as many blocks as its size asks for, messages skip the
+blocks that cannot hold one of their best, and no (message, product) pair leaves a meeting unless it
+is among the best k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import DEFAULT_TOP_K
-from ..functions.vector import EPSILON, cosine_similarity
+from ..functions.vector import cosine_similarity
 from ..session import materialized
 from .candidates import (
     effective_filters,
@@ -23,114 +27,34 @@ from .candidates import (
     product_scopes,
     wanted_scopes,
 )
+from .metric_index import HITS, TIE_PLACES, nearest, unit_rows
 
-BLOCK_MESSAGES = 2048
-BLOCK_PRODUCTS = 4096
 # Up to this many candidates, a message is scored pair by pair.
 FEW_CANDIDATES = 128
-# Similarities equal to this many places tie, and ties go to the lower row number.
-TIE_PLACES = 9
-
-
-def _block_count(rows: Column, size: int) -> Column:
-    return F.ceil(rows / size).cast("int")
-
-
-def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
-    vectors = column.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    matrix = flat.reshape(len(vectors), -1)
-    return matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + EPSILON)
-
-
-def _best_of_block(k: int):
-    """The per-block kernel: similarities, optional price mask, best k per message."""
-    places = TIE_PLACES
-
-    def kernel(messages: pa.Table, products: pa.Table) -> pa.Table:
-        schema = pa.schema([("msg_id", pa.int64()), ("row_id", pa.int64()), ("sim", pa.float64())])
-        if messages.num_rows == 0 or products.num_rows == 0:
-            return schema.empty_table()
-        row_ids = products["row_id"].to_numpy()
-        sims = np.round(_unit_rows(messages["vec"]) @ _unit_rows(products["vec"]).T, places)
-        if "lo" in messages.column_names:
-            price = products["price_eur"].to_numpy().astype("float64")
-            lo = messages["lo"].to_numpy().astype("float64")[:, None]
-            hi = messages["hi"].to_numpy().astype("float64")[:, None]
-            allowed = np.isnan(lo) | ((price >= lo) & (price <= hi))
-            sims = np.where(allowed, sims, -np.inf)
-        # Everything down to the k-th best value, ties included; then the order that breaks ties.
-        cut = len(row_ids) - k
-        least = np.partition(sims, cut, axis=1)[:, [cut]] if cut > 0 else -np.inf
-        at, of = np.nonzero((sims >= least) & np.isfinite(sims))
-        order = np.lexsort((row_ids[of], -sims[at, of], at))
-        at, of = at[order], of[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        at, of = at[place < k], of[place < k]
-        return pa.table(
-            {
-                "msg_id": messages["msg_id"].to_numpy()[at],
-                "row_id": row_ids[of],
-                "sim": sims[at, of],
-            },
-            schema=schema,
-        )
-
-    return kernel
-
-
-def block_hits(
-    messages: DataFrame,
-    products: DataFrame,
-    k: int,
-    group: list[str],
-    message_groups: DataFrame | None = None,
-    message_block: int = BLOCK_MESSAGES,
-    product_block: int = BLOCK_PRODUCTS,
-) -> DataFrame:
-    """Best ``k`` products of every block for each message that shares its ``group`` columns.
 
-    ``messages``: group, msg_id, vec and, for a price mask, lo and hi. ``products``: group, row_id,
-    vec and price_eur. ``message_groups`` is a cheaper source of the messages' group columns, if
-    there is one. Returns ``(msg_id, row_id, sim)``; the best k of a message are among them.
-    """
-    counted = messages if message_groups is None else message_groups
-    m_size = counted.groupBy(*group).agg(
-        _block_count(F.count(F.lit(1)), message_block).alias("m_blocks")
-    )
-    p_size = products.groupBy(*group).agg(
-        _block_count(F.count(F.lit(1)), product_block).alias("p_blocks")
-    )
-    # One row per group. Written first, so the planner knows whether it is small enough to
-    # broadcast and the vectors need no shuffle by a skewed group key.
-    grid = materialized(m_size.join(p_size, group), "block-grid")
-    m_side = (
-        messages.join(grid, group)
-        .withColumn("m_block", F.pmod(F.xxhash64("msg_id"), F.col("m_blocks")).cast("int"))
-        .withColumn("p_block", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)))
-        .drop("m_blocks", "p_blocks")
-    )
-    p_side = (
-        products.join(grid, group)
-        .withColumn("p_block", F.pmod(F.xxhash64("row_id"), F.col("p_blocks")).cast("int"))
-        .withColumn("m_block", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
-        .drop("m_blocks", "p_blocks")
-    )
-    keys = [*group, "m_block", "p_block"]
-    return (
-        m_side.groupBy(*keys)
-        .cogroup(p_side.groupBy(*keys))
-        .applyInArrow(_best_of_block(k), "msg_id long, row_id long, sim double")
-    )
+
+def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sims = np.zeros(batch.num_rows)
+        lengths = pc.list_value_length(batch["m_vec"]).to_numpy(zero_copy_only=False)
+        for length in np.unique(lengths):
+            at = np.flatnonzero(lengths == length)
+            some = batch.take(pa.array(at))
+            sides = (unit_rows(pa.chunked_array([some[c]])) for c in ("m_vec", "p_vec"))
+            sims[at] = np.einsum("ij,ij->i", *sides)
+        columns = [batch["msg_id"], batch["row_id"], pa.array(np.round(sims, TIE_PLACES))]
+        yield pa.RecordBatch.from_arrays(columns, names=["msg_id", "row_id", "sim"])
 
 
 def pair_hits(pairs: DataFrame, messages: DataFrame, products: DataFrame) -> DataFrame:
     """Similarity of given ``(tenant_id, msg_id, row_id)`` pairs."""
     p_side = products.select("tenant_id", "row_id", F.col("vec").alias("p_vec"))
     m_side = messages.select("tenant_id", "msg_id", F.col("vec").alias("m_vec"))
-    both = pairs.join(p_side, ["tenant_id", "row_id"]).join(m_side, ["tenant_id", "msg_id"])
-    sim = F.round(cosine_similarity(F.col("p_vec"), F.col("m_vec")), TIE_PLACES)
-    return both.select("msg_id", "row_id", sim.alias("sim"))
+    # Narrow pairs are dealt out before vectors join them: a message has few, so no key is large.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(tasks, "tenant_id", "msg_id")
+    both = dealt.join(m_side, ["tenant_id", "msg_id"]).join(p_side, ["tenant_id", "row_id"])
+    return both.select("msg_id", "row_id", "m_vec", "p_vec").mapInArrow(_similarities, HITS)
 
 
 def keep_best(found: DataFrame, k: int) -> DataFrame:
@@ -141,13 +65,8 @@ def keep_best(found: DataFrame, k: int) -> DataFrame:
 
 def cosine_topk(messages: DataFrame, products: DataFrame, k: int) -> DataFrame:
     """Best ``k`` of the tenant's whole catalog."""
-    hits = block_hits(
-        messages.select("tenant_id", "msg_id", "vec"),
-        products.select("tenant_id", "row_id", "vec"),
-        k,
-        ["tenant_id"],
-    )
-    return keep_best(hits, k)
+    asked = messages.select("tenant_id", "msg_id", "vec")
+    return keep_best(nearest(asked, products.select("tenant_id", "row_id", "vec"), k, ["tenant_id"]), k)
 
 
 def overfetch_size(k: int) -> int:
@@ -177,10 +96,13 @@ def retrieve_prefilter(
 
     The number of candidates of every message is known before any vector is touched. Messages with
     a few candidates are scored pair by pair, whatever the size of the catalog. The others meet the
-    blocks of their categories only, and the price range masks inside a block. Groups nobody asks
-    for are dropped before the shuffle.
+    blocks of their categories that can still hold one of their best, and the price range masks
+    inside a block. Groups nobody asks for are dropped before the shuffle.
     """
-    # Narrow, and needed three times: computed once.
+    # Narrow, and needed several times: computed once.
+    messages = materialized(messages.select("tenant_id", "msg_id", "lo", "hi", "hints", "vec"), "messages")
+    products = products.select("tenant_id", "row_id", "category", "price_eur", "vec")
+    products = materialized(products, "products")
     filters = materialized(effective_filters(messages, products), "filters")
     selective = F.col("n_match").between(1, few)
     pairs = pair_hits(message_candidates(filters.where(selective), products), messages, products)
@@ -193,10 +115,9 @@ def retrieve_prefilter(
         "tenant_id",
         F.explode(product_scopes(F.col("category"))).alias("scope"),
         "row_id", "vec", "price_eur",
-    )
-    groups = broad.select("tenant_id", scope)
-    blocks = block_hits(m_side, p_side, k, ["tenant_id", "scope"], message_groups=groups)
-    return keep_best(pairs.unionByName(blocks), k)
+    )
+    near = nearest(m_side, p_side, k, ["tenant_id", "scope"])
+    return keep_best(pairs.unionByName(near), k)
 
 
 def single_query_topk(products: DataFrame, query: Column, k: int) -> DataFrame:

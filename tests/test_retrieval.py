@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import candidates as cand
+from shelfwise.operators import metric_index
 from shelfwise.operators import retrieval as ret
+from shelfwise.operators.metric_index import nearest
+from shelfwise.session import materialized
 
 CATEGORIES = ["a", "b", "c", None]
 
@@ -76,12 +79,51 @@ def test_cover_is_disjoint_and_complete(spark, first, last):
 @pytest.mark.parametrize("block", [1000, 7])
 def test_topk_is_exact_for_any_block_size(world, block):
     products, messages, p, m = world
-    hits = ret.block_hits(m.select("tenant_id", "msg_id", "vec"), p.select("tenant_id", "row_id", "vec"), 5, ["tenant_id"], message_block=block, product_block=block + 4)
+    asked = materialized(m.select("tenant_id", "msg_id", "vec"), "messages")
+    hits = nearest(asked, p.select("tenant_id", "row_id", "vec"), 5, ["tenant_id"], message_block=block, product_block=block + 4)
     got = as_lists(ret.keep_best(hits, 5))
     for x in messages:
         assert got[x[1]] == ranking(x, [y for y in products if y[0] == x[0]], 5)
 
 
+def test_price_masks_in_many_blocks(world):
+    """With masks, a message may find fewer than k in the block it visits first, and looks on."""
+    products, messages, p, m = world
+    asked = materialized(m.select("tenant_id", "msg_id", "vec", "lo", "hi"), "messages")
+    hits = nearest(asked, p.select("tenant_id", "row_id", "vec", "price_eur"), 4, ["tenant_id"], message_block=9, product_block=11)
+    got = as_lists(ret.keep_best(hits, 4))
+    for x in messages:
+        own = [y for y in products if y[0] == x[0] and allowed((*x[:4], []), y)]
+        assert got.get(x[1], []) == ranking(x, own, 4)
+
+
+def test_hot_tenant_skips_blocks(spark):
+    """A tenant with nearly all rows: results are exact, and most meetings of messages and blocks do not take place."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 12))
+    vectors = centres[rng.integers(0, 60, 24_000)] + rng.normal(size=(24_000, 12)) * 0.15
+    vectors[:6000] = vectors[0]  # a quarter are copies of one vector
+    asked = np.concatenate([vectors[rng.integers(0, 24_000, 150)] + rng.normal(size=(150, 12)) * 0.05, vectors[:2]])
+    rows = [("hot" if i % 50 else "small", i, v) for i, v in enumerate(vectors.astype("float32").tolist())]
+    p = materialized(spark.createDataFrame(rows, "tenant_id string, row_id long, vec array<float>").repartition(6), "products")
+    m = spark.createDataFrame([("hot", i, v) for i, v in enumerate(asked.astype("float32").tolist())], "tenant_id string, msg_id long, vec array<float>")
+    m = materialized(m, "messages")
+    got = as_lists(ret.keep_best(nearest(m, p, 5, ["tenant_id"], 64, 500), 5))
+    unit = lambda x: x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+    ids = np.array([i for i in range(24_000) if i % 50])
+    sims = np.round(unit(asked.astype("float32").astype("float64")) @ unit(vectors.astype("float32").astype("float64")).T, 9)[:, ids]
+    for i in range(len(asked)):
+        assert got[i] == ids[np.lexsort((ids, -sims[i]))[:5]].tolist()
+
+    sizes = materialized(p.groupBy("tenant_id").agg(F.count("*").alias("n")), "sizes").where("n > 500")
+    placed, blocks = metric_index.build(p.join(sizes.select("tenant_id"), "tenant_id"), sizes, ["tenant_id"], 500)
+    assert placed.groupBy("cell", "ring").count().agg(F.max("count")).head()[0] <= 500
+    assert blocks.where("inner = outer and rows = 500").count() >= 10  # the copies are rings of their own
+    known = spark.createDataFrame([(i, float(np.sort(sims[i])[-5])) for i in range(len(asked))], "msg_id long, kth double")
+    visits = metric_index.visits(m, blocks, ["tenant_id"], 5, 64, known).groupBy("msg_id").count()
+    assert visits.agg(F.avg("count")).head()[0] < blocks.count() / 4
+
+
 @pytest.mark.parametrize("few", [0, 6, 1000])
 def test_prefilter_and_overfetch(world, few):
     products, messages, p, m = world

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keywords import with_tenant_hints
 from ..functions.price import DEFAULT_TERMS, PriceTerms, parse_price_range
 from ..session import materialized
+from .keywords import with_names
 
 FANOUT = 4
 LEVELS = 15
@@ -32,7 +32,7 @@ def with_intent(
     price = parse_price_range(F.col("message"), terms)
     priced = messages.withColumn("_price", price)
     priced = priced.withColumns({"lo": F.col("_price.lo"), "hi": F.col("_price.hi")})
-    return with_tenant_hints(priced.drop("_price"), patterns)
+    return with_names(priced.drop("_price"), patterns)
 
 
 def filter_price_range(catalog: DataFrame, lo: Column | float, hi: Column | float) -> DataFrame:

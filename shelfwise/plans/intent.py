@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import CATEGORY_PATTERNS, MEDICAL_TERMS, SKIN_TYPES
 from ..functions import keywords as kw
 from ..functions import price as pr
+from ..operators.keywords import with_names
 from ..sources import patterns as pat
 from . import bindings as b
 from .bindings import (
@@ -103,7 +104,7 @@ def flag_medical_terms(spark, d):
 )
 def first_pattern_match(spark, d):
     """Each tenant's own patterns; a message takes the first name with a hit."""
-    hinted = kw.with_tenant_hints(b.message_text(spark, d), b.patterns(spark, d))
+    hinted = with_names(b.message_text(spark, d), b.patterns(spark, d))
     return hinted.select("msg_id", F.try_element_at("hints", F.lit(1)).alias("first_match"))
 
 

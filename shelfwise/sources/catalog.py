@@ -15,6 +15,8 @@ from ..fixed_values import (
     REQUIRED_COLUMNS,
     SCHEMA_MAP,
 )
+from ..session import materialized
+from .records import read_records
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 # .../<tenant>/products_catalog.csv, .../tenant_id=<tenant>/part-0.csv
@@ -37,43 +39,30 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_catalog_csv(spark: SparkSession, path: str | list[str], header: str | None = None) -> DataFrame:
-    """A catalog CSV as strings; quoted cells may hold line breaks and doubled quotes."""
-    reader = spark.read.options(**CSV_OPTIONS)
-    if header is not None:
-        names = spark.read.options(**CSV_OPTIONS).csv(_one_line(spark, header)).columns
-        reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-    return missing_as_null(reader.csv(path))
+def header_names(spark: SparkSession, header: str) -> list[str]:
+    """Column names of a header record, as the CSV reader gives them."""
+    return spark.read.options(**CSV_OPTIONS).csv(spark.sparkContext.parallelize([header], 1)).columns
 
 
-def _one_line(spark: SparkSession, line: str):
-    return spark.sparkContext.parallelize([line], 1)
+def cells(record: Column, names: Sequence[str]) -> Column:
+    """The cells of a record as a struct of strings named by position."""
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    return F.from_csv(record, schema, {k: v for k, v in CSV_OPTIONS.items() if k != "header"})
 
 
-def tenant_of_file(path: Column) -> Column:
-    return F.url_decode(F.regexp_extract(path, TENANT_OF_PATH, 1))
+def read_catalog_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Catalog CSV files of one header as strings; quoted cells may hold line breaks and doubled quotes."""
+    records = read_records(spark, path)
+    first = records.where("number = 0").agg(F.min_by("record", "path")).head()[0]
+    if first is None:
+        raise FileNotFoundError(f"no catalog rows under {path}")
+    names = header_names(spark, first)
+    parsed = records.where("number > 0").select(cells(F.col("record"), names).alias("c"))
+    return missing_as_null(parsed.select(*[F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)]))
 
 
-def list_catalog_headers(spark: SparkSession, root: str) -> DataFrame:
-    """Header line of every catalog file: ``(header, path)``. Folders without one are absent."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .text(root)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        )
-    )
-    # The first split of a file holds its header; splits of one file are read in order.
-    return (
-        lines.where("block = 0")
-        .groupBy("path")
-        .agg(F.min_by("value", "line").alias("header"))
-        .withColumn("header", F.rtrim(F.regexp_replace("header", "\r$", "")))
-    )
+def tenant_of_file(path: Column) -> Column:
+    return F.url_decode(F.regexp_extract(path, TENANT_OF_PATH, 1))
 
 
 def read_all_tenants(
@@ -81,41 +70,40 @@ def read_all_tenants(
 ) -> DataFrame:
     """Every tenant's catalog as one relation: canonical columns, plus tenant and row position.
 
-    Files are read together by header shape, so the number of reads is that of the distinct
-    headers and not of the tenants. Columns a tenant lacks are null.
+    A large file is read by many tasks. One plan reads all files: each record is cut into cells, and a cell's column follows
+    from the header of its file. The distinct headers, not the files, are known to the driver. Columns a
+    tenant lacks are null; a folder without a file has no rows. A ``row_id`` of the file's own replaces the position.
     """
-    # File listing only: one row per file, as in any scan's own planning.
-    shapes: dict[str, list[str]] = {}
-    for row in list_catalog_headers(spark, root).toLocalIterator():
-        shapes.setdefault(row["header"], []).append(row["path"])
+    records = read_records(spark, root, recursiveFileLookup="true", pathGlobFilter="*.csv")
+    headers = records.where("number = 0").select("path", F.col("record").alias("header"))
+    headers = materialized(headers, "headers")
+    shapes = sorted(r["header"] for r in headers.select("header").distinct().collect())
     if not shapes:
         raise FileNotFoundError(f"no catalog files under {root}")
-    parts = []
-    for header, paths in sorted(shapes.items()):
-        raw = spark.read.options(**CSV_OPTIONS)
-        names = raw.csv(_one_line(spark, header)).columns
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        shape = raw.schema(schema).csv(sorted(paths))
-        placed = shape.select(
-            *[F.col(quoted(n)) for n in names],
-            tenant_of_file(F.col("_metadata.file_path")).alias("tenant_id"),
-            F.col("_metadata.file_path").alias("_file"),
-            F.monotonically_increasing_id().alias("_seen"),
-        )
-        parts.append(apply_schema_map(missing_as_null(placed), canonical))
-    return _with_positions(union_catalogs(parts))
-
-
-def _with_positions(df: DataFrame) -> DataFrame:
-    """Row position inside its file; a multi-line CSV file is read by one task, in order."""
-    if "row_id" in df.columns:
-        return df.withColumn("row_id", F.col("row_id").cast("long")).drop("_file", "_seen")
-    first = df.groupBy("_file").agg(F.min("_seen").alias("_first"))
-    return (
-        df.join(first, "_file")
-        .withColumn("row_id", F.col("_seen") - F.col("_first"))
-        .drop("_file", "_seen", "_first")
-    )
+    found = {header: header_names(spark, header) for header in shapes}
+    mapped = {header: canonical_names(names, canonical) for header, names in found.items()}
+    places: dict[str, dict[str, int]] = {}
+    for header in shapes:
+        for at, name in enumerate(mapped[header]):
+            places.setdefault(name, {})[header] = at
+    widest = max(found.values(), key=len)
+
+    rows = records.where("number > 0").join(headers, "path")
+    rows = rows.withColumn("c", cells(F.col("record"), widest))
+    rows = rows.withColumn("cells", F.array(*[F.col(f"c.c{i}") for i in range(len(widest))]))
+
+    def value(name: str) -> Column:
+        at = F.lit(None).cast("int")
+        for header, place in places[name].items():
+            at = F.when(F.col("header") == header, place).otherwise(at)
+        cell = F.get("cells", at)
+        return F.when(~cell.isin(NA_TOKENS), cell).alias(name)
+
+    position = F.col("number") - 1
+    if "row_id" in places:
+        position = F.coalesce(value("row_id").cast("long"), position)
+    own = [value(name) for name in places if name not in ("row_id", "tenant_id")]
+    return rows.select(*own, tenant_of_file(F.col("path")).alias("tenant_id"), position.alias("row_id"))
 
 
 def union_catalogs(parts: Sequence[DataFrame]) -> DataFrame:
@@ -126,15 +114,21 @@ def union_catalogs(parts: Sequence[DataFrame]) -> DataFrame:
     return whole
 
 
-def apply_schema_map(df: DataFrame, canonical: Mapping[str, Sequence[str]] = SCHEMA_MAP) -> DataFrame:
-    """Rename the best source header of each canonical field the catalog does not have yet."""
-    present = set(df.columns)
+def canonical_names(
+    names: Sequence[str], canonical: Mapping[str, Sequence[str]] = SCHEMA_MAP
+) -> list[str]:
+    """``names`` with the best source header of each canonical field that is not there yet renamed to it."""
     renames = {}
     for field, headers in canonical.items():
-        source = next((h for h in headers if h in present), None)
-        if field not in present and source is not None:
+        source = next((h for h in headers if h in names), None)
+        if field not in names and source is not None:
             renames[source] = field
-    return df.toDF(*[renames.get(c, c) for c in df.columns])
+    return [renames.get(n, n) for n in names]
+
+
+def apply_schema_map(df: DataFrame, canonical: Mapping[str, Sequence[str]] = SCHEMA_MAP) -> DataFrame:
+    """Rename the best source header of each canonical field the catalog does not have yet."""
+    return df.toDF(*canonical_names(df.columns, canonical))
 
 
 def map_logical_columns(

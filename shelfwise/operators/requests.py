@@ -59,12 +59,15 @@ def authorised(requests: DataFrame, tenants: DataFrame) -> DataFrame:
     return passed.withColumn("day", utc_day(F.col("ts")))
 
 
-def quota_running_usage(authorised_requests: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+def quota_running_usage(
+    authorised_requests: DataFrame, slot_seconds: int = SLOT_SECONDS, counted: DataFrame | None = None
+) -> DataFrame:
     """Number each client's requests within its UTC day and admit those within the limit.
 
     Order is (ts, rid). A day is cut into slots: slots are counted first, the counts of earlier
     slots are added up, and rows are numbered inside their slot only. So a busy client's day is
-    spread over many tasks instead of being one sort.
+    spread over many tasks instead of being one sort. ``counted`` (client_id, day, total) are requests
+    that came before all of these.
     """
     keys = ["client_id", "day", "slot"]
     slot = F.floor(F.unix_micros("ts") / (slot_seconds * 1_000_000))
@@ -78,6 +81,9 @@ def quota_running_usage(authorised_requests: DataFrame, slot_seconds: int = SLOT
         .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .drop("n")
     )
+    if counted is not None:
+        starts = starts.join(counted.select("client_id", "day", "total"), ["client_id", "day"], "left")
+        starts = starts.withColumn("before", F.col("before") + F.coalesce("total", F.lit(0))).drop("total")
     inside = Window.partitionBy(*keys).orderBy("ts", "rid")
     numbered = rows.withColumn("at", F.row_number().over(inside)).join(starts, keys)
     used = F.col("before") + F.col("at")

@@ -24,16 +24,29 @@ def request_stream(spark, d):
     return b.requests_of(sinks.read_stream(spark, d, events, "events.parquet"))
 
 
+def arriving_requests(spark, d, batches):
+    """The requests as files that arrive one after the other, in order of time, each a micro-batch."""
+    events = b.table(spark, d, "events")
+    folder = shared_dir(spark, "arriving")
+    shares = [i / batches for i in range(1, batches)]
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(micros, F.array(*map(F.lit, shares)), F.lit(1000))).head()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        some = F.lit(True) if low is None else micros > low
+        some = some if high is None else some & (micros <= high)
+        events.where(some).coalesce(1).write.mode("append").parquet(folder)
+    return b.requests_of(sinks.read_stream(spark, folder, events, "*.parquet", maxFilesPerTrigger="1"))
+
+
 def run(spark, stream, name, keys):
     return sinks.aggregate_to_end(stream, shared_dir(spark, name), keys)
 
 
 @query("stream_quota_admission", duck(QUOTA_SQL, JUDGED, NUMBERED))
 def stream_quota_admission(spark, d):
+    """In three micro-batches, so that most numbers continue from counters of earlier ones."""
     out = shared_dir(spark, "quota-stream")
-    stream = jobs.quota_admission(request_stream(spark, d), b.tenants(spark, d))
-    sinks.run_batches(stream, out)
-    return sinks.read_batches(spark, out, stream.schema).drop(sinks.BATCH)
+    return jobs.run_quota(arriving_requests(spark, d, 3), b.tenants(spark, d), out)
 
 
 @query(
@@ -142,7 +155,7 @@ def stream_retrieve(spark, d):
     products = b.catalog_vec(spark, d)
     known = b.patterns(spark, d)
 
-    def answer(batch):
+    def answer(batch, batch_id):
         messages = with_intent(batch, known).withColumn("vec", hash_embedding(F.col("message"), DIM))
         served = jobs.answer_batch(messages, products, TOP_K)
         return served.withColumn("sources", F.array_join("sources", "|"))

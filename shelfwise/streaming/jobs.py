@@ -5,20 +5,18 @@ Windowed jobs are the batch expressions of ``operators.requests`` on a watermark
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import DEFAULT_TOP_K
-from ..functions.clock import utc_day
 from ..operators import requests as rq
 from ..operators.compose import cards_and_sources
-from ..operators.requests import classify_request_auth
 from ..operators.retrieval import retrieve_prefilter
+from ..session import materialized
 from ..sources.logs import client_rows
+from .sinks import read_batches, run_batches
+from .values import BATCH, SNAPSHOT_EVERY, Values
 
 LATENESS = "10 minutes"
 QUOTA_LATENESS_DAYS = 1
@@ -35,64 +33,51 @@ def request_metrics(requests: DataFrame) -> DataFrame:
     return rq.latency_buckets(watermarked(requests), *by)
 
 
-def quota_admission(
-    requests: DataFrame, tenants: DataFrame, buckets: int | None = None
-) -> DataFrame:
-    """Daily quota as state: one counter per client and UTC day.
+ADMITTED = "rid long, client_id string, day date, used long, remaining long, admitted boolean"
+COUNTED = "client_id string, day date, total long"
+
+
+def quota_counters(spark: SparkSession, out: str, every: int = SNAPSHOT_EVERY) -> Values:
+    """Requests counted so far per client and UTC day."""
+    return Values(spark, f"{out}/counters", T._parse_datatype_string(COUNTED), ["client_id", "day"], every)
+
+
+def admit_batch(batch: DataFrame, batch_id: int, tenants: DataFrame, counters: Values) -> DataFrame:
+    """Admission of one micro-batch's requests, numbered after those that earlier batches counted.
 
-    Inside a micro-batch a client's rows are taken in (ts, rid) order, across micro-batches in
-    order of arrival. A late row still counts on its own day, until that day's counters expire a day
-    after its end. The counters of a day are kept in hash buckets of clients, so that Python is
-    called per bucket and not per client. A call sees the few columns it needs, of one bucket in one
-    micro-batch; how many rows that can be is set by the source's batch limit. ``buckets`` is the
-    parallelism of a day, by default that of the session's shuffles; it must stay the same for the
-    life of a checkpoint.
+    Numbering is that of the batch job: counts per client, day and minute first, then places inside a minute, so a client
+    with a third of all rows is many tasks. Counters are joined to the minutes, not to rows, and written for the clients of this batch only.
     """
-    buckets = buckets or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    passed = classify_request_auth(requests, tenants).where("auth_status IS NULL")
-    narrow = watermarked(passed, f"{QUOTA_LATENESS_DAYS} days").select(
-        utc_day(F.col("ts")).alias("day"),
-        F.pmod(F.xxhash64("client_id"), F.lit(buckets)).alias("bucket"),
-        "client_id",
-        "ts",
-        "rid",
-        F.col("daily_limit").cast("long"),
-    )
-    return narrow.groupBy("day", "bucket").applyInPandasWithState(
-        _admit,
-        "rid long, client_id string, day date, used long, remaining long, admitted boolean",
-        "clients array<string>, counts array<long>",
-        "append",
-        "EventTimeTimeout",
-    )
+    narrow = ["rid", "client_id", "day", "ts", "daily_limit"]
+    rows = materialized(rq.authorised(batch, tenants).select(*narrow), "authorised")
+    sums = rows.groupBy("client_id", "day").agg(F.count("*").alias("n"))
+    counted = counters.current(before=batch_id).join(sums.select("client_id", "day"), ["client_id", "day"], "left_semi")
+    counted = materialized(counted.select("client_id", "day", "total"), "counted")
+    total = (F.col("n") + F.coalesce("total", F.lit(0))).alias("total")
+    counters.put(batch_id, sums.join(counted, ["client_id", "day"], "left").select("client_id", "day", total))
+    admitted = rq.quota_running_usage(rows, counted=counted)
+    return admitted.select(*T._parse_datatype_string(ADMITTED).names)
+
+
+def run_quota(requests: DataFrame, tenants: DataFrame, out: str, every: int = SNAPSHOT_EVERY) -> DataFrame:
+    """Daily quota over all available input: every authorised request with its number and whether it is admitted.
+
+    Inside a micro-batch a client's requests are taken in (ts, rid) order, across micro-batches in order of arrival. A
+    late request still counts on its own day; counters are forgotten ``QUOTA_LATENESS_DAYS`` after their day, at the next snapshot, and
+    a request later than that is counted anew. A replayed micro-batch starts from the counters before it and
+    replaces its own counters and rows.
+    """
+    spark = requests.sparkSession
+    counters = quota_counters(spark, out, every)
 
+    def admit(batch: DataFrame, batch_id: int) -> DataFrame:
+        newest = counters.current(before=batch_id).agg(F.max("day")).head()[0]
+        if newest is not None:
+            counters.snapshot(batch_id, F.col("day") >= F.date_sub(F.lit(newest), QUOTA_LATENESS_DAYS + 1))
+        return admit_batch(batch, batch_id, tenants, counters)
 
-def _admit(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    day = key[0]
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "rid"])
-    counts = dict(zip(*state.get, strict=True)) if state.exists else {}
-    before = rows["client_id"].map(counts).fillna(0).to_numpy().astype("int64")
-    number = before + rows.groupby("client_id").cumcount().to_numpy() + 1
-    limit = np.maximum(rows["daily_limit"].to_numpy(), 0)
-    admitted = number <= limit
-    for client, n in rows["client_id"].value_counts().items():
-        counts[client] = int(counts.get(client, 0) + n)
-    state.update((list(counts), list(counts.values())))
-    expires = pd.Timestamp(day, tz="UTC") + pd.Timedelta(days=1 + QUOTA_LATENESS_DAYS)
-    state.setTimeoutTimestamp(max(int(expires.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(
-        {
-            "rid": rows["rid"].to_numpy(),
-            "client_id": rows["client_id"].to_numpy(),
-            "day": day,
-            "used": np.where(admitted, number, limit),
-            "remaining": np.maximum(limit - number, 0),
-            "admitted": admitted,
-        }
-    )
+    run_batches(requests, out, admit)
+    return read_batches(spark, out, T._parse_datatype_string(ADMITTED)).drop(BATCH)
 
 
 def access_log_sink(log: DataFrame, path: str, checkpoint: str):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH = "batch_id"
+from .values import BATCH, SNAPSHOT_EVERY, Values
 
 
 def read_stream(spark: SparkSession, folder: str, like: DataFrame, pattern: str, **options: str) -> DataFrame:
@@ -19,16 +19,20 @@ def read_stream(spark: SparkSession, folder: str, like: DataFrame, pattern: str,
     )
 
 
-def run_batches(stream: DataFrame, out: str, write: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> None:
+def run_batches(stream: DataFrame, out: str, rows_of: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
     """Process all available input, one output folder per micro-batch.
 
     A replayed micro-batch overwrites its own folder, so each one counts once.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        rows = write(batch) if write else batch
+        rows = rows_of(batch, batch_id) if rows_of else batch
         rows.write.mode("overwrite").parquet(f"{out}/rows/{BATCH}={batch_id}")
 
+    run_to_end(stream, out, save, "append")
+
+
+def run_to_end(stream: DataFrame, out: str, save: Callable[[DataFrame, int], None], mode: str) -> None:
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(save)
@@ -45,17 +49,17 @@ def read_batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFra
     return spark.read.schema(whole).parquet(f"{out}/rows")
 
 
-def latest(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Current value of every key in a log of changes."""
-    values = [c for c in changes.columns if c not in (*keys, BATCH)]
-    last = F.max_by(F.struct(*values), BATCH).alias("last")
-    return changes.groupBy(*keys).agg(last).select(*keys, "last.*")
-
-
-def aggregate_to_end(stream: DataFrame, out: str, keys: Sequence[str]) -> DataFrame:
+def aggregate_to_end(stream: DataFrame, out: str, keys: Sequence[str], every: int = SNAPSHOT_EVERY) -> DataFrame:
     """Run an aggregation in update mode and return the current value per key.
 
-    Open windows are part of the result, and a window that late rows change is replaced.
+    Open windows are part of the result, and a window that late rows change is replaced. What is read in the end is a
+    snapshot and the changes after it, not the history of the stream.
     """
-    run_batches(stream, out, mode="update")
-    return latest(read_batches(stream.sparkSession, out, stream.schema), keys)
+    values = Values(stream.sparkSession, out, stream.schema, keys, every)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        values.snapshot(batch_id)
+        values.put(batch_id, batch)
+
+    run_to_end(stream, out, save, "update")
+    return values.current().drop(BATCH)

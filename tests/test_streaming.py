@@ -4,10 +4,12 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.operators import requests as rq
 from shelfwise.session import shared_dir
 from shelfwise.streaming import jobs, sinks
+from shelfwise.streaming.values import Values
 
 DAY = dt.datetime(2024, 3, 1)
 SCHEMA = "rid long, client_id string, x_api_key string, ts timestamp, method string, path string, status int, latency_ms int"
@@ -38,16 +40,73 @@ def rows_of(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_quota_state_equals_batch(spark, fed):
+def test_quota_counters_equal_batch(spark, fed):
     out = shared_dir(spark, "quota-test")
-    admission = jobs.quota_admission(stream(spark, fed), fed[2])
-    sinks.run_batches(admission, out)
-    got = sinks.read_batches(spark, out, admission.schema)
-    assert got.select(sinks.BATCH).distinct().count() >= 3
+    got = jobs.run_quota(stream(spark, fed), fed[2], out)
     columns = ["rid", "client_id", "day", "used", "remaining", "admitted"]
     batch = rq.quota_running_usage(rq.authorised(fed[1], fed[2]))
     assert rows_of(got, *columns) == rows_of(batch, *columns)
     assert batch.where("NOT admitted").count() > 0
+    totals = jobs.quota_counters(spark, out).current()
+    assert rows_of(totals, "client_id", "day", "total") == rows_of(batch.groupBy("client_id", "day").count(), "client_id", "day", "count")
+
+
+def test_a_hot_client_over_eight_batches(spark, tmp_path):
+    """A client with most rows, snapshots on the way, and a run that stops in the middle of a batch and replays it."""
+    rows = [(i, "hot" if i % 5 else f"c{i % 3}", "k", DAY + dt.timedelta(seconds=400 * i), "GET", "/answer", 200, 1) for i in range(400)]
+    whole = spark.createDataFrame(rows, SCHEMA)
+    for part in range(8):
+        whole.where(f"rid >= {part * 50} and rid < {part * 50 + 50}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    tenants = spark.createDataFrame([("hot", "k", 120), ("c0", "k", 20), ("c1", "k", 0), ("c2", "k", None)], "client_id string, api_key string, max_requests_per_day int")
+    source = lambda: sinks.read_stream(spark, str(tmp_path / "in"), whole, "*.parquet", maxFilesPerTrigger="1")
+    out = shared_dir(spark, "hot-test")
+    put, calls = jobs.Values.put, []
+
+    def stops(self, batch_id, changed):
+        put(self, batch_id, changed)
+        calls.append(batch_id)
+        if batch_id == 5 and calls.count(5) == 1:
+            raise RuntimeError("stopped after the counters, before the rows")
+
+    jobs.Values.put = stops
+    try:
+        with pytest.raises(Exception, match="stopped after"):
+            jobs.run_quota(source(), tenants, out, every=3)
+        got = jobs.run_quota(source(), tenants, out, every=3)
+    finally:
+        jobs.Values.put = put
+    assert calls == [0, 1, 2, 3, 4, 5, 5, 6, 7]
+    columns = ["rid", "client_id", "day", "used", "remaining", "admitted"]
+    batch = rq.quota_running_usage(rq.authorised(whole, tenants))
+    assert rows_of(got, *columns) == rows_of(batch, *columns)
+    counters = jobs.quota_counters(spark, out, 3)
+    assert counters.pointed()[1] >= 2
+    changed = spark.read.parquet(f"{out}/counters/rows/batch_id=7")
+    assert changed.count() == whole.where("rid >= 350").select("client_id", F.to_date("ts")).distinct().count()
+
+
+def test_a_stop_between_snapshot_and_pointer(spark, tmp_path):
+    values = Values(spark, f"file://{tmp_path}/v", T._parse_datatype_string("k string, v long"), ["k"], every=2)
+    batch = lambda **kv: spark.createDataFrame(list(kv.items()), "k string, v long")
+    now = lambda: dict((r["k"], r["v"]) for r in values.current().collect())
+    assert now() == {}
+    values.put(0, batch(a=1, b=1))
+    values.put(1, batch(a=2))
+    point, values.point_to = values.point_to, lambda name: (_ for _ in ()).throw(RuntimeError("stopped"))
+    with pytest.raises(RuntimeError):
+        values.snapshot(2)
+    values.point_to = point
+    assert values.pointed() == (None, -1) and now() == {"a": 2, "b": 1}
+    assert values.snapshot(2) and values.pointed()[1] == 1
+    values.put(2, batch(b=9, c=1))
+    values.put(2, batch(b=3, c=3))  # a replay
+    assert now() == {"a": 2, "b": 3, "c": 3}
+    assert {r["k"]: r["v"] for r in values.current(before=2).collect()} == {"a": 2, "b": 1}
+    assert not values.snapshot(3)
+    values.put(3, batch(a=7))
+    assert values.snapshot(4, F.col("k") != "b") and now() == {"a": 7, "c": 3}
+    tail = values._changes(values.pointed()[1], None)
+    assert tail.count() == 0, "what a snapshot holds is not read again"
 
 
 def test_windowed_counts_equal_batch(spark, fed):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import text_of
-from shelfwise.llm.pieces import library_encoder
+from shelfwise.llm.pieces import MEMO_ENTRIES, library_encoder
 
 WINDOW_PIECES = 2048
 WINDOW_TOKENS = 1_000_000
@@ -145,12 +145,18 @@ def powers_of_two(pieces: list[tuple[Example, int, int]]) -> list[list[tuple[Exa
 
 
 def pack_examples(
-    docs: DataFrame, tokenizer: str, kind: str, end_id: int, limits: Limits | None = None, context: str | None = None
+    docs: DataFrame,
+    tokenizer: str,
+    kind: str,
+    end_id: int,
+    limits: Limits | None = None,
+    context: str | None = None,
+    memo_entries: int = MEMO_ENTRIES,
 ) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text, and the column ``context`` names): where it lies in which sequence.
 
     ``start`` and ``length`` count ids of the example, ``offset`` counts ids of the sequence, ``segment`` numbers the pieces of a
-    sequence. ``sequence_id`` is unique and not gapless.
+    sequence. ``sequence_id`` is unique and not gapless. A worker remembers the ids of ``memo_entries`` pieces of text.
     """
     limits = limits or Limits()
     rows = docs.select(
@@ -158,7 +164,7 @@ def pack_examples(
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(tokenizer, kind)
+        encode = library_encoder(tokenizer, kind, memo_entries)
         end = struct.pack("<I", end_id)
         sequence = TaskContext.get().partitionId() << 40
         packer = Packer(limits)

@@ -25,7 +25,8 @@ BYTE_LEVEL = re.compile(rf" ?[{LETTERS}]++(?![^\x00-\x7f])| ?[^{SPACE}]+|[{SPACE
 WORD_ENDS = re.compile(rf"[{LETTERS}]++(?![^\x00-\x7f])|[^{SPACE}]+")
 PATTERNS = {"byte": BYTE_LEVEL, "word": WORD_ENDS}
 
-MEMO_ENTRIES = 500_000
+# Pieces that a worker remembers at most, some 250 bytes each: two generations, of which the older one is forgotten whole.
+MEMO_ENTRIES = 1_000_000
 MEMO_CHARS = 48
 CHARS_AT_ONCE = 500_000
 
@@ -33,11 +34,13 @@ CHARS_AT_ONCE = 500_000
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, kind: str, encode: Callable[[list[str]], list[bytes]], special: list[str]):
+    def __init__(self, kind: str, encode: Callable[[list[str]], list[bytes]], special: list[str], entries: int = MEMO_ENTRIES):
         self.find = PATTERNS[kind].findall
         self.encode_pieces = encode
         self.special = special
+        self.entries = entries
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         return next(self.many([text]))
@@ -55,13 +58,16 @@ class PieceEncoder:
         yield from self._encode(some)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+        if len(self.memo) > self.entries // 2:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
         cut = [[t] if any(s in t for s in self.special) else self.find(t) for t in texts]
         distinct: set[str] = set().union(*cut)
         new = [p for p in distinct if p not in memo]
         del distinct
+        # What is used again moves to the younger generation.
+        memo.update((p, older[p]) for p in new if p in older)
+        new = [p for p in new if p not in older]
         memo.update(zip(new, self.encode_pieces(new), strict=True))
         for pieces in cut:
             yield b"".join(map(memo.__getitem__, pieces))
@@ -70,12 +76,12 @@ class PieceEncoder:
                 del memo[p]
 
 
-_LOADED: dict[tuple[str, str], PieceEncoder] = {}
+_LOADED: dict[tuple[str, str, int], PieceEncoder] = {}
 
 
-def library_encoder(path: str, kind: str) -> PieceEncoder:
+def library_encoder(path: str, kind: str, entries: int = MEMO_ENTRIES) -> PieceEncoder:
     """Encoder over the tokenizers library; kept for the life of the worker."""
-    if (path, kind) not in _LOADED:
+    if (path, kind, entries) not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
@@ -102,8 +108,8 @@ def library_encoder(path: str, kind: str) -> PieceEncoder:
             data = ids.tobytes()
             return [data[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
 
-        _LOADED[path, kind] = PieceEncoder(kind, encode, special)
-    return _LOADED[path, kind]
+        _LOADED[path, kind, entries] = PieceEncoder(kind, encode, special, entries)
+    return _LOADED[path, kind, entries]
 
 
 def tokenizer_path(name: str) -> str:

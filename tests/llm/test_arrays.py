@@ -10,7 +10,7 @@ import pytest
 
 from shelfwise.llm import bpe, elias_fano, jaccard, langid, merkle, packing, quality, secrets, token_files, warc
 from shelfwise.llm.nn_descent import connecting
-from shelfwise.llm.pieces import library_encoder, tokenizer_path
+from shelfwise.llm.pieces import PieceEncoder, library_encoder, tokenizer_path
 from shelfwise.llm.shingles import set_digest, shingle_sets
 from shelfwise.llm.signature_tree import SignatureTree
 
@@ -311,3 +311,19 @@ def test_merkle_fingerprints():
     assert merkle.MerkleTree.parse(empty.fingerprint()) == empty
     long = merkle.MerkleTree.of("x" * 100_000)
     assert merkle.MerkleTree.parse(long.fingerprint()).size == 100_000
+
+
+def test_memo_of_two_generations():
+    """Whatever is forgotten, ids stay; pieces in use move to the younger generation."""
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [p.encode("utf-32-le") for p in pieces]
+
+    encoder = PieceEncoder("byte", encode, [], entries=8)
+    for i in range(40):
+        text = f"the word{'abcdefghijklmnopqrstuvwxyz'[i % 26]} of"
+        assert encoder(text) == text.encode("utf-32-le")
+        assert len(encoder.memo) + len(encoder.older) <= 8 + 3 * 2
+    assert asked.count("the") == 1 and asked.count(" of") == 1 and asked.count(" worda") == 2

@@ -29,6 +29,8 @@ from shelfwise.session import materialized
 # Near-duplicates: words of a shingle, and the least Jaccard similarity in percent.
 WIDTH = 5
 PERCENT = 80
+# Pieces of text that a packing worker remembers: executors of the earlier stages have grown by then.
+MEMO_ENTRIES = 400_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tuned(spark)
-    return packing.pack_examples(docs, tokenizer_path(BYTE_BPE), kind="byte", end_id=0)
+    return packing.pack_examples(docs, tokenizer_path(BYTE_BPE), kind="byte", end_id=0, memo_entries=MEMO_ENTRIES)
 
 
 def kept(docs: DataFrame, sent, accepts) -> DataFrame:

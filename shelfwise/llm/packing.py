@@ -96,35 +96,40 @@ class Packer:
         self.pending, self.tokens = [], 0
         if not items:
             return
-        cap = np.array([limits.tokens, limits.segments, limits.loss], dtype="f8")
         starts = [start for _, start in items]
-        need = np.array([[e.tokens - s, 1, e.loss(s, e.tokens - s)] for e, s in items], dtype="f8")
-        share = need / cap
-        open_items = np.arange(len(items))
-        while len(open_items):
-            room = cap.copy()
+        # What is left of the open items, in order; a row moves up when one before it is done. Every item is one segment.
+        tokens = np.array([e.tokens - s for e, s in items], dtype="f8")
+        loss = np.array([e.loss(s, e.tokens - s) for e, s in items], dtype="f8")
+        which = np.arange(len(items))
+        left = len(items)
+        while left:
+            room, segments, loss_room = limits.tokens, limits.segments, limits.loss
             held: list[tuple[Example, int, int]] = []
-            while len(open_items) and (room[:2] >= 1).all():
-                fits = (need[open_items] <= room).all(axis=1)
-                score = share[open_items] @ (room / cap)
-                if fits.any():
-                    k = int(np.argmax(np.where(fits, score, -1)))
-                    i = int(open_items[k])
-                    example, length = items[i][0], int(need[i, 0])
-                    open_items = np.delete(open_items, k)
-                else:
-                    i = int(open_items[int(np.argmax(score))])
-                    example = items[i][0]
-                    length = example.fitting(starts[i], int(room[0]), int(room[2]))
-                    if length <= 0:
-                        break
+            while left and room >= 1 and segments >= 1:
+                # The dot product of an item's shares of the limits and the shares that are free.
+                score = tokens[:left] * (room / limits.tokens**2) + loss[:left] * (loss_room / limits.loss**2)
+                fits = (tokens[:left] <= room) & (loss[:left] <= loss_room)
+                k = int(np.argmax(np.where(fits, score, -1)))
+                whole = bool(fits[k])
+                if not whole:
+                    k = int(np.argmax(score))
+                i = int(which[k])
+                example = items[i][0]
+                length = int(tokens[k]) if whole else example.fitting(starts[i], room, loss_room)
+                if length <= 0:
+                    break
                 held.append((example, starts[i], length))
-                room -= (length, 1, example.loss(starts[i], length))
+                spent = example.loss(starts[i], length)
+                room, segments, loss_room = room - length, segments - 1, loss_room - spent
                 starts[i] += length
-                rest = example.tokens - starts[i]
-                need[i] = (rest, 1, example.loss(starts[i], rest))
-                share[i] = need[i] / cap
-            self.sequences += [held] if room[0] < 1 or len(open_items) else powers_of_two(held)
+                if whole:
+                    left -= 1
+                    for column in (tokens, loss, which):
+                        column[k:left] = column[k + 1 : left + 1]
+                else:
+                    tokens[k] -= length
+                    loss[k] -= spent
+            self.sequences += [held] if room < 1 or left else powers_of_two(held)
 
 
 def powers_of_two(pieces: list[tuple[Example, int, int]]) -> list[list[tuple[Example, int, int]]]:

@@ -1,8 +1,6 @@
 """Near-duplicate vectors by NN-descent: a neighbour graph refined through neighbours of neighbours.
 
-Vectors are compared with those of the same label and length. Equal vectors are one class from the start. Where all pairs of a label
-and length take no more copies of a class than hyperplane tables would (up to some 19,000 classes), they are compared completely,
-block by block, and no link is lost. For larger ones:
+Vectors are compared with those of the same label and length. Equal vectors are one class from the start.
 
 1. First lists: random hyperplanes deal classes into buckets, several times; inside a bucket (cut into chunks if large) every class gets
    its best ``LIST`` neighbours. Planes grow with the number of classes, and tables with the planes: a pair at the threshold shares
@@ -15,6 +13,7 @@ block by block, and no link is lost. For larger ones:
 4. Audit, for each label and length: a bounded sample of the classes outside its largest group is compared with all classes. Every
    missed link that could join two groups has an end there, so large groups do not swamp the others. If a single class of the sample
    misses a link, the search goes on with twice as many tables, under a new sample; where the last audit fails, all pairs are compared.
+   Labels of so few classes that a bucket holds them all have been compared completely and need no audit.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components, or whose label is null, has no links and is its
 own component; copies of a vector (repeated rows too) link with each other; a null id is never the smallest unless the
@@ -45,7 +44,6 @@ ROUNDS = 2
 STILL = 0.01
 BLOCK = 1024
 AUDIT = 1024
-AT_ONCE = 16
 FOUND = 0.999
 ATTEMPTS = 3
 SEED = 20_240_229
@@ -177,13 +175,13 @@ def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def group_sizes(classes: DataFrame, threshold: float) -> DataFrame:
-    """grp, count, bits and tables of a search, and whether comparing all pairs takes more copies of a class than that."""
+    """grp, count, bits and tables of a search."""
     bits = F.least(F.greatest(F.ceil(F.log2(F.col("count") / BUCKET)), F.lit(0)), F.lit(MOST_BITS)).cast("int")
     # A plane leaves a pair at the threshold on one side with this chance.
     together = F.pow(F.lit(1 - math.acos(threshold) / math.pi), F.col("bits"))
     tables = F.greatest(F.lit(TABLES), F.ceil(F.log(F.lit(1 - FOUND)) / F.log(1 - together))).cast("int")
     counts = classes.groupBy("grp").count().withColumn("bits", bits).withColumn("tables", tables)
-    return materialized(counts.withColumn("large", F.ceil(F.col("count") / BLOCK) > F.col("tables")), "group-counts")
+    return materialized(counts, "group-counts")
 
 
 def bucketed(classes: DataFrame, sizes: DataFrame, attempt: int) -> DataFrame:
@@ -262,44 +260,37 @@ def search(classes: DataFrame, sizes: DataFrame, threshold: float, attempt: int)
     return links.select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
-def audit(classes: DataFrame, grouped: DataFrame, sizes: DataFrame, grps: list[int], threshold: float, attempt: int) -> DataFrame:
-    """(grp, a, b): links between different groups of the links found so far.
+def audit(classes: DataFrame, grouped: DataFrame, sizes: DataFrame, threshold: float, attempt: int) -> DataFrame:
+    """(grp, a, b): links between different groups of the links found so far, of the labels in ``sizes``, all in one job.
 
-    In each of ``grps`` some ``AUDIT`` classes outside its largest group, others in each attempt, are compared with all its classes.
+    For each label some ``AUDIT`` classes outside its largest group, others in each attempt, are compared with all its classes, which
+    come in parts of some ``BLOCK``.
     """
-    rows = classes.join(grouped, "node", "left").select("node", "grp", "vector", F.coalesce("root", "node").alias("root"))
-    rows = rows.where(F.col("grp").isin(grps))
+    parts = sizes.select("grp", "count", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    rows = classes.join(broadcast_if_small(parts), "grp").join(grouped, "node", "left")
+    rows = rows.select("node", "grp", "vector", F.coalesce("root", "node").alias("root"), "count", "parts")
     roots = materialized(rows.groupBy("grp", "root").count(), "group-sizes")
     giants = roots.groupBy("grp").agg(F.max(F.struct("count", "root")).alias("top")).select("grp", "top.root", F.col("top.count").alias("most"))
     rest = giants.join(sizes.select("grp", "count"), "grp").select("grp", F.col("root").alias("giant"), (F.col("count") - F.col("most")).alias("rest"))
     turn = F.pmod(F.xxhash64("node", F.lit(SEED + attempt)), F.lit(1 << 31))
     chosen = (F.col("root") != F.col("giant")) & (turn * F.col("rest") < F.lit(AUDIT) * F.lit(1 << 31))
-    asked = rows.join(broadcast_if_small(materialized(rest, "rests")), "grp").where(chosen).select("node", "grp", "vector", "root").collect()
-    sent = classes.sparkSession.sparkContext.broadcast([(r["node"], r["grp"], bytes(r["vector"]), r["root"]) for r in asked])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, list[tuple]] = {}
-        for q in sent.value:
-            groups.setdefault(q[1], []).append(q)
-        groups = {g: (np.array([q[0] for q in qs]), np.array([q[3] for q in qs]), unit_rows([q[2] for q in qs])) for g, qs in groups.items()}
-        for batch in batches:
-            of_group: dict[int, list[int]] = {}
-            for i, g in enumerate(batch.column("grp").to_pylist()):
-                if g in groups:
-                    of_group.setdefault(g, []).append(i)
-            a, b, of = [], [], []
-            data = batch.column("vector")
-            nodes, roots = batch.column("node").to_numpy(), batch.column("root").to_numpy()
-            for g, at in of_group.items():
-                asked_nodes, asked_roots, x = groups[g]
-                near = unit_rows([data[i].as_py() for i in at]) @ x.T >= threshold
-                row, col = np.nonzero(near & (roots[at][:, None] != asked_roots))
-                a += nodes[at][row].tolist()
-                b += asked_nodes[col].tolist()
-                of += [g] * len(row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, "int64") for c in (of, a, b)], names=["grp", "a", "b"])
-
-    return materialized(rows.mapInArrow(compare, "grp long, a long, b long"), "audit")
+    asked = rows.join(broadcast_if_small(materialized(rest, "rests")), "grp").where(chosen)
+    asked = materialized(asked.select("grp", "parts", "node", "vector", "root"), "audit-sample")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("grp", "part", "node", "vector", "root")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).select("grp", "part", "node", "vector", "root")
+
+    def compare(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        a, b = np.zeros(0, "int64"), np.zeros(0, "int64")
+        if asked.num_rows and rows.num_rows:
+            nodes, roots = ([t[c].to_numpy() for t in (rows, asked)] for c in ("node", "root"))
+            x, y = (unit_rows(t["vector"].to_pylist()) for t in (rows, asked))
+            row, col = np.nonzero((x @ y.T >= threshold) & (roots[0][:, None] != roots[1]))
+            a, b = nodes[0][row], nodes[1][col]
+        grp = (asked if asked.num_rows else rows)["grp"][0].as_py()
+        return pa.table({"grp": pa.array([grp] * len(a), "int64"), "a": pa.array(a, "int64"), "b": pa.array(b, "int64")})
+
+    met = asked.groupBy("grp", "part").cogroup(rows.groupBy("grp", "part"))
+    return materialized(met.applyInArrow(compare, "grp long, a long, b long"), "audit")
 
 
 def in_blocks(rows: DataFrame, key: str) -> DataFrame:
@@ -311,11 +302,9 @@ def in_blocks(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("own", F.col("block") == F.col("with")).withColumn("place", place)
 
 
-def complete(classes: DataFrame, grouped: DataFrame | None, threshold: float) -> DataFrame:
+def complete(classes: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that connect what is connected, beyond the groups known so far. All pairs are compared, block by block."""
-    rows = classes.select("grp", "node")
-    root = F.col("node") if grouped is None else F.coalesce("root", "node")
-    rows = (rows if grouped is None else rows.join(grouped, "node", "left")).select("grp", "node", root.alias("root"))
+    rows = classes.select("grp", "node").join(grouped, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
     rows = in_blocks(rows, "grp").select("place", "node", "root").join(classes.select("node", "vector"), "node")
 
     def compare(held: dict) -> pa.RecordBatch | None:
@@ -350,23 +339,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """``vectors`` (vec_id, embedding, label) to vec_id, n_links, component_id, kept."""
     rows, classes = vector_classes(vectors)
     sizes = group_sizes(classes, threshold)
-    large = [r["grp"] for r in sizes.where("large").select("grp").collect()]
-    some = lambda wanted: classes.where(F.col("grp").isin(wanted))
-    links = materialized(complete(classes.where(~F.col("grp").isin(large)) if large else classes, None, threshold), "links")
+    links = None
     for attempt in range(ATTEMPTS):
-        if large:
-            links = materialized(links.union(search(some(large), sizes, threshold, attempt)), "links")
+        asked = classes if links is None else classes.join(sizes.select("grp"), "grp", "left_semi")
+        found = search(asked, sizes, threshold, attempt)
+        links = materialized(found if links is None else links.union(found), "links")
         grouped = materialized(components(links), "groups")
-        failed = []
-        for i in range(0, len(large), AT_ONCE):
-            missed = audit(classes, grouped, sizes, large[i : i + AT_ONCE], threshold, attempt)
-            failed += [r["grp"] for r in missed.select("grp").distinct().collect()]
-            links = links.union(missed.select("a", "b"))
-        large = failed
-        if not large:
+        sizes = sizes.where("bits > 0")
+        missed = audit(classes, grouped, sizes, threshold, attempt)
+        links = links.union(missed.select("a", "b"))
+        sizes = materialized(sizes.join(missed.select("grp").distinct(), "grp", "left_semi"), "failed-groups")
+        if sizes.isEmpty():
             break
     else:
-        links = links.union(complete(some(large), grouped, threshold))
+        links = links.union(complete(classes.join(sizes.select("grp"), "grp", "left_semi"), grouped, threshold))
         grouped = materialized(components(links), "groups")
     counted = count_links(classes, grouped, threshold)
     known = classes.select("key", "node", "vec_id", "copies").join(grouped, "node", "left").join(counted, "node", "left")

@@ -185,6 +185,8 @@ def with_columns_of_text(
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_if_small(stored: DataFrame) -> DataFrame:
-    """A hint to broadcast ``stored``, a written table of short columns, if its counted rows allow it."""
-    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+def broadcast_if_small(stored: DataFrame, entries: Column | None = None) -> DataFrame:
+    """A hint to broadcast ``stored``, a written table of short columns, if its counted rows allow it, or the sum of its ``entries``,
+    for rows that hold arrays."""
+    counted = stored.count() if entries is None else stored.agg(F.sum(entries)).head()[0] or 0
+    return F.broadcast(stored) if counted <= BROADCAST_ROWS else stored

@@ -8,9 +8,14 @@ into groups that no link can cross, and a tree joins each group:
   its first d + 1 + e parts (where part and content make the key), d for the largest partner it can have, and k is the same for
   both sizes. If more than e of its parts are empty, it also names the elements of its prefix, the first n - ceil(t n) + 1 in hash
   order, of which two linked sets share one. So linked classes share a key; a key of several elements is rarely shared by chance.
-* Groups are the components of classes that share keys. Large ones are cut into bands of sizes, and bands into blocks: pairs of
-  blocks in the same or in adjacent bands are units. These are the upper nodes of the tree, with size ranges only; a
-  unit is one tree in one task, and holds a bounded number of sets and elements.
+* The classes that name one key are a key group; keys with the same classes are one. Sharing keys is no reason to be compared: passages of many
+  documents would chain all of them. So a class travels as a sketch first, a bitmap of two to four bits per element. Every member
+  is held against the smallest of its key group; what may be linked is connected. Key groups that hold several of these connected parts
+  are joined by trees of sketches, whose nodes have OR-combined bitmaps and size ranges, and which pass over what is connected. No link is lost, as the
+  bound of a sketch is never below the true overlap.
+* The components of what may be linked are the groups whose sets travel. Large groups, of keys and of sets, are cut into bands of sizes, and
+  bands into blocks: pairs of blocks in the same or in adjacent bands are units. A unit is one tree in one task, and holds a
+  bounded number of sets and elements.
 
 Every set travels once per unit it belongs to, as its compressed text, only connecting links leave a unit, and no step lists the pairs of a group.
 
@@ -33,11 +38,14 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import broadcast_if_small, with_columns_of_text
 from shelfwise.llm.components import components
 from shelfwise.llm.shingles import mix, set_digest, shingle_sets
-from shelfwise.llm.signature_tree import SignatureTree
+from shelfwise.llm.signature_tree import SignatureTree, connect_sketches, may_link, sketch
 from shelfwise.session import materialized
 
 UNIT_SETS = 4096
 UNIT_ELEMENTS = 2_000_000
+# Classes whose keys a task remembers having named, and classes of one key that it holds.
+NAMED_CLASSES = 200_000
+HELD_CLASSES = 100_000
 
 
 # ---- keys
@@ -120,27 +128,31 @@ def class_id(digest: bytes) -> int:
 
 
 def shingle_classes(docs: DataFrame, width: int, keep_text: bool = False) -> DataFrame:
-    """``docs`` with n_shingles, digest (null for the empty set) and cid."""
+    """``docs`` with n_shingles, digest (null for the empty set), cid, and the smallest hash and the sketch of the set."""
 
     def run(texts: list[str | None]) -> list[list]:
-        sizes, digests = [], []
+        sizes, digests, least, maps = [], [], [], []
         for s in shingle_sets(texts, width):
             sizes.append(len(s))
             digests.append(set_digest(s) if len(s) else None)
-        return [sizes, digests, [None if d is None else class_id(d) for d in digests]]
+            least.append(int(s[:1].view("int64")[0]) if len(s) else None)
+            maps.append(sketch(s) if len(s) else None)
+        return [sizes, digests, [None if d is None else class_id(d) for d in digests], least, maps]
 
-    return with_columns_of_text(docs, "n_shingles long, digest binary, cid long", run, keep_text)
+    return with_columns_of_text(docs, "n_shingles long, digest binary, cid long, least long, map binary", run, keep_text)
 
 
-def shared_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): class b and the smallest class that names the same key."""
+def key_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(grp, cid, leader): the classes that name a key, if several do, and the smallest of them; equal groups once."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies of a text within a task name their keys once
+        seen: set[int] = set()  # copies of a text within a task mostly name their keys once
         for batch in batches:
             keys, ids = [], []
             for s in shingle_sets(batch.column("text").to_pylist(), width):
                 if len(s) and (cid := class_id(set_digest(s))) not in seen:
+                    if len(seen) == NAMED_CLASSES:
+                        seen.clear()
                     seen.add(cid)
                     keys.append(keys_of(s, percent))
                     ids.append(np.full(len(keys[-1]), cid, dtype="int64"))
@@ -149,24 +161,97 @@ def shared_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     [pa.array(np.concatenate(keys).view("int64")), pa.array(np.concatenate(ids))], names=["key", "cid"]
                 )
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = leader = None
+    def close(names: np.ndarray, ids: np.ndarray, leaders: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(c) for c in (names.view("int64"), ids, leaders)]
+        return pa.RecordBatch.from_arrays(columns, names=["grp", "cid", "leader"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ids = np.zeros(0, "int64")
+        open_key = leader = None  # a key of more classes than are held names its group itself
         for batch in batches:
-            keys, ids = (batch.column(i).to_numpy() for i in (0, 1))
+            keys, ids = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate((keys, ids)))
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            keys, ids = keys[new], ids[new]
+            if open_key is not None:
+                more = int(np.searchsorted(keys, open_key, side="right"))
+                yield close(mix(np.full(more, open_key).view("uint64")), ids[:more], np.full(more, leader))
+                keys, ids = keys[more:], ids[more:]
+                if not len(keys):
+                    continue
+                open_key = None
             if not len(keys):
                 continue
-            first = np.concatenate([[keys[0] != key], keys[1:] != keys[:-1]])
-            leaders = ids[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-            if not first[0]:
-                run = int(np.argmax(first)) if first.any() else len(keys)
-                leaders[:run] = leader
-            key, leader = keys[-1], leaders[-1]
-            other = ids != leaders
-            pairs = np.unique(np.stack([leaders[other], ids[other]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            last = int(np.searchsorted(keys, keys[-1]))
+            yield grouped(keys[:last], ids[:last])
+            keys, ids = keys[last:], ids[last:]
+            if len(keys) > HELD_CLASSES:
+                open_key, leader = keys[0], ids[0]
+                yield close(mix(keys.view("uint64")), ids, np.full(len(ids), leader))
+                keys, ids = keys[:0], ids[:0]
+        yield grouped(keys, ids)
+
+    def grouped(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        """Whole runs of keys; a group is named by its classes, so that keys of the same classes are one group."""
+        if not len(keys):
+            return close(keys, ids, ids)
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        counts = np.diff(np.append(starts, len(keys)))
+        names = mix(np.add.reduceat(mix(ids.view("uint64")), starts) + counts.astype("uint64"))
+        several = np.repeat(counts > 1, counts)
+        columns = np.repeat(names, counts), ids, np.repeat(ids[starts], counts)
+        return close(*(c[several] for c in columns))
 
     keys = docs.select("text").mapInArrow(name, "key long, cid long")
-    return keys.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(lead, "a long, b long")
+    rows = keys.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(deal, "grp long, cid long, leader long")
+    return rows.distinct()
+
+
+def candidate_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, root): classes, by cid, connected by pairs that share a key and that their sketches allow to be linked."""
+    groups = materialized(key_groups(docs, width, percent), "key-groups")
+    sketches = reps.select("cid", "n_shingles", "least", "map")
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "map_a", "y", "map_b")), strict=True)
+            keep = pa.array([may_link(*row, percent) for row in rows], "bool")
+            yield batch.select(["a", "b"]).filter(keep)
+
+    pairs = groups.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+    ends = [sketches.select(F.col("cid").alias(c), F.col("n_shingles").alias(n), F.col("map").alias(f"map_{c}")) for c, n in ("ax", "by")]
+    near = [(100 * F.col(n)) >= percent * F.col(m) for n, m in ("xy", "yx")]
+    close = pairs.join(ends[0], "a").join(ends[1], "b").where(near[0] & near[1]).select("a", "b", "x", "map_a", "y", "map_b")
+    known = materialized(components(close.mapInArrow(allowed, "a long, b long")), "candidates")
+
+    members = groups.select("grp", "cid").join(known.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    members = materialized(members.select("grp", "cid", F.coalesce("root", "cid").alias("known")), "key-members")
+    parts = members.groupBy("grp").agg(F.min("known").alias("low"), F.max("known").alias("high"))
+    members = members.join(parts.where("low < high").select("grp"), "grp")
+    members = members.join(reps.select("cid", "digest", "n_shingles"), "cid")
+    dealt = with_units(members, percent).select("cid", "known", F.explode("units").alias("unit"))
+    rows = dealt.join(sketches, "cid").select("unit", "cid", "known", "n_shingles", "least", "map")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, []
+
+        def close_unit() -> pa.RecordBatch:
+            cids, known, sizes, least, maps = zip(*held, strict=True)
+            links = connect_sketches(list(least), list(sizes), list(maps), percent, list(known))
+            return pa.RecordBatch.from_arrays([pa.array([cids[link[side]] for link in links], "int64") for side in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for u, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if u != unit:
+                    if len(held) > 1:
+                        yield close_unit()
+                    unit, held = u, []
+                held.append(row)
+        if len(held) > 1:
+            yield close_unit()
+
+    found = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(join, "a long, b long")
+    return components(found.union(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def with_units(members: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +300,7 @@ def tree_links(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
 
     ``members``: doc_id of a document of the class, its digest, units.
     """
-    small = broadcast_if_small(members.select(F.col("doc_id").alias("rep"), "digest", "units"))
+    small = broadcast_if_small(members.select(F.col("doc_id").alias("rep"), "digest", "units"), F.size("units"))
     texts = docs.select("doc_id", "text").join(small, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "digest", "units")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,10 +347,10 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[
     the rows. ``root`` names the component."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     stored = materialized(shingle_classes(docs, width), "shingle-classes")
-    reps = stored.where(F.col("digest").isNotNull()).groupBy("digest", "cid", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+    reps = stored.where(F.col("digest").isNotNull()).groupBy("digest", "cid", "n_shingles", "least", "map").agg(F.min("doc_id").alias("doc_id"))
     reps = materialized(reps, "class-representatives")
-    near = components(shared_keys(docs, width, percent))
-    members = reps.join(near.select(F.col("node").alias("cid"), F.col("root").alias("grp")), "cid")
+    near = candidate_groups(docs, reps, width, percent)
+    members = reps.drop("least", "map").join(near.select(F.col("node").alias("cid"), F.col("root").alias("grp")), "cid")
     members = materialized(with_units(members, percent), "members")
     stars = components(tree_links(docs, members, width, percent))
     rooted = reps.join(stars.select(F.col("node").alias("digest"), "root"), "digest")

@@ -29,12 +29,14 @@ class SignatureTree:
         """``sets``: sorted distinct hashes, none empty; linked if 100 * intersection >= percent * union."""
         self.percent = percent
         order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
-        self.order = np.array(order)
         self.sets = [sets[i] for i in order]
-        self.size = np.array([len(s) for s in self.sets], dtype="int64")
-        self.maps, pop = bitmaps(self.sets)
-        self.excess = self.size - pop
-        self.root = np.arange(len(sets))
+        maps, pop = bitmaps(self.sets)
+        size = np.array([len(s) for s in self.sets], dtype="int64")
+        self.build(np.array(order), maps, size, size - pop, np.arange(len(sets)))
+
+    def build(self, order: np.ndarray, maps: np.ndarray, size: np.ndarray, excess: np.ndarray, root: np.ndarray) -> None:
+        """Nodes over rows in tree order; ``order`` has their places in the given list, ``root`` what is connected already."""
+        self.order, self.maps, self.size, self.excess, self.root = order, maps, size, excess, root
         self.links: list[tuple[int, int]] = []
         # levels[0] are the leaves; a level holds (bitmaps, least size, largest size, largest excess).
         self.levels = []
@@ -84,7 +86,7 @@ class SignatureTree:
         # Neighbours first: near copies are neighbours mostly, and what they connect is passed over later.
         nearest = np.argsort(b - a, kind="stable")
         a, b = a[nearest], b[nearest]
-        bounds = np.arange(0, len(self.sets), LEAF)
+        bounds = np.arange(0, len(self.size), LEAF)
         leaf = (self.maps, self.size, self.size, self.excess)
         for i in range(0, len(a), PAIRS_AT_ONCE):
             low, high = np.minimum.reduceat(self.root, bounds), np.maximum.reduceat(self.root, bounds)
@@ -94,7 +96,7 @@ class SignatureTree:
             at = np.arange(LEAF)
             p = (x[:, None, None] * LEAF + at[:, None] + 0 * at).ravel()
             q = (y[:, None, None] * LEAF + at + 0 * at[:, None]).ravel()
-            keep = (p < q) & (q < len(self.sets))
+            keep = (p < q) & (q < len(self.size))
             p, q = p[keep], q[keep]
             keep = self.root[p] != self.root[q]
             p, q = p[keep], q[keep]
@@ -106,6 +108,7 @@ class SignatureTree:
         return self.links
 
     def linked(self, j: int, k: int) -> bool:
+        """The exact comparison of two sets that may be linked."""
         s, t = self.sets[j], self.sets[k]
         both = len(s) + len(t)
         common = both - len(np.unique(np.concatenate([s, t])))
@@ -126,3 +129,58 @@ def bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         row[:] = np.packbits(flags)
     maps = maps.view("uint64")
     return maps, np.bitwise_count(maps).sum(axis=1, dtype="int64")
+
+
+# ---- sketches: the bitmap of one set, small enough to travel instead of it
+
+
+class SketchTree(SignatureTree):
+    """Connects sets that their sketches cannot tell apart from linked ones."""
+
+    def __init__(self, least: list[int], size: list[int], maps: list[bytes], percent: int, known: list[int]):
+        """``least``: smallest hash of each set; ``known``: sets of equal value are connected already."""
+        self.percent = percent
+        order = np.lexsort((np.array(size), np.array(least)))
+        widest = max(len(m) for m in maps)
+        rows = np.frombuffer(b"".join(widened(maps[i], widest) for i in order), "uint64").reshape(len(maps), -1)
+        sizes = np.array(size, dtype="int64")[order]
+        pop = np.array([int.from_bytes(maps[i]).bit_count() for i in order], dtype="int64")
+        self.build(order, rows, sizes, sizes - pop, np.unique(known, return_inverse=True)[1][order])
+
+    def linked(self, j: int, k: int) -> bool:
+        return True
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The bitmap of a set: two to four bits per element."""
+    bits = min(MOST_BITS, max(64, 1 << (2 * len(s) - 1).bit_length()))
+    flags = np.zeros(bits, dtype="uint8")
+    flags[(s & np.uint64(bits - 1)).astype("int64")] = 1
+    return np.packbits(flags).tobytes()
+
+
+def widened(data: bytes, size: int) -> bytes:
+    """A sketch repeated to the width of a larger one: a superset of the bits its set would have there."""
+    return data * (size // len(data))
+
+
+def may_link(x: int, a: bytes, y: int, b: bytes, percent: int) -> bool:
+    """Whether sets of x and y elements with sketches a and b can be linked."""
+    spare = min(x - int.from_bytes(a).bit_count(), y - int.from_bytes(b).bit_count())
+    size = max(len(a), len(b))
+    common = (int.from_bytes(widened(a, size)) & int.from_bytes(widened(b, size))).bit_count()
+    return (100 + percent) * min(common + spare, x, y) >= percent * (x + y)
+
+
+def connect_sketches(least: list[int], size: list[int], maps: list[bytes], percent: int, known: list[int]) -> list[tuple[int, int]]:
+    """Pairs that connect all sets whose sketches may be linked, beyond what is ``known``: a tree, or a leaf if there are few."""
+    if len(size) > LEAF:
+        return SketchTree(least, size, maps, percent, known).connect()
+    root, links = list(known), []
+    for j in range(len(size)):
+        for k in range(j):
+            if root[j] != root[k] and may_link(size[j], maps[j], size[k], maps[k], percent):
+                links.append((j, k))
+                old = root[k]
+                root = [root[j] if r == old else r for r in root]
+    return links

@@ -1,7 +1,7 @@
 """Language of a text by cross-parsing: which language's sample explains it in the fewest phrases.
 
 Of every language a bounded sample of labelled text is turned into a suffix automaton, which accepts exactly the
-substrings of the sample. A text is cut greedily into the longest phrases that occur in the sample; the number of
+substrings of the sample: ``ALL_SYMBOLS`` divided by the number of languages, ``SAMPLE_SYMBOLS`` at most, an even share of every sampled text. A text is cut greedily into the longest phrases that occur in the sample; the number of
 phrases times the bits to name a place in the sample, per symbol, estimates the cross entropy. The smallest wins; ties go to the
 language that sorts first.
 
@@ -20,6 +20,7 @@ results; an empty table gives an empty result; extra columns are carried on.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,6 +34,8 @@ SAMPLE_CHARS = 400
 # Symbols of all samples together; shared evenly by the languages, at most SAMPLE_SYMBOLS each.
 ALL_SYMBOLS = 160_000
 SAMPLE_SYMBOLS = 40_000
+# Symbols that a sampled text gives at least; with so many texts that they do not all fit, the lowest hashes are taken.
+LEAST_SHARE = 64
 LETTERS = 96
 HASHED = 8
 STRETCH = 256
@@ -93,6 +96,28 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+def even_share(sizes: list[int], most: int) -> int:
+    """The largest share such that texts of these sizes, cut to it, have ``most`` symbols together at most."""
+    left = most
+    for i, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - i) > left:
+            return left // (len(sizes) - i)
+        left -= size
+    return max(sizes, default=0)
+
+
+def sample_symbols(texts: list[str], letters: Alphabet, most: int) -> list[int]:
+    """At most ``most`` symbols of ``texts``: an even share of every text, from a place that its hash names, in the order of the hashes."""
+    coded = sorted((zlib.crc32(t.encode("utf-8", "replace")), t) for t in texts)
+    coded = [(h, letters.symbols(t)) for h, t in coded]
+    share = max(even_share([len(c) + 1 for _, c in coded], most), LEAST_SHARE) - 1
+    symbols: list[int] = []
+    for h, c in coded:
+        begin = h % (max(len(c) - share, 0) + 1)
+        symbols += [BORDER, *c[begin : begin + share].tolist()]
+    return symbols[:most]
+
+
 class LanguageModel:
     """Automata of all languages, small enough to be sent to every task."""
 
@@ -102,14 +127,11 @@ class LanguageModel:
         most = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(self.langs)))
         self.edges, self.bits = [], []
         for lang in self.langs:
-            symbols: list[int] = []
-            for own, text in samples:
-                if own == lang and len(symbols) < most:
-                    symbols += [BORDER, *self.letters.symbols(text).tolist()]
-            step = suffix_automaton(symbols[:most])
+            symbols = sample_symbols([text for own, text in samples if own == lang], self.letters, most)
+            step = suffix_automaton(symbols)
             found = [(s, c, t) for s, row in enumerate(step) for c, t in row.items()]
             self.edges.append((len(step), np.array(found, dtype="int32").reshape(-1, 3)))
-            self.bits.append(math.log2(max(2, len(symbols[:most]))))
+            self.bits.append(math.log2(max(2, len(symbols))))
         self.step = None
 
     def tables(self) -> None:

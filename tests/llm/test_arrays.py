@@ -327,3 +327,47 @@ def test_memo_of_two_generations():
         assert encoder(text) == text.encode("utf-32-le")
         assert len(encoder.memo) + len(encoder.older) <= 8 + 3 * 2
     assert asked.count("the") == 1 and asked.count(" of") == 1 and asked.count(" worda") == 2
+
+
+def test_language_sample_is_an_even_share():
+    """Every text gives its share, whatever sorts first, and the bound holds; a language in two scripts learns both."""
+    assert langid.even_share([5, 9, 30], 100) == 30
+    assert langid.even_share([5, 9, 30], 30) == 16 and langid.even_share([10, 10, 10], 12) == 4
+    assert langid.even_share([], 5) == 0
+    rng = random.Random(4)
+    latin = ["".join(rng.choices("abcdefgh ", k=300)) for _ in range(200)]
+    greek = ["".join(rng.choices("αβγδεζηθ ", k=300)) for _ in range(200)]
+    letters = langid.Alphabet(latin + greek)
+    for most in (2000, 40_000):
+        taken = langid.sample_symbols(latin + greek, letters, most)
+        assert 0.9 * most <= len(taken) <= most
+        firsts = set(letters.symbols("abcdefgh").tolist())
+        share = sum(s in firsts for s in taken) / len(taken)
+        assert 0.2 < share < 0.7
+    assert langid.sample_symbols(latin, letters, 5000) == langid.sample_symbols(latin[::-1], letters, 5000)
+
+
+def test_predictions_equal_counts_of_phrases():
+    """Prediction against a plain count of longest matches in the sample, stretch by stretch."""
+    rng = random.Random(5)
+    words = {"a": "north wind and the sun were disputing".split(), "b": "der nordwind und die sonne stritten".split()}
+    samples = [(k, " ".join(rng.choices(w, k=60))) for k, w in words.items() for _ in range(5)]
+    model = langid.LanguageModel(samples)
+    texts = [" ".join(rng.choices(words[rng.choice("ab")], k=rng.randrange(1, 90))) for _ in range(40)] + ["x", "7 y!", "sun " * 200]
+    langs, _, _ = model.predict(texts)
+    most = min(langid.SAMPLE_SYMBOLS, langid.ALL_SYMBOLS // 2)
+    for text, got in zip(texts, langs, strict=True):
+        symbols = bytes(model.letters.symbols(text).tolist())
+        bits = []
+        for k, per_phrase in zip(model.langs, model.bits, strict=True):
+            learned = bytes(langid.sample_symbols([t for own, t in samples if own == k], model.letters, most))
+            phrases = 0
+            for begin in range(0, len(symbols), langid.STRETCH):
+                part = symbols[begin : begin + langid.STRETCH]
+                while part:
+                    n = 1
+                    while n < len(part) and part[: n + 1] in learned:
+                        n += 1
+                    phrases, part = phrases + 1, part[n:]
+            bits.append(phrases * per_phrase)
+        assert got == model.langs[int(np.argmin(bits))]

@@ -5,8 +5,9 @@ Two zstandard dictionaries are trained, on good and on bad labelled text. A text
 logistic curve fitted on other labelled rows turns it into a probability. A short text says little, so every text counts
 as if ``PRIOR_BYTES`` bytes of average good text stood beside it.
 
-Fitting takes a bounded sample: at most ``SAMPLE_DOCS`` documents per label, the first ``SAMPLE_CHARS`` characters of
-each; two thirds build the dictionaries, one third fits the curve. Scoring reads whole texts.
+Fitting takes a bounded sample: at most ``SAMPLE_DOCS`` documents per label. Two thirds build the dictionaries, of each document a
+stretch of ``SAMPLE_CHARS`` characters from a place that its hash names. One third fits the curve, with whole texts, which are measured in
+tasks. Scoring reads whole texts.
 
 Defined cases: null or empty text has the feature of average good text; null ids and labels are not learned from; a document with several labels
 has the largest; if either label is missing, the score is the share of good labels (0.5 without any); equal texts get equal scores; an
@@ -25,7 +26,7 @@ from shelfwise.llm.common import learnable, with_columns_of_text
 from shelfwise.session import materialized
 
 SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 2000
+SAMPLE_CHARS = 8000
 DICTIONARY_BYTES = 64_000
 LEAST_FOR_TRAINING = 64
 STRETCH = 2000
@@ -117,20 +118,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> QualityModel:
     h = F.xxhash64("doc_id")
     lowest = marked.groupBy("quality", F.pmod(h, F.lit(SAMPLE_DOCS)).alias("bucket")).agg(F.min(F.struct(h, "doc_id")).alias("m"))
     chosen = F.broadcast(lowest.select("quality", F.col("m.doc_id").alias("doc_id")))
-    text = F.substring("text", 1, SAMPLE_CHARS).alias("text")
-    rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(chosen, "doc_id").select("quality", text, F.hash("text").alias("h"))
+    rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(chosen, "doc_id").select("quality", "text", F.hash("text").alias("h"))
+    rows = materialized(rows, "quality-sample")
     # Copies of a text count once, and share a side, so nothing that built a dictionary is fitted on.
-    sample = sorted((r["h"], r["text"], r["quality"]) for r in rows.distinct().collect())
-    build = [(q, t) for h, t, q in sample if h % 3]
-    fit = [(q, t) for h, t, q in sample if not h % 3]
-    model = QualityModel(*(dictionary([t for label, t in build if label == q]) for q in (1, 0)))
-    y = np.array([float(q) for q, _ in fit])
-    if model.good and model.bad and 0 < y.sum() < len(y):
+    side = F.pmod("h", F.lit(3)) == 0
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    stretch = F.substring("text", (F.pmod(F.xxhash64("text"), room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text")
+    build = sorted((r["h"], r["text"], r["quality"]) for r in rows.where(~side).select("quality", "h", stretch).distinct().collect())
+    model = QualityModel(*(dictionary([t for _, t, label in build if label == q]) for q in (1, 0)))
+    fit = measured(rows.where(side), model) if model.good and model.bad else []
+    y = np.array([float(r["quality"]) for r in fit])
+    if 0 < y.sum() < len(y):
         # The samples hold as many texts of either label as there are, up to a bound; weights restore the shares.
         weight = np.where(y == 1, share[1] / y.sum(), share[0] / (1 - y).sum())
-        saved = np.array([model.saved(t) for q, t in fit if q == 1])
-        model.usual = float(saved[:, 0].sum() / max(1, saved[:, 1].sum()))
-        x = np.array([model.feature(t) for _, t in fit])
+        saved, size = (np.array([float(r[c]) for r in fit]) for c in ("saved", "size"))
+        # A text counts as one stretch at most, so that a few very long ones do not decide.
+        counted = np.minimum(size, STRETCH) * y
+        model.usual = float((saved / size * counted).sum() / counted.sum())
+        x = (saved + model.usual * PRIOR_BYTES) / (size + PRIOR_BYTES)
         model.slope, model.shift, model.middle, model.scale = logistic(x, y, weight / weight.mean())
     elif share:
         good = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
@@ -138,6 +143,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return model
 
 
+def measured(rows: DataFrame, model: QualityModel) -> list:
+    """quality, h, saved and size of every different text of ``rows`` (quality, text, h), by whole texts, in a fixed order."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    added = "saved long, size long"
+    found = with_columns_of_text(rows, added, lambda texts: list(zip(*map(sent.value.saved, texts), strict=True)) or [[], []], keep_text=False)
+    return sorted(found.distinct().collect(), key=lambda r: (r["h"], r["quality"], r["saved"], r["size"]))
+
+
 def score_quality(docs: DataFrame, model: QualityModel, keep_text: bool = True) -> DataFrame:
     """``docs`` with score and predicted. A score sees the text alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -41,6 +41,7 @@ GAP = b"\r\n\r\n"
 DEDUPE_BYTES = 1000
 FILE_BYTES = 32 << 20
 SPLIT_BYTES = 4 << 20
+# What is read at first to find the end of a header.
 HEADER_BYTES = 64 << 10
 # Fixed value: the profile of a revisit by equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -127,14 +128,28 @@ def successor(header: bytes, offset: int) -> int:
     return offset + len(header) + len(GAP) + int(length) + len(GAP)
 
 
+def may_go_on(header: bytes) -> bool:
+    """Whether an unfinished header is one so far: each whole line after the first is a field, or goes on with one."""
+    return all(b":" in line or line[:1] in (b" ", b"\t") for line in header.split(b"\r\n")[1:-1])
+
+
 def header_at(file, data: bytes, begin: int, offset: int, size: int) -> bytes | None:
-    """The header of the record at ``offset``: from ``data``, which begins at ``begin``, else read on from the file."""
+    """The header of the record at ``offset``: from ``data``, which begins at ``begin``, else read on from the file.
+
+    A header may have any length: what is read doubles until its end, the end of the file or a line that no header has.
+    """
     end = data.find(GAP, offset - begin, offset - begin + HEADER_BYTES)
     if end >= 0:
         return data[offset - begin : end]
-    more = file.read_at(min(HEADER_BYTES, size - offset), offset)
-    end = more.find(GAP)
-    return more[:end] if end >= 0 else None
+    window = HEADER_BYTES
+    while True:
+        more = file.read_at(min(window, size - offset), offset)
+        end = more.find(GAP)
+        if end >= 0:
+            return more[:end]
+        if window >= size - offset or not may_go_on(more):
+            return None
+        window *= 2
 
 
 def scan_range(file, begin: int, end: int, size: int) -> list[tuple[int, int, int]]:

@@ -238,7 +238,8 @@ def pages_of() -> list[tuple]:
     inner = warc.record(99, "u", b"x" * 50, hashlib.sha1(b"x" * 50).hexdigest(), None).decode()
     big = "y" * 1500
     one = [(1, "http://a", inner * 3), (2, None, None), (3, "b", "é" + inner), (4, "c", big), (5, "c", big), (5, "c", big), (None, "c", big)]
-    return [*one, (6, "x\r\ny", "WARC/1.1\r\nContent-Length: 30\r\n\r\n" + "z" * 3000), (7, "", ""), (8, "q", "WARC/1.1\r\n"), (9, "q", "k" * 40_000)] * 2
+    return [*one, (6, "x\r\ny", "WARC/1.1\r\nContent-Length: 30\r\n\r\n" + "z" * 3000), (7, "", ""), (8, "q", "WARC/1.1\r\n"), (9, "q", "k" * 40_000),
+            (10, "long/" + "u" * 100_000, "p"), (11, "colons:" * 30_000, inner), (12, "c", "WARC/1.1\r\n" + "a: b\r\n" * 20_000)] * 2
 
 
 @pytest.mark.parametrize("split", [700, 1 << 20])
@@ -366,6 +367,27 @@ def test_pipeline_at_work(spark):
     assert "zzzzzz99" not in seen["secrets"].get(90002, "")
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """Documents that differ from good ones only far beyond the length of a stretch teach that, and are told apart."""
+    rng = random.Random(3)
+    usual, good, bad = ([f"{p}{rng.randrange(10**6)}" for _ in range(300)] for p in "ugb")
+    rows, marks = [], []
+    for i in range(240):
+        text = " ".join(rng.choices(usual, k=500)) + " " + " ".join(rng.choices(good if i % 2 else bad, k=1500))
+        rows.append((i, text))
+        marks.append((i, i % 2))
+    docs = tuned(spark).createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = quality.learn(docs, spark.createDataFrame(marks, "doc_id long, quality int"))
+    assert model.fitted
+    held = [(i, text) for i, text in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    right = sum((model.score(text) >= 0.5) == bool(i % 2) for i, text in held)
+    assert right >= 0.95 * len(held) > 0
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score_quality(docs, model).collect()}
+    assert got == {i: (model.score(t), int(model.score(t) >= quality.THRESHOLD)) for i, t in rows}
+    again = quality.learn(docs.repartition(7), spark.createDataFrame(marks[::-1], "doc_id long, quality int"))
+    assert [again.score(t) for _, t in held] == [model.score(t) for _, t in held]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang")
     found = entry.queries()["op4_langid"](spark, LARGER).where("held_out").join(docs, "doc_id")

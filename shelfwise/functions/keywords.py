@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import CATEGORY_PATTERNS, MEDICAL_TERMS, SKIN_TYPES
-from .text import unaccent
+from .text import quoted_any, unaccent
 from .vector import bind
 
 
@@ -49,7 +49,11 @@ def skin_type(message: Column, patterns: Mapping[str, Sequence[str]] = SKIN_TYPE
     return bind(folded(message), lambda low: F.coalesce(*_named_hits(low, patterns)))
 
 
-def mentions_medical(message: Column, terms: Sequence[str] = MEDICAL_TERMS) -> Column:
-    """Whole-word, case-insensitive mention of any term; no terms means no mention."""
+def mentions_medical(message: Column, terms: Column | Sequence[str] = MEDICAL_TERMS) -> Column:
+    """Whole-word, case-insensitive mention of any term; no terms means no mention. A column holds a list of terms per row."""
+    if isinstance(terms, Column):
+        words = quoted_any(terms)
+        hit = F.rlike(message, F.concat(F.lit(r"(?i)\b("), words, F.lit(r")\b")))
+        return F.when(words.isNull(), F.lit(False)).otherwise(hit)
     words = "|".join(re.escape(t) for t in terms if t)
     return message.rlike(rf"(?i)\b({words})\b") if words else F.lit(False)

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import PRICE_PATTERNS
+from .text import quoted_any
 from .vector import bind
 
 NUMBER = r"(\d+(?:[.,]\d+)?)"
@@ -37,20 +38,60 @@ class PriceTerms:
         return cls(terms("under"), terms("between"), terms("currency"))
 
     def between_regex(self) -> str | None:
-        if not _any(self.between):
-            return None
-        return f"(?i){NUMBER}{BLANKS}(?:{_any(self.between)}){BLANKS}{NUMBER}"
+        words = _any(self.between)
+        return "".join(_between(words)) if words else None
 
     def under_regex(self) -> str | None:
-        if not _any(self.under):
-            return None
-        return f"(?i)(?:{_any(self.under)}){BLANKS}(?:{_any(self.currency)})?{BLANKS}{NUMBER}"
+        words = _any(self.under)
+        return "".join(_under(words, _any(self.currency))) if words else None
 
     def currency_regex(self) -> str | None:
         unit = _any(self.currency)
-        if not unit:
-            return None
-        return f"(?i)(?:{unit}){BLANKS}{NUMBER}|{NUMBER}{BLANKS}(?:{unit})"
+        return "".join(_currency(unit)) if unit else None
+
+
+@dataclass(frozen=True)
+class TermColumns:
+    """Price wording per row, as columns that hold lists of terms; a kind without terms is off."""
+
+    under: Column
+    between: Column
+    currency: Column
+
+    def between_regex(self) -> Column:
+        return _concat(_between(quoted_any(self.between)))
+
+    def under_regex(self) -> Column:
+        return _concat(_under(quoted_any(self.under), F.coalesce(quoted_any(self.currency), F.lit(""))))
+
+    def currency_regex(self) -> Column:
+        return _concat(_currency(quoted_any(self.currency)))
+
+
+Pattern = Column | str
+
+
+def _between(words: Pattern) -> list[Pattern]:
+    return [f"(?i){NUMBER}{BLANKS}(?:", words, f"){BLANKS}{NUMBER}"]
+
+
+def _under(words: Pattern, unit: Pattern) -> list[Pattern]:
+    return ["(?i)(?:", words, f"){BLANKS}(?:", unit, f")?{BLANKS}{NUMBER}"]
+
+
+def _currency(unit: Pattern) -> list[Pattern]:
+    return ["(?i)(?:", unit, f"){BLANKS}{NUMBER}|{NUMBER}{BLANKS}(?:", unit, ")"]
+
+
+def _concat(pieces: Sequence[Pattern]) -> Column:
+    """Null, a pattern that finds nothing, if a piece is null."""
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in pieces])
+
+
+def _extract(text: Column, pattern: Pattern, group: int) -> Column:
+    if isinstance(pattern, Column):
+        return F.call_function("regexp_extract", text, pattern, F.lit(group))
+    return F.regexp_extract(text, pattern, group)
 
 
 def _any(terms: Sequence[str]) -> str:
@@ -62,17 +103,17 @@ DEFAULT_TERMS = PriceTerms.of(PRICE_PATTERNS)
 RANGE_TYPE = "struct<lo:double,hi:double>"
 
 
-def _numbers(text: Column, pattern: str, *groups: int) -> Column:
+def _numbers(text: Column, pattern: Pattern, *groups: int) -> Column:
     """The amounts a pattern's groups caught, null where a group caught none.
 
     The text is searched once; the groups are then taken from the short match.
     """
 
     def number(match: Column, group: int) -> Column:
-        digits = F.nullif(F.regexp_extract(match, pattern, group), F.lit(""))
+        digits = F.nullif(_extract(match, pattern, group), F.lit(""))
         return F.replace(digits, F.lit(","), F.lit(".")).cast("double")
 
-    found = F.when(text.rlike("[0-9]"), F.regexp_extract(text, pattern, 0))
+    found = F.when(text.rlike("[0-9]"), _extract(text, pattern, 0))
     return bind(found, lambda m: F.array(*[number(m, g) for g in groups]))
 
 
@@ -90,7 +131,7 @@ def _no_range() -> Column:
     return F.lit(None).cast(RANGE_TYPE)
 
 
-def parse_between(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
+def parse_between(text: Column, terms: PriceTerms | TermColumns = DEFAULT_TERMS) -> Column:
     """``N to M``, in rising order."""
     pattern = terms.between_regex()
     if pattern is None:
@@ -98,7 +139,7 @@ def parse_between(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
     return _range(_numbers(text, pattern, 1, 2), F.array_min)
 
 
-def parse_under(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
+def parse_under(text: Column, terms: PriceTerms | TermColumns = DEFAULT_TERMS) -> Column:
     """``under N`` as (0, N)."""
     pattern = terms.under_regex()
     if pattern is None:
@@ -106,7 +147,7 @@ def parse_under(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
     return _range(_numbers(text, pattern, 1), lambda a: F.lit(0.0))
 
 
-def parse_currency(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
+def parse_currency(text: Column, terms: PriceTerms | TermColumns = DEFAULT_TERMS) -> Column:
     """A bare amount with its currency on either side, as (N, N)."""
     pattern = terms.currency_regex()
     if pattern is None:
@@ -115,7 +156,7 @@ def parse_currency(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
     return _range(_numbers(text, pattern, 1, 2), F.array_min)
 
 
-def parse_price_range(text: Column, terms: PriceTerms = DEFAULT_TERMS) -> Column:
+def parse_price_range(text: Column, terms: PriceTerms | TermColumns = DEFAULT_TERMS) -> Column:
     """Price limits of a message: range first, then upper bound, then exact amount."""
     return F.coalesce(
         parse_between(text, terms), parse_under(text, terms), parse_currency(text, terms)

@@ -62,12 +62,43 @@ def shorten(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
-def render(template: str, values: Mapping[str, Column], required: Sequence[str] = ()) -> Column:
+def quoted_any(terms: Column) -> Column:
+    """Alternation of the literal terms of a list column; null if it has none."""
+    quote = lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return non_empty(F.array_join(F.transform(F.filter(terms, lambda t: t != ""), quote), "|"))
+
+
+PLACEHOLDER = r"\{[A-Za-z_]\w*\}"
+
+
+def render_each(template: Column, values: Mapping[str, Column], required: Sequence[str] = ()) -> Column:
+    """``render`` with a template per row.
+
+    A template that lacks a required placeholder, or names one without a value, gives null.
+    """
+    pieces = F.regexp_extract_all(template, F.lit(rf"(\{{\{{|\}}\}}|{PLACEHOLDER}|[^{{}}]+|[{{}}])"), F.lit(1))
+
+    def fill(piece: Column) -> Column:
+        filled = F.when(piece.isin("{{", "}}"), F.left(piece, F.lit(1)))
+        for name, value in values.items():
+            filled = filled.when(piece == "{" + name + "}", value)
+        return filled.when(~piece.rlike(f"^{PLACEHOLDER}$"), piece)
+
+    usable = F.lit(True)
+    for name in required:
+        usable = usable & F.contains(template, F.lit("{" + name + "}"))
+    parts = F.transform(pieces, fill)
+    return F.when(usable & ~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
+
+
+def render(template: Column | str, values: Mapping[str, Column], required: Sequence[str] = ()) -> Column:
     """Fill ``{NAME}`` placeholders in one pass.
 
     The template is split on the driver, so braces inside a value are never expanded again.
-    Doubled braces stand for one literal brace.
+    Doubled braces stand for one literal brace. A column holds a template per row (``render_each``).
     """
+    if isinstance(template, Column):
+        return render_each(template, values, required)
     missing = [name for name in required if "{" + name + "}" not in template]
     if missing:
         raise ValueError(f"template lacks placeholders: {missing}")

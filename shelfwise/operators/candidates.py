@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.price import DEFAULT_TERMS, PriceTerms, parse_price_range
+from ..functions.price import DEFAULT_TERMS, PriceTerms, TermColumns, parse_price_range
 from ..session import materialized
 from .keywords import with_names
 
@@ -25,14 +25,33 @@ ANY_CATEGORY = "*"
 MAX_PRICE = 1.0e7
 
 
-def with_intent(
-    messages: DataFrame, patterns: DataFrame, terms: PriceTerms = DEFAULT_TERMS
+def with_price_range(
+    messages: DataFrame, terms: DataFrame | PriceTerms = DEFAULT_TERMS, shared: PriceTerms = DEFAULT_TERMS
 ) -> DataFrame:
-    """Add ``lo``, ``hi`` and ``hints`` parsed from the message text."""
-    price = parse_price_range(F.col("message"), terms)
-    priced = messages.withColumn("_price", price)
+    """Add ``lo`` and ``hi`` parsed from the message text.
+
+    ``terms`` is one wording for all, or a table ``(tenant_id, under, between, currency)``; a tenant
+    with a row has its own terms alone, others have ``shared``.
+    """
+    if isinstance(terms, DataFrame):
+        own = {k: F.col(k).alias(f"_{k}") for k in ("under", "between", "currency")}
+        table = materialized(terms.select("tenant_id", *own.values(), F.lit(True).alias("_own")), "price-terms")
+        messages = messages.join(table, "tenant_id", "left")
+        common = {k: F.array(*map(F.lit, getattr(shared, k))).cast("array<string>") for k in own}
+        wording = TermColumns(**{k: F.when(F.col("_own"), F.col(f"_{k}")).otherwise(common[k]) for k in own})
+        dropped = ["_own", *(f"_{k}" for k in own)]
+    else:
+        wording, dropped = terms, []
+    priced = messages.withColumn("_price", parse_price_range(F.col("message"), wording))
     priced = priced.withColumns({"lo": F.col("_price.lo"), "hi": F.col("_price.hi")})
-    return with_names(priced.drop("_price"), patterns)
+    return priced.drop("_price", *dropped)
+
+
+def with_intent(
+    messages: DataFrame, patterns: DataFrame, terms: DataFrame | PriceTerms = DEFAULT_TERMS
+) -> DataFrame:
+    """Add ``lo``, ``hi`` and ``hints`` parsed from the message text; ``terms`` as in ``with_price_range``."""
+    return with_names(with_price_range(messages, terms), patterns)
 
 
 def filter_price_range(catalog: DataFrame, lo: Column | float, hi: Column | float) -> DataFrame:

@@ -49,23 +49,28 @@ def cards_and_sources(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def chat(system: str, user: Column) -> Column:
+def text_column(text: Column | str) -> Column:
+    return text if isinstance(text, Column) else F.lit(text)
+
+
+def chat(system: Column | str, user: Column) -> Column:
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    return F.array(turn("system", F.lit(system)), turn("user", user))
+    return F.array(turn("system", text_column(system)), turn("user", user))
 
 
 def prompt_rows(
     messages: DataFrame,
     served: DataFrame,
-    system_prompt: str,
-    compose_template: str,
+    system_prompt: Column | str,
+    compose_template: Column | str,
     few_shot: Column | str = "",
-    medical_terms: Sequence[str] | None = None,
+    medical_terms: Column | Sequence[str] | None = None,
 ) -> DataFrame:
     """Chat input per message; ``chat`` is null for a message nothing was found for.
 
     ``served`` is the output of ``cards_and_sources``. ``few_shot`` is the dialogue text that goes
-    before the composed prompt.
+    before the composed prompt. Texts and terms are the same for all, or columns of ``messages`` that hold those
+    of each message's tenant; without a usable template ``chat`` is null, too.
     """
     text = F.col("message")
     medical = mentions_medical(text) if medical_terms is None else mentions_medical(text, medical_terms)
@@ -75,8 +80,8 @@ def prompt_rows(
         "EXTRA_SAFETY": F.when(medical, SAFETY_LINE).otherwise(""),
     }
     composed = render(compose_template, values, required=COMPOSE_FIELDS)
-    examples = few_shot if isinstance(few_shot, Column) else F.lit(few_shot)
-    prompt = chat(system_prompt, F.concat(examples, composed))
+    asked = F.concat(text_column(few_shot), composed)
+    prompt = F.when(asked.isNotNull(), chat(system_prompt, asked))
     none = F.array().cast("array<string>")
     return (
         messages.join(served, "msg_id", "left")
@@ -109,15 +114,15 @@ def generate_answers(
     return prompts.mapInPandas(batches, schema)
 
 
-def answers_with_fallback(answered: DataFrame, no_match_text: str) -> DataFrame:
+def answers_with_fallback(answered: DataFrame, no_match_text: Column | str) -> DataFrame:
     """The reply, an apology when there is none, or the no-match text without sources."""
     said = F.coalesce(non_empty(strip(F.col("text"))), F.lit(APOLOGY))
     return answered.withColumn(
-        "answer", F.when(F.size("sources") == 0, F.lit(no_match_text)).otherwise(said)
+        "answer", F.when(F.size("sources") == 0, text_column(no_match_text)).otherwise(said)
     )
 
 
-def greeting_rows(visits: DataFrame, template: str, system_prompt: str) -> DataFrame:
+def greeting_rows(visits: DataFrame, template: Column | str, system_prompt: Column | str) -> DataFrame:
     """Greeting chat and fallback text per visit ``(store_name, ts)``."""
     values = {"STORE_NAME": F.col("store_name"), "TIME_OF_DAY": time_of_day(F.col("ts"))}
     return visits.withColumns(

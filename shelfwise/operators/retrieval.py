@@ -9,7 +9,7 @@ is among the best k.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +63,31 @@ def keep_best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine_topk(messages: DataFrame, products: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` of the tenant's whole catalog."""
+def own_k(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("int"), F.lit(DEFAULT_TOP_K))
+
+
+def largest_k(messages: DataFrame, k: int | str) -> int:
+    """``k``, or the largest one in the column of that name; what a message gets beyond its own is cut by ``within_own_k``."""
+    return k if isinstance(k, int) else max(1, messages.agg(F.max(own_k(k))).head()[0] or 1)
+
+
+def within_own_k(
+    ranked: DataFrame, messages: DataFrame, k: int | str, size: Callable[[Column], Column] = lambda own: own
+) -> DataFrame:
+    """Hits whose rank is at most ``size`` of their message's own k; a number leaves ``ranked`` as it is."""
+    if isinstance(k, int):
+        return ranked
+    own = messages.select("msg_id", size(own_k(k)).alias("_k"))
+    return ranked.join(own, "msg_id").where(F.col("rank") <= F.col("_k")).drop("_k")
+
+
+def cosine_topk(messages: DataFrame, products: DataFrame, k: int | str) -> DataFrame:
+    """Best ``k`` of the tenant's whole catalog; ``k`` is a number or the column of ``messages`` that holds it (null: the default)."""
     asked = messages.select("tenant_id", "msg_id", "vec")
-    return keep_best(nearest(asked, products.select("tenant_id", "row_id", "vec"), k, ["tenant_id"]), k)
+    top = largest_k(messages, k)
+    found = nearest(asked, products.select("tenant_id", "row_id", "vec"), top, ["tenant_id"])
+    return within_own_k(keep_best(found, top), messages, k)
 
 
 def overfetch_size(k: int) -> int:
@@ -74,33 +95,37 @@ def overfetch_size(k: int) -> int:
 
 
 def retrieve_overfetch(
-    messages: DataFrame, products: DataFrame, k: int = DEFAULT_TOP_K
+    messages: DataFrame, products: DataFrame, k: int | str = DEFAULT_TOP_K
 ) -> DataFrame:
     """Rank first, filter after: best ``max(6k, 24)`` of the catalog, then the candidates in them.
 
     May return fewer than ``k`` products, even none. The candidate rule is applied to the ranked
-    hits only, so no candidate list is built.
+    hits only, so no candidate list is built. ``k`` may name a column, as in ``cosine_topk``; each message then
+    has its own number of ranked hits, too.
     """
     filters = effective_filters(messages, products).drop("n_match")
-    ranked = cosine_topk(messages, products, overfetch_size(k)).drop("rank")
+    top = largest_k(messages, k)
+    ranked = cosine_topk(messages, products, overfetch_size(top))
+    ranked = within_own_k(ranked, messages, k, lambda own: F.greatest(own * 6, F.lit(24))).drop("rank")
     facts = products.select("tenant_id", "row_id", "category", "price_eur")
     allowed = matches(*[F.col(c) for c in ("price_eur", "category", "lo", "hi", "hints")])
     kept = ranked.join(filters, "msg_id").join(facts, ["tenant_id", "row_id"]).where(allowed)
-    return keep_best(kept.select("msg_id", "row_id", "sim"), k)
+    return within_own_k(keep_best(kept.select("msg_id", "row_id", "sim"), top), messages, k)
 
 
 def retrieve_prefilter(
-    messages: DataFrame, products: DataFrame, k: int = DEFAULT_TOP_K, few: int = FEW_CANDIDATES
+    messages: DataFrame, products: DataFrame, k: int | str = DEFAULT_TOP_K, few: int = FEW_CANDIDATES
 ) -> DataFrame:
     """Filter first, rank inside the candidates.
 
     The number of candidates of every message is known before any vector is touched. Messages with
     a few candidates are scored pair by pair, whatever the size of the catalog. The others meet the
     blocks of their categories that can still hold one of their best, and the price range masks
-    inside a block. Groups nobody asks for are dropped before the shuffle.
+    inside a block. Groups nobody asks for are dropped before the shuffle. ``k`` may name a column, as in ``cosine_topk``.
     """
     # Narrow, and needed several times: computed once.
-    messages = materialized(messages.select("tenant_id", "msg_id", "lo", "hi", "hints", "vec"), "messages")
+    own = [] if isinstance(k, int) else [k]
+    messages = materialized(messages.select("tenant_id", "msg_id", "lo", "hi", "hints", "vec", *own), "messages")
     products = products.select("tenant_id", "row_id", "category", "price_eur", "vec")
     products = materialized(products, "products")
     filters = materialized(effective_filters(messages, products), "filters")
@@ -116,8 +141,9 @@ def retrieve_prefilter(
         F.explode(product_scopes(F.col("category"))).alias("scope"),
         "row_id", "vec", "price_eur",
     )
-    near = nearest(m_side, p_side, k, ["tenant_id", "scope"])
-    return keep_best(pairs.unionByName(near), k)
+    top = largest_k(messages, k)
+    near = nearest(m_side, p_side, top, ["tenant_id", "scope"])
+    return within_own_k(keep_best(pairs.unionByName(near), top), messages, k)
 
 
 def single_query_topk(products: DataFrame, query: Column, k: int) -> DataFrame:

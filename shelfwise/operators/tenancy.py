@@ -6,6 +6,8 @@ directory; profiles are leaf paths ``(tenant_id, key_path, value)``.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +89,17 @@ def layered_override_resolve(
     )
 
 
+def tenant_settings(tenants: DataFrame, leaves: DataFrame, settings: Mapping[str, str]) -> DataFrame:
+    """One row per tenant with a column per setting: ``settings`` names the key path of each column.
+
+    ``leaves`` are the rows of ``layered_override_resolve``. A setting nobody gives is null.
+    """
+    value = lambda path: F.first(F.when(F.col("key_path") == path, F.col("value")), ignorenulls=True)
+    asked = leaves.where(F.col("key_path").isin(*settings.values()))
+    wide = asked.groupBy("tenant_id").agg(*[value(path).alias(name) for name, path in settings.items()])
+    return tenants.select("tenant_id").distinct().join(wide, "tenant_id", "left")
+
+
 def asset_fallback_resolve(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """The file each asset is read from.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["catalog", "intent", "retrieval", "compose", "quality", "requests", "evaluation", "streams"]
+MODULES = ["catalog", "intent", "retrieval", "compose", "quality", "requests", "evaluation", "tenants", "streams"]
 
 
 def load_all() -> None:

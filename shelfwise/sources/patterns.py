@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize, strip
 from .catalog import tenant_of_file
 
+PRICE_KINDS = ("under", "between", "currency")
 TENANT_TYPE = "map<string,struct<api_key:string,max_requests_per_day:int>>"
 
 
@@ -68,6 +69,25 @@ def price_terms_of(documents: DataFrame) -> DataFrame:
     return rows.select("tenant_id", F.struct("at", "position").alias("ordinal"), "kind", "term")
 
 
+def price_wording_of(documents: DataFrame) -> DataFrame:
+    """Price terms ``(tenant_id, under, between, currency)`` of the tenants that have a price document of their own.
+
+    A kind without terms is an empty list. Documents that are no JSON object are left out (``unusable_documents``).
+    """
+    merged = union_price_terms(price_terms_of(documents))
+    kind = lambda name: F.first(F.when(F.col("kind") == name, F.col("terms")), ignorenulls=True).alias(name)
+    by_kind = merged.groupBy("tenant_id").agg(*map(kind, PRICE_KINDS))
+    own = documents.where(F.json_object_keys("document").isNotNull()).select("tenant_id").distinct()
+    none = F.array().cast("array<string>")
+    return own.join(by_kind, "tenant_id", "left").select("tenant_id", *[F.coalesce(k, none).alias(k) for k in PRICE_KINDS])
+
+
+def medical_terms_of(documents: DataFrame) -> DataFrame:
+    """Medical terms ``(tenant_id, medical_terms)`` of the tenants that have a document of their own: all lists of its first section."""
+    lists = first_section(documents).select("tenant_id", F.flatten(F.map_values("section")).alias("terms"))
+    return lists.select("tenant_id", F.coalesce("terms", F.array().cast("array<string>")).alias("medical_terms"))
+
+
 def first_section(
     documents: DataFrame, kind: str = "map<string,map<string,array<string>>>"
 ) -> DataFrame:

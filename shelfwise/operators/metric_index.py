@@ -6,8 +6,10 @@ away from every member of a ring (angles obey the triangle inequality), which bo
 the most promising block first; its k-th similarity there is one that the answer reaches at least, and
 blocks with a lower bound are never sent to it. Only block descriptions meet all messages, one row per some thousand vectors.
 
-Both sides of a meeting are bounded: a block of vectors and at most so many of the messages that visit it. A group with a
-third of all rows has more cells, rings and meetings, not larger ones. A group of one block needs no pivots.
+Blocks that follow each other share a hall, and messages and vectors meet by halls: a row is copied once per hall or
+part of the visitors, not once per block, and a mask says which blocks of the hall a message visits. Both sides of a meeting are
+bounded: the blocks of a hall and at most so many of its visitors. A group with a third of all rows has more cells, rings and
+meetings, not larger ones. A group of one block needs no pivots. Of rows that are equal in vector and price only the k lowest enter.
 """
 
 from __future__ import annotations
@@ -23,8 +25,14 @@ from ..functions.vector import EPSILON
 from ..session import materialized
 from .places import numbered
 
-BLOCK_MESSAGES = 1024
+BLOCK_MESSAGES = 32_768
 BLOCK_PRODUCTS = 4096
+# Blocks of a hall; the mask of a visit has a bit for each.
+HALL_BLOCKS = 16
+# Messages that meet the descriptions of all blocks at a time.
+CHOOSING_MESSAGES = 1024
+# Messages of one matrix product.
+TILE_MESSAGES = 256
 # Pivots of a group at most, and rows that are dealt to them at a time.
 PIVOTS = 256
 DEALT_ROWS = 16_384
@@ -48,35 +56,121 @@ def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1, 1))
 
 
+class Best:
+    """The best ``k`` found so far of every message, and the similarity below which nothing more is needed."""
+
+    def __init__(self, queries: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, kth: np.ndarray | None):
+        self.queries, self.rows, self.row_ids, self.k = queries, rows, row_ids, k
+        # Single precision is off by this much at most, for unit vectors of this length.
+        self.slack = (rows.shape[1] + 8) * 2.0**-23 + 10.0**-TIE_PLACES
+        self.least = np.full(len(queries), -np.inf)
+        if kth is not None:
+            self.least = np.where(np.isnan(kth), -np.inf, kth - self.slack)
+        none = np.zeros(0, "int64")
+        self.kept = none, none, np.zeros(0)
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_found = 0
+
+    def add(self, at: np.ndarray, of: np.ndarray) -> None:
+        self.found.append((at, of))
+        self.n_found += len(at)
+
+    def settle(self) -> None:
+        """Score what was found in double precision and keep the best by similarity, then row number."""
+        if not self.n_found:
+            return
+        at, of = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        sims = np.empty(len(at))
+        for i in range(0, len(at), 65_536):
+            some = slice(i, i + 65_536)
+            sims[some] = np.einsum("ij,ij->i", self.queries[at[some]], self.rows[of[some]])
+        new = at, of, np.round(sims, TIE_PLACES)
+        at, of, sims = (np.concatenate(c) for c in zip(self.kept, new, strict=True))
+        order = np.lexsort((self.row_ids[of], -sims, at))
+        at, of, sims = at[order], of[order], sims[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        last = place == self.k - 1
+        self.least[at[last]] = np.maximum(self.least[at[last]], sims[last] - self.slack)
+        self.kept = tuple(c[place < self.k] for c in (at, of, sims))
+        self.found, self.n_found = [], 0
+
+
 def best_of_block(k: int):
-    """The kernel of a meeting: similarities, optional price mask, best k per message."""
+    """The kernel of a meeting: similarities, optional price mask, best k per message.
+
+    Similarities are taken in single precision, a tile at a time; only what may reach the k-th best so far is scored in
+    double precision. Rows of a block lie by price, so that a price range is a run of them.
+    """
 
     def kernel(messages: pa.Table, products: pa.Table) -> pa.Table:
         schema = pa.schema([("msg_id", pa.int64()), ("row_id", pa.int64()), ("sim", pa.float64())])
         if messages.num_rows == 0 or products.num_rows == 0:
             return schema.empty_table()
-        row_ids = products["row_id"].to_numpy()
-        sims = np.round(unit_rows(messages["vec"]) @ unit_rows(products["vec"]).T, TIE_PLACES)
-        if "lo" in messages.column_names:
-            price = products["price_eur"].to_numpy().astype("float64")
-            lo = messages["lo"].to_numpy().astype("float64")[:, None]
-            hi = messages["hi"].to_numpy().astype("float64")[:, None]
-            allowed = np.isnan(lo) | ((price >= lo) & (price <= hi))
-            sims = np.where(allowed, sims, -np.inf)
-        # Everything down to the k-th best value, ties included; then the order that breaks ties.
-        cut = len(row_ids) - k
-        least = np.partition(sims, cut, axis=1)[:, [cut]] if cut > 0 else -np.inf
-        at, of = np.nonzero((sims >= least) & np.isfinite(sims))
-        order = np.lexsort((row_ids[of], -sims[at, of], at))
-        at, of = at[order], of[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        at, of = at[place < k], of[place < k]
-        found = {"msg_id": messages["msg_id"].to_numpy()[at], "row_id": row_ids[of], "sim": sims[at, of]}
+        priced = "lo" in messages.column_names
+        number = lambda table, name: table[name].to_numpy().astype("float64")
+        queries, rows = unit_rows(messages["vec"]), unit_rows(products["vec"])
+        slots = products["slot"].to_numpy()
+        prices = number(products, "price_eur") if priced else np.zeros(len(rows))
+        order = np.lexsort((prices, slots))
+        order = order[np.isfinite(rows[order]).all(axis=1)]
+        rows, slots, prices = rows[order], slots[order], prices[order]
+        kth = number(messages, "kth") if "kth" in messages.column_names else None
+        best = Best(queries, rows, products["row_id"].to_numpy()[order], k, kth)
+        masks = messages["mask"].to_numpy()
+        sound = np.isfinite(queries).all(axis=1)
+        narrow_queries, narrow_rows = queries.astype("float32"), rows.astype("float32")
+        if priced:
+            lo, hi = number(messages, "lo"), number(messages, "hi")
+
+        for slot in np.unique(slots):
+            begin, end = np.searchsorted(slots, [slot, slot + 1])
+            asking = np.flatnonzero(sound & ((masks >> int(slot)) & 1 == 1))
+            first, last = np.full(len(asking), begin), np.full(len(asking), end)
+            if priced:
+                low, high = lo[asking], hi[asking]
+                limited = ~np.isnan(low)
+                first[limited] = begin + np.searchsorted(prices[begin:end], low[limited])
+                last[limited] = begin + np.searchsorted(prices[begin:end], high[limited], "right")
+                wanted = (last > first) & ~(limited & np.isnan(high))
+                asking, first, last = asking[wanted], first[wanted], last[wanted]
+                # Ranges of like width and place share tiles.
+                by_place = np.lexsort((first, np.log2(last - first).astype(int)))
+                asking, first, last = asking[by_place], first[by_place], last[by_place]
+            for i in range(0, len(asking), TILE_MESSAGES):
+                some = slice(i, i + TILE_MESSAGES)
+                _tile(best, narrow_queries, narrow_rows, asking[some], first[some], last[some])
+                # A few for each message, then what was found is worth sorting.
+                if best.n_found > 2 * len(best.kept[0]) + 4 * k * TILE_MESSAGES + 1_000_000:
+                    best.settle()
+            if best.n_found > 2 * len(best.kept[0]):
+                best.settle()
+        best.settle()
+        at, of, sims = best.kept
+        found = {"msg_id": messages["msg_id"].to_numpy()[at], "row_id": best.row_ids[of], "sim": sims}
         return pa.table(found, schema=schema)
 
     return kernel
 
 
+def _tile(best: Best, queries: np.ndarray, rows: np.ndarray, asking: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+    """Meet some messages with the rows between the least first and the greatest last of them."""
+    begin, end = first.min(), last.max()
+    sims = queries[asking] @ rows[begin:end].T
+    if first.max() > begin or last.min() < end:
+        place = np.arange(begin, end)
+        sims[(place < first[:, None]) | (place >= last[:, None])] = -np.inf
+    least = best.least[asking]
+    new = np.flatnonzero(np.isneginf(least))
+    cut = end - begin - best.k
+    if len(new) and cut > 0:
+        least[new] = np.partition(sims[new], cut, axis=1)[:, cut] - 2 * best.slack
+        # This many reach it for certain.
+        best.least[asking[new]] = least[new]
+    least = np.maximum(least, -2.0).astype("float32") - np.float32(1e-7)
+    at, of = np.nonzero(sims >= least[:, None])
+    best.add(asking[at], of + begin)
+
+
 def _parts(rows: Column, size: int) -> Column:
     return F.ceil(rows / size).cast("int")
 
@@ -134,8 +228,12 @@ def build(products: DataFrame, sizes: DataFrame, group: list[str], block: int) -
     about = [F.min("angle").alias("inner"), F.max("angle").alias("outer"), F.count("*").alias("rows")]
     if "price_eur" in products.columns:
         about += [F.min("price_eur").alias("least"), F.max("price_eur").alias("most")]
-    blocks = rows.groupBy(*group, "cell", "ring").agg(*about).join(centres, [*group, "cell"])
-    return rows, materialized(blocks, "blocks")
+    # One row per block: few.
+    in_order = Window.partitionBy(*group).orderBy("cell", "ring")
+    blocks = rows.groupBy(*group, "cell", "ring").agg(*about).withColumn("place", F.row_number().over(in_order) - 1)
+    seats = {"hall": F.floor(F.col("place") / HALL_BLOCKS).cast("int"), "slot": F.col("place") % HALL_BLOCKS}
+    blocks = materialized(blocks.withColumns(seats).drop("place").join(centres, [*group, "cell"]), "blocks")
+    return rows, blocks
 
 
 # ---- visits
@@ -154,8 +252,10 @@ def bounds(messages: pa.Table, blocks: pa.Table) -> np.ndarray:
     return bound
 
 
-def visits(messages: DataFrame, blocks: DataFrame, group: list[str], k: int, message_block: int, known: DataFrame | None) -> DataFrame:
-    """group, msg_id, cell, ring: where a message goes.
+def visits(
+    messages: DataFrame, blocks: DataFrame, group: list[str], k: int, message_block: int, known: DataFrame | None, halls: bool = False
+) -> DataFrame:
+    """group, msg_id, cell, ring: where a message goes; with ``halls`` group, msg_id, hall and the mask of blocks there.
 
     Without ``known``: its most promising blocks, as many as it takes for k rows. With ``known`` (msg_id, kth, the least
     similarity that can still matter): all with a bound that reaches it.
@@ -167,12 +267,12 @@ def visits(messages: DataFrame, blocks: DataFrame, group: list[str], k: int, mes
     if known is not None:
         sides = sides.join(known, "msg_id", "left")
     later = known is not None
-    names = [*group, "msg_id", "cell", "ring"]
-    schema = f"{_typed(messages, [*group, 'msg_id'])}, cell int, ring int"
+    place = ["hall", "mask"] if halls else ["cell", "ring"]
+    schema = f"{_typed(messages, [*group, 'msg_id'])}, {place[0]} int, {place[1]} int"
 
     def choose(messages: pa.Table, blocks: pa.Table) -> pa.Table:
         if messages.num_rows == 0 or blocks.num_rows == 0:
-            chosen = np.zeros(0, "int64"), np.zeros(0, "int64")
+            wanted = np.zeros((messages.num_rows, blocks.num_rows), bool)
         else:
             bound = bounds(messages, blocks)
             if later:
@@ -183,22 +283,40 @@ def visits(messages: DataFrame, blocks: DataFrame, group: list[str], k: int, mes
                 sizes = blocks["rows"].to_numpy()[best]
                 wanted = np.zeros(bound.shape, bool)
                 np.put_along_axis(wanted, best, np.cumsum(sizes, axis=1) - sizes < k, axis=1)
-            chosen = np.nonzero(wanted & np.isfinite(bound))
-        at, of = (pa.array(c) for c in chosen)
-        columns = [messages[c].take(at) for c in (*group, "msg_id")] + [blocks[c].take(of) for c in ("cell", "ring")]
-        return pa.table(columns, names=names)
+            wanted &= np.isfinite(bound)
+        if halls:
+            hall, of_hall = np.unique(blocks["hall"].to_numpy(), return_inverse=True)
+            masks = np.zeros((messages.num_rows, len(hall)), "int64")
+            for block, (h, slot) in enumerate(zip(of_hall, blocks["slot"].to_pylist(), strict=True)):
+                masks[:, h] |= wanted[:, block].astype("int64") << slot
+            at, of = np.nonzero(masks)
+            where = [pa.array(hall[of], "int32"), pa.array(masks[at, of], "int32")]
+        else:
+            at, of = np.nonzero(wanted)
+            where = [blocks[c].take(pa.array(of)) for c in place]
+        return pa.table([messages[c].take(pa.array(at)) for c in (*group, "msg_id")] + where, names=[*group, "msg_id", *place])
 
     return _meet(sides.drop("parts"), each.drop("parts"), [*group, "part"], choose, schema)
 
 
 def score(visiting: DataFrame, rows: DataFrame, group: list[str], k: int, message_block: int) -> DataFrame:
-    """Best k per meeting of messages (with cell and ring) and the rows of that block."""
-    keys = [*group, "cell", "ring"]
+    """Best k per meeting of messages (with hall and mask) and the rows of that hall (with slot)."""
+    keys = [*group, "hall"]
     parts = visiting.groupBy(*keys).agg(_parts(F.count("*"), message_block).alias("parts"))
     parts = materialized(parts, "meeting-parts")
     left = visiting.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("msg_id"), F.col("parts")).cast("int"))
     right = rows.join(parts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return _meet(left.drop("parts"), right.drop("parts", "angle"), [*keys, "part"], best_of_block(k), HITS)
+    return _meet(left.drop("parts"), right.drop("parts", "angle", "cell", "ring"), [*keys, "part"], best_of_block(k), HITS)
+
+
+def foremost(products: DataFrame, group: list[str], k: int) -> DataFrame:
+    """Of the rows of a group that are equal in vector and price, the ``k`` lowest: no other can be among the best ``k`` of a message.
+
+    Every task cuts its own rows first, so a vector that a third of all rows have is no large key.
+    """
+    like = [*group, "vec", *(c for c in products.columns if c == "price_eur")]
+    by_id = Window.partitionBy(*like).orderBy("row_id")
+    return products.withColumn("_place", F.row_number().over(by_id)).where(F.col("_place") <= k).drop("_place")
 
 
 def nearest(
@@ -212,31 +330,36 @@ def nearest(
     """Hits ``(msg_id, row_id, sim)`` with the best ``k`` of every message among them.
 
     ``messages``: group, msg_id, vec and, for a price mask, lo and hi. ``products``: group, row_id, vec and price_eur. A
-    message with rows in several groups is asked in all of them. Vectors are computed once: where a group has several
-    blocks both sides are written first, elsewhere they are read by the one meeting they have.
+    message with rows in several groups is asked in all of them. Vectors of products are computed once and written.
     """
     wanted = messages.select(*group).distinct()
-    sizes = products.groupBy(*group).agg(F.count("*").alias("n")).join(wanted, group, "left_semi")
-    sizes = materialized(sizes, "group-sizes")
+    products = materialized(foremost(products.join(wanted, group, "left_semi"), group, k), "foremost")
+    sizes = materialized(products.groupBy(*group).agg(F.count("*").alias("n")), "group-sizes")
     large = sizes.where(F.col("n") > product_block)
-    whole = [F.lit(0).alias("cell"), F.lit(0).alias("ring")]
     few = sizes.where(F.col("n") <= product_block).select(*group)
     # No pivots where there is one block; written sizes let the planner broadcast them if they are small.
+    hall = F.lit(0).alias("hall")
     near = score(
-        messages.join(few, group, "left_semi").select("*", *whole),
-        products.join(few, group, "left_semi").select("*", *whole),
+        messages.join(few, group, "left_semi").select("*", hall, F.lit(1).alias("mask")),
+        products.join(few, group, "left_semi").select("*", hall, F.lit(0).alias("slot")),
         group, k, message_block,
     )
     if large.isEmpty():
         return near
     asking = materialized(messages.join(large.select(*group), group, "left_semi"), "asking")
-    sought = materialized(products.join(large.select(*group), group, "left_semi"), "sought")
+    sought = products.join(large.select(*group), group, "left_semi")
     rows, blocks = build(sought, large, group, product_block)
-    first = materialized(visits(asking, blocks, group, k, message_block, None), "first-visits")
-    found = near.unionByName(score(asking.join(first, [*group, "msg_id"]), rows, group, k, message_block))
+    rows = rows.join(blocks.select(*group, "cell", "ring", "hall", "slot"), [*group, "cell", "ring"])
+    at_once = min(message_block, CHOOSING_MESSAGES)
+    keys = [*group, "msg_id"]
+    first = materialized(visits(asking, blocks, group, k, at_once, None, halls=True), "first-visits")
+    found = near.unionByName(score(asking.join(first, keys), rows, group, k, message_block))
     found = materialized(found, "first-hits")
     by_sim = Window.partitionBy("msg_id").orderBy(F.desc("sim"), "row_id")
     kth = found.withColumn("rank", F.row_number().over(by_sim)).where(F.col("rank") <= k).where(F.col("rank") == k)
     kth = materialized(kth.select("msg_id", F.col("sim").alias("kth")), "kth")
-    others = visits(asking, blocks, group, k, message_block, kth).join(first, first.columns, "left_anti")
-    return found.unionByName(score(asking.join(others, [*group, "msg_id"]), rows, group, k, message_block))
+    seen = first.withColumnRenamed("mask", "seen")
+    others = visits(asking, blocks, group, k, at_once, kth, halls=True).join(seen, [*keys, "hall"], "left")
+    others = others.withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0))))).where("mask != 0")
+    others = asking.join(others.drop("seen"), keys).join(kth, "msg_id", "left")
+    return found.unionByName(score(others, rows, group, k, message_block))

@@ -4,7 +4,7 @@ Messages meet bounded blocks of products (``metric_index``), each meeting one sm
 its own task slice, which emits only its best k per message; a per-message rank then merges them. A
 tenant that holds a third of all rows has as many blocks as its size asks for, messages skip the
 blocks that cannot hold one of their best, and no (message, product) pair leaves a meeting unless it
-is among the best k.
+is among the best k there.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ def within_own_k(
 
 def cosine_topk(messages: DataFrame, products: DataFrame, k: int | str) -> DataFrame:
     """Best ``k`` of the tenant's whole catalog; ``k`` is a number or the column of ``messages`` that holds it (null: the default)."""
-    asked = messages.select("tenant_id", "msg_id", "vec")
+    # Read several times, parsed and embedded once.
+    asked = materialized(messages.select("tenant_id", "msg_id", "vec"), "asked")
     top = largest_k(messages, k)
     found = nearest(asked, products.select("tenant_id", "row_id", "vec"), top, ["tenant_id"])
     return within_own_k(keep_best(found, top), messages, k)

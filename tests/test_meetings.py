@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise.operators import candidates as cand
 from shelfwise.operators import metric_index
 from shelfwise.session import materialized
 
@@ -67,3 +68,19 @@ def test_a_message_is_sent_once_to_a_hall(spark):
     n = blocks.count()
     assert n >= 40 and {r["blocks"] for r in sent} == {n}
     assert {r["rows"] for r in sent} == {-(-n // metric_index.HALL_BLOCKS)}
+
+
+def test_candidates_among_given_pairs(spark):
+    """Only the given pairs are judged, by the rule that forms all pairs."""
+    products = [("t", i, [None, "a", "b"][i % 3], [None, 5.0, 10.0, 10.004][i % 4]) for i in range(24)]
+    messages = [(i, lo, hi, hints) for i, (lo, hi, hints) in enumerate(
+        [(None, None, []), (5.0, 10.0, []), (10.0, 10.0, ["a"]), (6.0, None, []), (None, None, ["b", "z"]), (None, None, None)])]
+    p = spark.createDataFrame(products, "tenant_id string, row_id long, category string, price_eur double")
+    m = spark.createDataFrame([("t", *x) for x in messages], "tenant_id string, msg_id long, lo double, hi double, hints array<string>")
+    among = m.crossJoin(p.select("row_id")).where("(msg_id + row_id) % 2 = 0").select("tenant_id", "msg_id", "row_id")
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    whole = pairs(cand.message_candidates(m, p))
+    assert whole
+    assert pairs(cand.message_candidates(m, p, among=among)) == [x for x in whole if (x[1] + x[2]) % 2 == 0]
+    plan = cand.message_candidates(m, p, among=among)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan

@@ -15,7 +15,7 @@ from ..fixed_values import (
     REQUIRED_COLUMNS,
     SCHEMA_MAP,
 )
-from ..session import materialized
+from ..session import materialized, tell_case_apart
 from .records import read_records
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -127,8 +127,11 @@ def canonical_names(
 
 
 def apply_schema_map(df: DataFrame, canonical: Mapping[str, Sequence[str]] = SCHEMA_MAP) -> DataFrame:
-    """Rename the best source header of each canonical field the catalog does not have yet."""
-    return df.toDF(*canonical_names(df.columns, canonical))
+    """Rename the best source header of each canonical field the catalog does not have yet.
+
+    Headers are told apart by case: a catalog may have both ``Brand`` and ``brand``.
+    """
+    return tell_case_apart(df.toDF(*canonical_names(df.columns, canonical)))
 
 
 def map_logical_columns(

@@ -118,3 +118,19 @@ def test_configuration_files(spark, tmp_path):
     assert [(r["user"], r["assistant"]) for r in pairs] == [("hi", "hello")]
     registry = sorted(tuple(r) for r in pat.tenants_of(read("tenants.yaml")).collect())
     assert registry == [("a", "k", 5), ("b", "q", None)]
+
+
+def test_headers_that_differ_in_case_can_be_written(spark, tmp_path):
+    """A catalog with Brand and brand keeps both, also in a file."""
+    from shelfwise.session import prepare
+
+    try:
+        raw = spark.createDataFrame([("a", "b")], "Product string, Brand string").selectExpr("*", "upper(Brand) AS other")
+        mapped = src.apply_schema_map(raw.toDF("Product", "Brand", "brand"))
+        mapped.write.parquet(str(tmp_path / "out"))
+        back = spark.read.parquet(str(tmp_path / "out"))
+        assert back.columns == ["product_name", "Brand", "brand"]
+        assert [tuple(r) for r in back.select("brand", "Brand", "product_name").collect()] == [("B", "b", "a")]
+    finally:
+        prepare(spark)
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import CATALOG_FILE, REQUIRED_PATTERNS, REQUIRED_PROMPTS
+from ..session import materialized
 
 PROFILE_KEYS = ["id", "name", "locale"]
+# A path that more options name is looked up apart.
+HOT_PATH = 10_000
 
 
 def missing_tenant_assets(
@@ -30,7 +33,7 @@ def missing_tenant_assets(
         F.bool_or(F.col("folder") == "prompts").alias("has_prompts"),
         F.bool_or(F.col("folder") == "patterns").alias("has_patterns"),
     )
-    state = tenants.select("tenant_id").join(has, "tenant_id", "left")
+    state = tenants.select("tenant_id").join(has.hint("merge"), "tenant_id", "left")
     none = F.array().cast("array<struct<folder:string,file:string>>")
     prompts = F.when(
         F.col("has_prompts"), F.array(*[item("prompts", f) for f in REQUIRED_PROMPTS])
@@ -42,7 +45,8 @@ def missing_tenant_assets(
         "tenant_id",
         F.explode(F.concat(F.array(item("", CATALOG_FILE)), prompts, patterns)).alias("item"),
     ).select("tenant_id", "item.*")
-    missing = required.join(inventory, ["tenant_id", "folder", "file"], "left_anti")
+    # Both sides grow with the tenants, however small their files are: no side is held whole.
+    missing = required.join(inventory.hint("merge"), ["tenant_id", "folder", "file"], "left_anti")
     if profile_keys is None:
         return missing
     keys = tenants.select(
@@ -51,7 +55,7 @@ def missing_tenant_assets(
         F.explode(F.array(*map(F.lit, PROFILE_KEYS))).alias("file"),
     )
     held = profile_keys.select("tenant_id", F.col("key").alias("file"))
-    return missing.unionByName(keys.join(held, ["tenant_id", "file"], "left_anti"))
+    return missing.unionByName(keys.join(held.hint("merge"), ["tenant_id", "file"], "left_anti"))
 
 
 def _prefixes(path: Column, proper: bool) -> Column:
@@ -77,13 +81,13 @@ def layered_override_resolve(
     # A default falls when it, or anything above it, is overridden ...
     above = inherited.withColumn("hit", F.explode(_prefixes(F.col("key_path"), proper=False)))
     at = overrides.select("tenant_id", F.col("key_path").alias("hit"))
-    by_above = above.join(at, ["tenant_id", "hit"], "left_semi").select("tenant_id", "key_path")
+    by_above = above.join(at.hint("merge"), ["tenant_id", "hit"], "left_semi").select("tenant_id", "key_path")
     # ... or when an override lies below it.
     by_below = overrides.select(
         "tenant_id", F.explode(_prefixes(F.col("key_path"), proper=True)).alias("key_path")
     )
     fallen = by_above.unionByName(by_below).distinct()
-    kept = inherited.join(fallen, ["tenant_id", "key_path"], "left_anti")
+    kept = inherited.join(fallen.hint("merge"), ["tenant_id", "key_path"], "left_anti")
     return kept.withColumn("layer", F.lit("base")).unionByName(
         overrides.select("tenant_id", "key_path", "value").withColumn("layer", F.lit("override"))
     )
@@ -100,7 +104,7 @@ def tenant_settings(tenants: DataFrame, leaves: DataFrame, settings: Mapping[str
     return tenants.select("tenant_id").distinct().join(wide, "tenant_id", "left")
 
 
-def asset_fallback_resolve(wanted: DataFrame, files: DataFrame) -> DataFrame:
+def asset_fallback_resolve(wanted: DataFrame, files: DataFrame, hot: int = HOT_PATH) -> DataFrame:
     """The file each asset is read from.
 
     ``wanted``: tenant_id, key, kind ('prompt', 'pattern' or 'catalog'), tenant_path, override_path
@@ -116,8 +120,16 @@ def asset_fallback_resolve(wanted: DataFrame, files: DataFrame) -> DataFrame:
     ).otherwise(F.array(chosen, F.col("global_path")))
     options = wanted.select("tenant_id", "key", "kind", F.posexplode(options).alias("priority", "path"))
     options = options.where("path IS NOT NULL")
-    seen = options.join(files.select("path").distinct().withColumn("exists", F.lit(True)), "path", "left")
-    usable = F.col("exists").isNotNull()
+    # Paths grow with the tenants, however small their files are: they are not held whole.
+    known = files.select("path").distinct().withColumn("exists", F.lit(True)).hint("merge")
+    # Shared paths that many tenants ask for are looked up once each: one row per so many options at most.
+    asked = options.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("path")
+    found = asked.join(known, "path", "left").select("path", F.col("exists").isNotNull().alias("hot_exists"))
+    seen = options.join(F.broadcast(materialized(found, "hot-paths")), "path", "left")
+    # A path that is settled asks for nothing, spread by tenant.
+    sought = F.when(F.col("hot_exists").isNull(), F.col("path")).otherwise(F.concat(F.lit("\0"), "tenant_id"))
+    seen = seen.withColumn("sought", sought).join(known.withColumnRenamed("path", "sought"), "sought", "left")
+    usable = F.coalesce("hot_exists", F.col("exists").isNotNull())
     best = F.min_by("path", F.when(usable, F.col("priority")))
     last = F.max_by("path", "priority")
     return (

@@ -9,7 +9,7 @@ from ..operators import index as ix
 from ..operators import quality as q
 from ..operators import tenancy as ten
 from ..operators.catalog import build_retrieval_text
-from ..session import materialized, shared_dir
+from ..session import dealt, materialized, shared_dir
 from ..sources import store as st
 from . import bindings as b
 from .bindings import DIM, duck, sql_hash_raw, sql_normalized, sql_text
@@ -375,6 +375,8 @@ def embed_texts(spark, d):
 
 # Customers as tenants; which files they have follows from their attributes.
 FILES = [("prompts", f) for f in REQUIRED_PROMPTS] + [("patterns", f) for f in REQUIRED_PATTERNS] + [("", CATALOG_FILE)]
+# What a customer's files, profile and assets are told by.
+FILE_FACTS = "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal"
 HAS_FILE = """
     CASE WHEN file = 'products_catalog.csv' THEN c_acctbal >= 0
          WHEN folder = 'prompts' THEN c_mktsegment <> 'FURNITURE'
@@ -393,14 +395,15 @@ INVENTORY = (
 
 def inventory(spark, d):
     files = F.array(*[F.struct(F.lit(a).alias("folder"), F.lit(f).alias("file")) for a, f in FILES])
-    rows = b.table(spark, d, "customer").select("*", F.explode(files).alias("f")).select("*", "f.*")
+    customers = dealt(b.table(spark, d, "customer").select(*FILE_FACTS), "c_custkey")
+    rows = customers.select("*", F.explode(files).alias("f")).select("*", "f.*")
     name = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
     return rows.where(F.expr(HAS_FILE)).select(name.alias("tenant_id"), "folder", "file")
 
 
 def clients(spark, d):
     name = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
-    return b.table(spark, d, "customer").withColumn("tenant_id", name)
+    return dealt(b.table(spark, d, "customer").select(*FILE_FACTS), "c_custkey").withColumn("tenant_id", name)
 
 
 @query(

@@ -45,3 +45,32 @@ def test_missing_files(spark):
         ("a", "", "products_catalog.csv"), ("a", "patterns", "category_patterns.yaml"), ("a", "patterns", "price_patterns.yaml"),
         ("a", "prompts", "system_prompt.txt"), ("b", "prompts", ""),
     ]
+
+
+def test_paths_and_inventories_are_not_held_whole(spark):
+    """Small files unfold into many rows, so their size says nothing: no side that grows with the tenants is broadcast."""
+    from shelfwise.plans import quality
+
+    for query in (quality.asset_fallback_resolve, quality.missing_tenant_assets):
+        df = query(spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # Only paths that very many ask for are, one row per so many options at most.
+        assert plan.count("BroadcastHashJoin") == ("hot-paths" in plan or "hot_exists" in plan)
+        # Customers are dealt out before they are multiplied.
+        assert "REPARTITION_BY_NUM" in plan
+
+
+def test_shared_paths_are_settled_apart(spark):
+    """The same files, whether a path that many tenants ask for is looked up apart or not."""
+    from shelfwise.operators import tenancy
+
+    wanted = spark.createDataFrame(
+        [(f"u{i}", k, kind, f"u{i}/{k}", f"shared/{i % 2}/{k}" if i % 3 == 0 else None, None if kind == "catalog" else f"global/{k}")
+         for i in range(12) for k, kind in (("a", "prompt"), ("b", "pattern"), ("c", "catalog"))],
+        "tenant_id string, key string, kind string, tenant_path string, override_path string, global_path string",
+    )
+    paths = [f"u{i}/{k}" for i in range(0, 12, 2) for k in "abc"] + ["shared/0/a", "shared/1/b", "shared/1/c", "global/b"]
+    files = spark.createDataFrame([(x,) for x in paths], "path string")
+    rows = lambda hot: sorted(map(repr, tenancy.asset_fallback_resolve(wanted, files, hot).collect()))
+    assert rows(3) == rows(0) == rows(1000)
+    assert len(rows(3)) == 36

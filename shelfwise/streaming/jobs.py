@@ -81,9 +81,13 @@ def run_quota(requests: DataFrame, tenants: DataFrame, out: str, every: int = SN
 
 
 def access_log_sink(log: DataFrame, path: str, checkpoint: str):
-    """Log records to JSON files below one folder per client; returns the running query."""
+    """Log records to JSON files below one folder per client; returns the running query.
+
+    The rows of a client are dealt to one task of a micro-batch: a file per client and batch, not one per client and task.
+    """
     return (
         client_rows(log)
+        .repartition("client")
         .writeStream.partitionBy("client")
         .format("json")
         .option("path", path)

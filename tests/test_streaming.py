@@ -142,3 +142,14 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     out = shared_dir(spark, "late-test")
     now = sinks.aggregate_to_end(rq.count_5xx_by_path(jobs.watermarked(source.withColumn("status", F.lit(500)))), out, ["window", "path"])
     assert sum(r["n"] for r in now.collect()) == 3
+
+
+def test_log_stream_writes_a_file_per_client_and_batch(spark, tmp_path):
+    """However many tasks read a micro-batch, a client's rows are one file of it."""
+    rows = spark.range(400).selectExpr("cast(id as string) AS rid", "concat('c', id % 5) AS client_id")
+    rows.repartition(8).write.parquet(str(tmp_path / "in"))
+    stream = sinks.read_stream(spark, str(tmp_path / "in"), rows, "*.parquet")
+    jobs.access_log_sink(stream, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+    files = [f for f in (tmp_path / "log").glob("client=*/*.json")]
+    assert sorted(f.parent.name for f in files) == [f"client=c{i}" for i in range(5)]
+    assert sum(len(f.read_text().splitlines()) for f in files) == 400

@@ -84,3 +84,11 @@ def test_candidates_among_given_pairs(spark):
     assert pairs(cand.message_candidates(m, p, among=among)) == [x for x in whole if (x[1] + x[2]) % 2 == 0]
     plan = cand.message_candidates(m, p, among=among)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_evaluation_retrieves_once(spark):
+    """The summary reads its cases several times; the search is not part of what it reads."""
+    from shelfwise.plans import evaluation
+
+    made = evaluation.results(spark, "/root/testdata/sf0.001")
+    assert "CoGroups" not in made._jdf.queryExecution().optimizedPlan().toString()

@@ -230,18 +230,18 @@ def candidate_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int)
     members = members.join(parts.where("low < high").select("grp"), "grp")
     members = members.join(reps.select("cid", "digest", "n_shingles"), "cid")
     dealt = with_units(members, percent).select("cid", "known", F.explode("units").alias("unit"))
-    rows = dealt.join(sketches, "cid").select("unit", "cid", "known", "n_shingles", "least", "map")
+    rows = dealt.join(sketches, "cid").select("unit", "known", "n_shingles", "least", "map")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
 
         def close_unit() -> pa.RecordBatch:
-            cids, known, sizes, least, maps = zip(*held, strict=True)
+            known, sizes, least, maps = zip(*held, strict=True)
             links = connect_sketches(list(least), list(sizes), list(maps), percent, list(known))
-            return pa.RecordBatch.from_arrays([pa.array([cids[link[side]] for link in links], "int64") for side in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([known[link[side]] for link in links], "int64") for side in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for u, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for u, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if u != unit:
                     if len(held) > 1:
                         yield close_unit()
@@ -251,7 +251,11 @@ def candidate_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int)
             yield close_unit()
 
     found = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(join, "a long, b long")
-    return components(found.union(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    # Units connect what is known by its roots; a class that nothing is known of is its own.
+    tops = components(found)
+    moved = known.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    moved = moved.select("node", F.coalesce("top", "root").alias("root"))
+    return moved.union(tops.join(known.select("node"), "node", "left_anti"))
 
 
 def with_units(members: DataFrame, percent: int) -> DataFrame:

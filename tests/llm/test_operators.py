@@ -13,11 +13,12 @@ from test_arrays import BASE, label, library_ids, reference_shingles
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from shelfwise.llm import components as union
 from shelfwise.llm import jaccard, langid, merkle, nn_descent, packing, quality, secrets, token_files, warc
 from shelfwise.llm.common import ordered_parts, tuned
 from shelfwise.llm.components import components
 from shelfwise.llm.pieces import tokenizer_path
-from shelfwise.session import shared_dir
+from shelfwise.session import materialized, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, start string, label string"
 SF_DIR = entry.SMOKE_DIR
@@ -173,6 +174,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_one_task_take_no_rounds(spark, monkeypatch):
+    """Edges are written once and a time per round; a path inside a task is contracted there."""
+    written = []
+    monkeypatch.setattr(union, "materialized", lambda df, purpose: written.append(purpose) or materialized(df, purpose))
+    path = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert dict(components(path.coalesce(1)).collect()) == {i: 0 for i in range(301)}
+    assert written == ["edges"]
+    monkeypatch.setattr(union, "HELD_NODES", 2)  # what a task holds may end anywhere
+    assert dict(components(path.coalesce(1)).collect()) == {i: 0 for i in range(301)}
+
+
 def test_nn_descent(spark):
     rng = np.random.default_rng(5)
     rows = []

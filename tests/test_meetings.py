@@ -86,6 +86,23 @@ def test_candidates_among_given_pairs(spark):
     assert "Generate" not in plan
 
 
+def test_full_cells_are_cut_and_not_broadcast(spark, monkeypatch):
+    """All pairs of the rule, each once, when places are cut into blocks; the cells of the catalog are not sent to every task."""
+    monkeypatch.setattr(cand, "BLOCK", 2)
+    prices = [None, 5.0, 10.0, 10.004, 11.0, 500.0]
+    products = [("tu"[i % 5 == 0], i, [None, "a", "b"][i % 3], prices[i % 6]) for i in range(60)]
+    wanted = [(None, None, []), (5.0, 11.0, []), (10.0, 10.0, ["a"]), (0.0, 400.0, ["b", "a"]), (6.0, None, []), (None, None, ["b", "z"])]
+    messages = [(t, 10 * i + len(t), *x) for t in ("t", "u", "none") for i, x in enumerate(wanted)]
+    p = spark.createDataFrame(products, "tenant_id string, row_id long, category string, price_eur double")
+    m = spark.createDataFrame(messages, "tenant_id string, msg_id long, lo double, hi double, hints array<string>")
+    rule = cand.matches(*[F.col(c) for c in ("price_eur", "category", "lo", "hi", "hints")])
+    want = m.join(p, "tenant_id").where(rule).select("tenant_id", "msg_id", "row_id")
+    got = cand.message_candidates(m, p)
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    assert pairs(got) == pairs(want)
+    assert "SortMergeJoin [tenant_id" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_evaluation_retrieves_once(spark):
     """The summary reads its cases several times; the search is not part of what it reads."""
     from shelfwise.plans import evaluation

@@ -29,8 +29,8 @@ from shelfwise.session import materialized
 # Near-duplicates: words of a shingle, and the least Jaccard similarity in percent.
 WIDTH = 5
 PERCENT = 80
-# Pieces of text that a packing worker remembers: executors of the earlier stages have grown by then.
-MEMO_ENTRIES = 400_000
+# Pieces of text that a packing worker remembers: executors of the earlier stages have grown by then, and workers keep what they remember.
+MEMO_ENTRIES = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

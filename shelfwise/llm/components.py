@@ -21,33 +21,29 @@ from shelfwise.session import materialized
 HELD_NODES = 200_000
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b), a <> b, as stars of what the edges of a task connect, a bounded number of nodes at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict = {}
-
-        def root(node):
-            while (above := parent.setdefault(node, node)) != node:
-                parent[node] = node = parent[above]
-            return node
-
-        def stars(schema: pa.Schema) -> pa.RecordBatch:
-            rows = [(node, top) for node in parent if (top := root(node)) != node]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = root(a), root(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            if len(parent) > HELD_NODES:
-                yield stars(batch.schema)
-                parent.clear()
-        if parent:
+def contract(batches: Iterator[pa.RecordBatch], held_nodes: int = HELD_NODES) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) as stars of what the edges of a task connect, a bounded number of nodes at a time."""
+    parent: dict = {}
+
+    def root(node):
+        while (above := parent.setdefault(node, node)) != node:
+            parent[node] = node = parent[above]
+        return node
+
+    def stars(schema: pa.Schema) -> pa.RecordBatch:
+        rows = [(node, top) for node in parent if (top := root(node)) != node]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        if len(parent) > held_nodes:
             yield stars(batch.schema)
-
-    return edges.mapInArrow(run, edges.schema)
+            parent.clear()
+    if parent:
+        yield stars(batch.schema)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -64,9 +60,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b) to (node, root), root the smallest node of the component; nodes without an edge to another are left out."""
-    edges = contracted(edges.select("a", "b").where("a <> b"))
+def components(edges: DataFrame, contracted: bool = False) -> DataFrame:
+    """``edges`` (a, b) to (node, root), root the smallest node of the component; nodes without an edge to another are left out.
+
+    ``contracted``: the Python step that finds the edges ends in ``contract``. As a step of its own it would take a second Python
+    worker for every core, and workers stay.
+    """
+    if not contracted:
+        edges = edges.select("a", "b").where("a <> b")
+        edges = edges.mapInArrow(lambda batches: contract(batches, HELD_NODES), edges.schema)
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialized(edges, "edges")
     while not _are_stars(edges):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import broadcast_if_small, with_columns_of_text
-from shelfwise.llm.components import components
+from shelfwise.llm.components import components, contract
 from shelfwise.llm.shingles import mix, set_digest, shingle_sets
 from shelfwise.llm.signature_tree import SignatureTree, connect_sketches, may_link, sketch
 from shelfwise.session import materialized
@@ -220,9 +220,10 @@ def candidate_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int)
 
     pairs = groups.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     ends = [sketches.select(F.col("cid").alias(c), F.col("n_shingles").alias(n), F.col("map").alias(f"map_{c}")) for c, n in ("ax", "by")]
-    near = [(100 * F.col(n)) >= percent * F.col(m) for n, m in ("xy", "yx")]
-    close = pairs.join(ends[0], "a").join(ends[1], "b").where(near[0] & near[1]).select("a", "b", "x", "map_a", "y", "map_b")
-    known = materialized(components(close.mapInArrow(allowed, "a long, b long")), "candidates")
+    alike = [(100 * F.col(n)) >= percent * F.col(m) for n, m in ("xy", "yx")]
+    close = pairs.join(ends[0], "a").join(ends[1], "b").where(alike[0] & alike[1]).select("a", "b", "x", "map_a", "y", "map_b")
+    near = close.mapInArrow(lambda batches: contract(allowed(batches)), "a long, b long")
+    known = materialized(components(near, contracted=True), "candidates")
 
     members = groups.select("grp", "cid").join(known.select(F.col("node").alias("cid"), "root"), "cid", "left")
     members = materialized(members.select("grp", "cid", F.coalesce("root", "cid").alias("known")), "key-members")
@@ -250,9 +251,10 @@ def candidate_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int)
         if len(held) > 1:
             yield close_unit()
 
-    found = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(join, "a long, b long")
+    rows = rows.repartition("unit").sortWithinPartitions("unit")
+    found = rows.mapInArrow(lambda batches: contract(join(batches)), "a long, b long")
     # Units connect what is known by its roots; a class that nothing is known of is its own.
-    tops = components(found)
+    tops = components(found, contracted=True)
     moved = known.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     moved = moved.select("node", F.coalesce("top", "root").alias("root"))
     return moved.union(tops.join(known.select("node"), "node", "left_anti"))
@@ -300,7 +302,7 @@ def unpacked(data: bytes) -> str:
 
 
 def tree_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): digests of linked classes, enough to connect what is connected.
+    """(a, b): digests of linked classes, enough to connect what is connected, contracted in their tasks.
 
     ``members``: doc_id of a document of the class, its digest, units.
     """
@@ -343,7 +345,8 @@ def tree_links(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
             yield close()
 
     rows = texts.mapInArrow(sets, "unit long, digest binary, data binary")
-    return rows.repartition("unit").sortWithinPartitions("unit", "digest").mapInArrow(join, "a binary, b binary")
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "digest")
+    return rows.mapInArrow(lambda batches: contract(join(batches)), "a binary, b binary")
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -356,7 +359,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[
     near = candidate_groups(docs, reps, width, percent)
     members = reps.drop("least", "map").join(near.select(F.col("node").alias("cid"), F.col("root").alias("grp")), "cid")
     members = materialized(with_units(members, percent), "members")
-    stars = components(tree_links(docs, members, width, percent))
+    stars = components(tree_links(docs, members, width, percent), contracted=True)
     rooted = reps.join(stars.select(F.col("node").alias("digest"), "root"), "digest")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = rooted.join(least, "root").select("digest", "root", "component_id")

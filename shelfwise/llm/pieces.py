@@ -46,13 +46,14 @@ class PieceEncoder:
         return next(self.many([text]))
 
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Ids of each text; new pieces of about half a million characters of text are encoded together."""
+        """Ids of each text; new pieces of about half a million characters of text are encoded together, of fewer if the memo is small."""
+        at_once = min(CHARS_AT_ONCE, self.entries)
         some: list[str] = []
         size = 0
         for text in texts:
             some.append(text)
             size += len(text)
-            if size >= CHARS_AT_ONCE:
+            if size >= at_once:
                 yield from self._encode(some)
                 some, size = [], 0
         yield from self._encode(some)

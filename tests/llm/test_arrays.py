@@ -329,6 +329,20 @@ def test_memo_of_two_generations():
     assert asked.count("the") == 1 and asked.count(" of") == 1 and asked.count(" worda") == 2
 
 
+def test_small_memo_takes_few_pieces_at_once():
+    """New pieces of one call stay in proportion to the memo, so a small memo bounds what a worker holds."""
+    asked = []
+
+    def encode(pieces):
+        asked.append(sum(map(len, pieces)))
+        return [p.encode("utf-32-le") for p in pieces]
+
+    encoder = PieceEncoder("byte", encode, [], entries=50)
+    texts = [f"{i:05d} {i * i:05d}" for i in range(200)]
+    assert list(encoder.many(texts)) == [t.encode("utf-32-le") for t in texts]
+    assert max(asked) <= 50 + len(texts[-1])
+
+
 def test_language_sample_is_an_even_share():
     """Every text gives its share, whatever sorts first, and the bound holds; a language in two scripts learns both."""
     assert langid.even_share([5, 9, 30], 100) == 30

@@ -185,6 +185,36 @@ def test_components_of_one_task_take_no_rounds(spark, monkeypatch):
     assert dict(components(path.coalesce(1)).collect()) == {i: 0 for i in range(301)}
 
 
+def python_steps(df) -> int:
+    """The most Python steps that one task of ``df`` runs, each in a worker of its own."""
+    most, above = 0, []  # depth, steps of the task so far, whether what is below belongs to other tasks
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        name = line.lstrip(" :+-*")
+        depth = len(line) - len(name)
+        while above and above[-1][0] >= depth:
+            above.pop()
+        steps = (above[-1][1] if above and not above[-1][2] else 0) + name.startswith("MapInArrow")
+        above.append((depth, steps, "Exchange" in name.split(" ")[0]))
+        most = max(most, steps)
+    return most
+
+
+def test_near_duplicates_take_one_python_worker_a_task(spark, docs, monkeypatch):
+    """Workers stay, so a task that needs two of them doubles what Python holds on an executor."""
+    steps = {}
+
+    def recorded(df, purpose):
+        steps[purpose] = max(steps.get(purpose, 0), python_steps(df))
+        return materialized(df, purpose)
+
+    monkeypatch.setattr(jaccard, "materialized", recorded)
+    monkeypatch.setattr(union, "materialized", recorded)
+    kept = jaccard.one_of_each_group(docs, 5, 80)
+    assert python_steps(kept) == 1
+    assert steps["shingle-classes"] == steps["key-groups"] == 1
+    assert steps["edges"] == 1 and max(steps.values()) == 1
+
+
 def test_nn_descent(spark):
     rng = np.random.default_rng(5)
     rows = []

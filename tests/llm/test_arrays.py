@@ -10,7 +10,7 @@ import pytest
 
 from shelfwise.llm import bpe, elias_fano, jaccard, langid, merkle, packing, quality, secrets, token_files, warc
 from shelfwise.llm.nn_descent import connecting
-from shelfwise.llm.pieces import PieceEncoder, library_encoder, tokenizer_path
+from shelfwise.llm.pieces import PieceEncoder, WordEncoder, library_encoder, tokenizer_path
 from shelfwise.llm.shingles import set_digest, shingle_sets
 from shelfwise.llm.signature_tree import SignatureTree
 
@@ -37,6 +37,41 @@ def test_pieces_give_the_ids_of_whole_texts(name, kind):
     assert len(encode.memo) > 0
 
 
+# Capitals with marks that have no composed capital, letters that change their length in lower case, signs by other names.
+MARKED = [*"aehkHKTS İıŉſŽœ×÷;K`ǅ가한😀12'’-_<>|/\x00\x7f\x1c\t\u0331\u0327\u0301\u0308\u0338\u200b\ufeff\u2028", "'LL", "<|endof", "text|>"]
+
+
+def test_words_by_arrays_give_the_ids_of_whole_texts():
+    rng = random.Random(5)
+    texts = ["", "İ, x", "İ's", "H\u0331 h\u0331", "", *("".join(rng.choices(MARKED, k=rng.randint(0, 20))) for _ in range(6000)), "x" * 70_000]
+    encode = library_encoder(tokenizer_path("word_bpe_49k.json"), "word")
+    want = library_ids("word_bpe_49k.json", texts)
+    assert list(encode.many(texts)) == want
+    assert [encode(t) for t in texts[:300]] == want[:300]
+    assert list(encode.many([])) == []
+
+
+def test_the_library_sees_each_word_once():
+    """Whatever its case, its surroundings and the number of texts; two generations keep what is in use, and no long piece is kept."""
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [p.decode().encode("utf-32-le") for p in pieces]
+
+    encoder = WordEncoder(encode, lambda t: t.encode("utf-32-le"), ["<|x|>"], entries=8)
+    long = "y" * 60
+    texts = ["The the THE", "été,the( été) 12-21", "don't DON", "<|x|> a", long]
+    want = ["thethethe", "été,the(été)12-21", "don'tdon", "<|x|> a", long]
+    assert list(encoder.many(texts)) == [w.encode("utf-32-le") for w in want]
+    assert sorted(p.decode() for p in asked) == sorted(["the", "été", ",", "(", ")", "1", "2", "-", "don", "'t", long])
+    assert long.encode() not in encoder.memo
+    for i in range(40):
+        assert encoder(f"the word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}") == f"theword{'abcdefghijklmnopqrstuvwxyz'[i % 26]}".encode("utf-32-le")
+        assert len(encoder.memo) + len(encoder.older) <= 8 + 10
+    assert asked.count(b"the") == 1 and asked.count(b"worda") == 2
+
+
 def test_segment_tree_equals_the_library():
     texts = [*odd_texts(4000, 2), "a" * 3000 + "thequickbrown" * 300, "", " "]
     b = bpe.byte_bpe(tokenizer_path("byte_bpe_50k.json"))

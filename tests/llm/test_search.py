@@ -74,3 +74,41 @@ def test_weights_beyond_16_bits():
     places, scores, _ = block.best(weights[0], 3, np.zeros(300, bool))
     assert set(np.argsort(-(weights @ weights[0]))[:3]) <= set(places.tolist())
     assert impact_index.packed(weights)[1] == "int32" and impact_index.packed(weights * 10**5)[1] == "int64"
+
+
+@pytest.mark.parametrize("scale, copies", [(200, 1), (200, 40), (10**7, 1)])
+def test_a_block_is_read_for_many_queries_together(monkeypatch, scale, copies):
+    """All that can be among the best of any query is scored, above what is certain; the block is read once, not once per query."""
+    rng = np.random.default_rng(7)
+    weights = np.repeat((rng.normal(size=(1200 // copies, 16)) * scale).astype("int64"), copies, axis=0)
+    queries, k = weights[::10], 10
+    own = np.arange(0, len(weights), 10)
+    truth = queries @ weights.T
+    truth[np.arange(len(queries)), own] = -(2**62)
+    kth = np.sort(truth, axis=1)[:, -k]
+    certain = np.where(np.arange(len(queries)) % 2, kth, -np.inf)
+    readings = []
+    limit = impact_index.Block._limit
+    monkeypatch.setattr(impact_index.Block, "_limit", lambda *a: readings.append(0) or limit(*a))
+    monkeypatch.setattr(impact_index, "TILE", 2**14)
+    block = impact_index.Block.build(weights)
+    parts = list(block.search(queries, k, np.arange(len(queries)), own, certain))
+    assert len(readings) <= len(impact_index.STEPS)
+    rows, places, scores = (np.concatenate(c) for c in list(zip(*parts))[:3])
+    assert (scores == truth[rows, places]).all()
+    assert set(zip(*(truth >= kth[:, None]).nonzero())) <= set(zip(rows.tolist(), places.tolist()))
+    kept, rank = impact_index.best_of(rows, scores, k)
+    got = np.full((len(queries), k), -1)
+    got[rows[kept], rank] = scores[kept]
+    assert (got == -np.sort(-truth, axis=1)[:, :k]).all()
+
+
+def test_repeated_vectors_rank_by_id_in_small_slices(spark):
+    """Many ties over blocks that meet the same queries one after the other."""
+    rows = [(i, [float(i % 3), 1.0, -0.5 * (i % 2)]) for i in range(300)] + [(None, [2.0, 1.0, 0.0])] * 2
+    df = tuned(spark).createDataFrame([(i, x, "l", "w", 1, 2, None) for i, x in rows], SCHEMA).repartition(3)
+    expected = brute_force(rows, 12)
+    for sizes in ({}, {"block_rows": 30, "block_queries": 1}):
+        found = impact_index.top_k(df, F.col("vec_id") % 100 == 0, 12, **sizes).collect()
+        for query, (best,) in expected.items():
+            assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == query] == best

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import client_files
+
 NO_CLIENT = "n/a"
 CORRUPT = "_corrupt_record"
 ACCESS_LOG = (
@@ -27,7 +30,12 @@ def client_rows(log: DataFrame) -> DataFrame:
 def write_access_log(log: DataFrame, path: str) -> None:
     """Append JSON lines below one folder per client."""
     rows = client_rows(log).hint("rebalance", "client")
-    rows.write.mode("append").partitionBy("client").json(path)
+    folder = client_files.mounted(log.sparkSession, path)
+    if folder is None:
+        rows.write.mode("append").partitionBy("client").json(path)
+        return
+    line = F.to_json(F.struct(*(c for c in rows.columns if c != "client")))
+    client_files.append_lines(rows.select("client", line.alias("line")), "client", folder, ".json")
 
 
 def read_access_log(spark: SparkSession, path: str, clients: Sequence[str] | None = None) -> DataFrame:
@@ -38,7 +46,14 @@ def read_access_log(spark: SparkSession, path: str, clients: Sequence[str] | Non
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     schema = f"{ACCESS_LOG}, {CORRUPT} string"
     if clients is None:
-        return spark.read.schema(schema).options(**options, recursiveFileLookup="true").json(path)
+        reader = spark.read.schema(schema).options(**options, recursiveFileLookup="true")
+        folder = client_files.mounted(spark, path)
+        if folder is None or not os.path.isdir(folder) or client_files.is_stream_output(folder):
+            return reader.json(path)
+        lines, compressed = client_files.read_lines(spark, folder)
+        texts = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        log = reader._df(reader._jreader.json(texts))
+        return log.unionByName(reader.json(compressed)) if compressed else log
     lines = spark.read.schema(f"{schema}, client string").options(**options).json(path)
     return lines.where(F.col("client").isin(*clients)).drop("client")
 

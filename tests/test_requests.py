@@ -1,4 +1,6 @@
 import datetime as dt
+import gzip
+import json
 from collections import Counter
 
 import numpy as np
@@ -6,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import requests as rq
-from shelfwise.sources import logs
+from shelfwise.sources import client_files, logs
 
 DAY = dt.datetime(2024, 3, 1)
 
@@ -152,3 +154,59 @@ def test_an_unreadable_quota_file_is_an_error(spark, tmp_path):
     (tmp_path / "quota" / "day=2024-01-01" / "part-bad.parquet").write_bytes(b"no parquet here, not at all")
     with pytest.raises(Exception, match="(?i)parquet|corrupt|read"):
         logs.quota_state_upsert(usage, path)
+
+
+ODD_CLIENTS = ["a/b", "x=y %", "", "é{1}[2]", "tab\tnew\nline", "it's", "c\\d:*?#^\"", ".hidden", "_under", "same", "Same"]
+
+
+def test_access_log_has_the_folders_and_lines_that_spark_writes(spark, tmp_path):
+    """Folders, lines and rows equal those of the writer and reader of Spark, also for odd names; parts of a client that come later are added."""
+    rows = [request(i, ODD_CLIENTS[i % len(ODD_CLIENTS)], path="/a  \"q\" ü", seconds=i) for i in range(300)] + [request(1000 + i, "hot") for i in range(700)]
+    made = rq.access_log_row(log(spark, rows).withColumns({"rate_limit": F.when(F.col("rid") % 2 == 1, 5), "rate_remaining": F.lit(None)}))
+    direct, plain = tmp_path / "direct", tmp_path / "plain"
+    for part in (F.col("status") == 200, F.lit(False), F.col("rid") == "7"):
+        logs.write_access_log(made.where(part), str(direct))
+        logs.client_rows(made.where(part)).write.mode("append").partitionBy("client").json(str(plain))
+    assert not [f for f in direct.iterdir() if not f.name.startswith("client=")]
+    lines = lambda folder: {d.name: sorted(x for f in d.glob("[!.]*.json") for x in f.read_text("utf-8").split("\n")[:-1]) for d in folder.glob("client=*")}
+    assert lines(direct) == lines(plain) and len(lines(direct)) == len(ODD_CLIENTS) + 1
+    back = sorted(map(str, logs.read_access_log(spark, str(direct)).collect()))
+    assert len(back) == 1001 and back == sorted(map(str, spark.read.schema(f"{logs.ACCESS_LOG}, {logs.CORRUPT} string").json(str(plain), recursiveFileLookup=True).collect()))
+    some = logs.read_access_log(spark, str(direct), ["a/b", "hot"])
+    assert some.groupBy("client_id").count().collect() and {r[0] for r in some.select("client_id").collect()} == {"a/b", "hot"}
+
+
+def test_writing_the_access_log_starts_no_file_of_hadoop_and_one_file_per_client_and_task(spark, tmp_path):
+    rows = log(spark, [request(i, f"c{i % 50}") for i in range(500)]).withColumns({"rate_limit": F.lit(None), "rate_remaining": F.lit(None)})
+    logs.write_access_log(rq.access_log_row(rows), str(tmp_path / "log"))
+    files = [f for f in (tmp_path / "log").rglob("*") if f.is_file()]
+    assert len(files) == 50 and all(f.suffix == ".json" for f in files)
+
+
+def test_all_lines_of_all_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Line ends of any kind, a file without one at its end, a byte order mark, long lines, compressed and hidden files."""
+    line = lambda i, **more: json.dumps({"ts": 1.0, "rid": str(i), **more})
+    folder = tmp_path / "log" / "client=a" / "deep"
+    folder.mkdir(parents=True)
+    (folder / "one.json").write_bytes("\n".join(line(i, path="x" * (i % 7) * 40) for i in range(200)).encode())
+    (folder / "two.json").write_bytes(b"\xef\xbb\xbf" + "\r\n".join([line(200), "", "  ", line(201)]).encode() + b"\r" + line(202).encode() + b"\nno json \xff\n[" + line(203).encode() + b"," + line(204).encode() + b"]")
+    (tmp_path / "log" / "three.json.gz").write_bytes(gzip.compress((line(205) + "\n" + line(206)).encode()))
+    (tmp_path / "log" / "empty").write_bytes(b"")
+    for hidden in (folder / "_four.json", folder / ".five.json"):
+        hidden.write_text(line(999))
+    expected = spark.read.schema(f"{logs.ACCESS_LOG}, {logs.CORRUPT} string").json(str(tmp_path / "log"), recursiveFileLookup=True).collect()
+    assert len(expected) == 208
+    for size in (64, 8 * 2**20):
+        monkeypatch.setattr(client_files, "RANGE", size)
+        assert sorted(map(str, logs.read_access_log(spark, str(tmp_path / "log")).collect())) == sorted(map(str, expected))
+
+
+def test_a_file_is_put_in_its_place_once(tmp_path):
+    """A repeated task finds its file there; other errors are not hidden."""
+    staged, place = tmp_path / "s", tmp_path / "client=a" / "p"
+    staged.write_text("1")
+    for _ in range(2):
+        client_files.put(str(staged), str(place))
+        assert place.read_text() == "1" and not staged.exists()
+    with pytest.raises(FileNotFoundError):
+        client_files.put(str(staged), str(tmp_path / "client=b" / "p"))

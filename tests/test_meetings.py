@@ -103,6 +103,18 @@ def test_full_cells_are_cut_and_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin [tenant_id" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_are_made_from_lists_by_all_tasks(spark):
+    """A message meets a block of products as one row, and tasks are not put together by the size of rows that make many pairs each."""
+    p = spark.createDataFrame([("t", i, "a", 5.0 + i % 7) for i in range(500)] + [(None, 900, "a", 5.0)], "tenant_id string, row_id long, category string, price_eur double")
+    m = spark.createDataFrame([("t", i, 5.0, 8.0 + i % 3, ["a"]) for i in range(30)] + [(None, 99, None, None, [])], "tenant_id string, msg_id long, lo double, hi double, hints array<string>")
+    got = cand.message_candidates(m, p)
+    rows = got.collect()
+    assert len(rows) == len(set(rows)) == sum(1 for i in range(500) for j in range(30) if i % 7 <= 3 + j % 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join Inner") < plan.index("collect_list")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_evaluation_retrieves_once(spark):
     """The summary reads its cases several times; the search is not part of what it reads."""
     from shelfwise.plans import evaluation
